@@ -210,3 +210,17 @@ def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | N
     return members.join(placed, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, that have the least doc_id of their component.
+
+    Of rows that repeat both id and text one stays. Rows without an id stay if their component has no id at all.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = join_by_ngrams(docs, percent).filter(same).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("again")).select(F.col("doc_id").alias("kept_id"), "again")
+    # names of the documents' columns can't clash with these
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("row_id"))
+    rows = rows.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")))
+    once = rows.filter("not again").select("row.*")
+    return once.unionByName(rows.filter("again").select("row.*").dropDuplicates(["doc_id", "text"]))

@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 from .common import read
+from .decontaminate import find_benchmark_copies
 from .fingerprints import near_copies
+from .langid import language_digest
 from .licenses import license_digest
+from .ngram_join import join_by_ngrams
 from .packing import pack_documents
+from .quality import quality_digest
 from .secrets import secret_digest
 from .warc import warc_round_trip
 
 QUERIES = {
     "op1_license_scan": lambda spark, d: license_digest(read(spark, d, "documents")),
     "op2_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
+    "op3_language_id": lambda spark, d: language_digest(read(spark, d, "documents")),
+    "op4_quality": lambda spark, d: quality_digest(read(spark, d, "documents"), read(spark, d, "labels")),
+    "op5_decontamination": lambda spark, d: find_benchmark_copies(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op6_packing": lambda spark, d: pack_documents(read(spark, d, "documents")),
     "op8_winnowing": lambda spark, d: near_copies(read(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc_round_trip(read(spark, d, "pages")),
+    "op10_ngram_join": lambda spark, d: join_by_ngrams(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
