@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -45,8 +46,18 @@ def _letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
 
 
+_NUMBERED = re.compile(r"\S*\d\S*")
+
+
 def letter_codes(text: str) -> np.ndarray:
-    """Code points in lower case; what isn't a letter is a blank, runs of blanks are one, with one at either end."""
+    """Code points in lower case; what isn't a letter is a blank, runs of blanks are one, with one at either end.
+    Words with digits (numbers, keys, addresses) are left out, unless there are no others."""
+    plain = _NUMBERED.sub(" ", text)
+    codes = _codes(plain)
+    return codes if len(codes) >= 3 or len(plain) == len(text) else _codes(text)
+
+
+def _codes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     codes = np.where(codes < 0x10000, _letters()[np.minimum(codes, 0xFFFF)], codes)
     codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
