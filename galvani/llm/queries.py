@@ -11,6 +11,7 @@ from .ngram_join import join_by_ngrams
 from .packing import pack_documents
 from .quality import quality_digest
 from .secrets import secret_digest
+from .substring_dedup import repeated_passages
 from .warc import warc_round_trip
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_quality": lambda spark, d: quality_digest(read(spark, d, "documents"), read(spark, d, "labels")),
     "op5_decontamination": lambda spark, d: find_benchmark_copies(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op6_packing": lambda spark, d: pack_documents(read(spark, d, "documents")),
+    "op7_substring_dedup": lambda spark, d: repeated_passages(read(spark, d, "documents")),
     "op8_winnowing": lambda spark, d: near_copies(read(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc_round_trip(read(spark, d, "pages")),
     "op10_ngram_join": lambda spark, d: join_by_ngrams(read(spark, d, "documents")),
