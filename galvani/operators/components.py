@@ -44,3 +44,36 @@ def connected_components(edges: DataFrame, checkpoint: Callable[[DataFrame], Dat
     roots = state.select(F.col("dst").alias("node")).distinct()
     alone = loops.distinct().join(state.select(F.col("src").alias("node")).union(roots), "node", "left_anti")
     return state.select(F.col("src").alias("node"), F.col("dst").alias("component")).union(roots.union(alone).select("node", F.col("node").alias("component")))
+
+
+def component_of_nodes(edges: DataFrame, all_nodes: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """node, component for every node; a node without an edge is a component of its own."""
+    found = connected_components(edges, checkpoint)
+    return all_nodes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def component_sizes(components: DataFrame, drop_single: bool = False) -> DataFrame:
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.filter("size > 1") if drop_single else sizes
+
+
+def component_lists(components: DataFrame) -> DataFrame:
+    """component, nodes (sorted). For components that fit a row."""
+    return components.groupBy("component").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+
+
+def largest_component(edges: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The edges of the largest component; of equal ones that with the least node."""
+    components = connected_components(edges, checkpoint)
+    top = component_sizes(components).orderBy(F.desc("size"), "component").limit(1).select("component")
+    kept = components.join(F.broadcast(top), "component", "left_semi")  # one row
+    return edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+
+
+def graph_checks(edges: DataFrame, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row: n, m, n_components, is_connected, is_tree."""
+    components = connected_components(edges, checkpoint)
+    n = components.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("component").alias("n_components"))
+    both = n.crossJoin(edges.agg(F.count(F.lit(1)).alias("m")))
+    connected = F.col("n_components") == 1
+    return both.select("n", "m", "n_components", connected.alias("is_connected"), (connected & (F.col("m") == F.col("n") - 1)).alias("is_tree"))
