@@ -70,10 +70,10 @@ blocks AS (
 
 #: The pseudo-inverse: L + J/n inverted in place, a pivot a step, less 1/n.
 INVERSE = """,
-at AS (SELECT node, row_number() OVER (ORDER BY node) AS k, count(*) OVER () AS n FROM nodes),
+idx AS (SELECT node, row_number() OVER (ORDER BY node) AS k, count(*) OVER () AS n FROM nodes),
 gj(step, r, c, val) AS (
   SELECT 0, x.k, y.k, CASE WHEN x.k = y.k THEN d.degree::DOUBLE WHEN e.src IS NOT NULL THEN -1.0 ELSE 0.0 END + 1.0 / x.n
-  FROM at x CROSS JOIN at y JOIN degrees d ON d.node = x.node LEFT JOIN both_ways e ON e.src = x.node AND e.dst = y.node
+  FROM idx x CROSS JOIN idx y JOIN degrees d ON d.node = x.node LEFT JOIN both_ways e ON e.src = x.node AND e.dst = y.node
   UNION ALL
   SELECT g.step + 1, g.r, g.c,
     CASE WHEN g.r = g.step + 1 AND g.c = g.step + 1 THEN 1.0 / p.val WHEN g.r = g.step + 1 THEN g.val / p.val
@@ -81,7 +81,7 @@ gj(step, r, c, val) AS (
   FROM gj g JOIN gj x ON x.r = g.r AND x.c = g.step + 1 JOIN gj y ON y.c = g.c AND y.r = g.step + 1 JOIN gj p ON p.r = g.step + 1 AND p.c = g.step + 1
   WHERE g.step < (SELECT count(*) FROM nodes)),
 inverse AS (
-  SELECT x.node AS i, y.node AS j, val - 1.0 / x.n AS val FROM gj JOIN at x ON x.k = r JOIN at y ON y.k = c WHERE step = (SELECT count(*) FROM nodes)),
+  SELECT x.node AS i, y.node AS j, val - 1.0 / x.n AS val FROM gj JOIN idx x ON x.k = r JOIN idx y ON y.k = c WHERE step = (SELECT count(*) FROM nodes)),
 diag AS (SELECT i AS node, val FROM inverse WHERE i = j),
 pairs AS (SELECT i AS u, j AS v, x.val + y.val - 2 * m.val AS r FROM inverse m JOIN diag x ON x.node = i JOIN diag y ON y.node = j),
 far AS (SELECT u AS node, sum(r) AS farness FROM pairs GROUP BY 1)"""
