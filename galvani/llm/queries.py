@@ -8,12 +8,15 @@ from .fingerprints import near_copies
 from .langid import language_digest
 from .licenses import license_digest
 from .ngram_join import join_by_ngrams
+from .oracles import ORACLE_SQL
 from .packing import pack_documents
 from .quality import quality_digest
 from .secrets import secret_digest
 from .substring_dedup import repeated_passages
 from .warc import warc_round_trip
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_license_scan": lambda spark, d: license_digest(read(spark, d, "documents")),
     "op2_secret_scan": lambda spark, d: secret_digest(read(spark, d, "documents")),
@@ -26,5 +29,3 @@ QUERIES = {
     "op9_warc": lambda spark, d: warc_round_trip(read(spark, d, "pages")),
     "op10_ngram_join": lambda spark, d: join_by_ngrams(read(spark, d, "documents")),
 }
-
-ORACLE_SQL: dict[str, str] = {}
