@@ -24,7 +24,8 @@ _LOWER[65:91] += 32
 
 MEMBERS = "doc_id long, n int, k1 long, k2 long, shingle long, seen long"
 PACKED = "fragment int, k1 binary, k2 binary, n binary, held binary, shingles binary"
-SHARED = "k1 long, k2 long, n int, shingles array<long>, seen array<int>"
+SHARED = "bucket int, k1 binary, k2 binary, n binary, held binary, shingles binary, seen binary"
+SETS = "k1 long, k2 long, n int, s int, prefix int, hashes array<long>"
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -107,66 +108,90 @@ def _pack(batches, fragments: int, hot: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], [c.split()[0] for c in PACKED.split(", ")])
 
 
-def _rows(k1, k2, n, held, shingles, seen) -> pa.Table:
-    """Rows of SHARED from flat arrays; held: how many entries each row has."""
-    at = pa.array(np.concatenate([[0], np.cumsum(held)]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(at, pa.array(v)) for v in (shingles.astype(np.int64), seen.astype(np.int32))]
-    return pa.table([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(n, pa.int32()), *lists], names=[c.split()[0] for c in SHARED.split(", ")])
+def _by_bucket(k1, k2, n, owner, shingles, seen, buckets: int) -> pa.Table:
+    """Rows of SHARED: entries (owner numbers the sets, in order) by bucket of the set's key, a row for each bucket."""
+    bucket = ((k1.astype(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(bucket[owner], kind="stable")
+    owner, shingles, seen = owner[order], shingles[order], seen[order]
+    edges = np.searchsorted(bucket[owner], np.arange(buckets + 1))
+    rows = []
+    for b in np.flatnonzero(edges[1:] > edges[:-1]):
+        lo, hi = edges[b], edges[b + 1]
+        own, held = np.unique(owner[lo:hi], return_counts=True)
+        rows.append((int(b), *(x[own].tobytes() for x in (k1, k2, n)), held.astype(np.uint32).tobytes(), shingles[lo:hi].tobytes(), seen[lo:hi].astype(np.int32).tobytes()))
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    return pa.table([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=[c.split()[0] for c in SHARED.split(", ")])
+
 
+def _read(table: pa.Table, **kinds) -> list[np.ndarray]:
+    return [np.concatenate([np.frombuffer(x, kind) for x in table.column(c).to_pylist()]) for c, kind in kinds.items()]
 
-def _fragment(table: pa.Table) -> pa.Table:
-    """One fragment: in how many sets each shingle is, and the entries of those that are in two or more, by set."""
-    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-    k1, k2, n, held, shingles = read("k1", np.int64), read("k2", np.int64), read("n", np.int32), read("held", np.uint32), read("shingles", np.uint64)
-    order = np.lexsort((k2, k1))  # number the sets: one may come from several tasks
+
+def _numbered(k1, k2, n):
+    """A number for each row's set, in the order of keys, and each set's keys and size: a set may come in several rows."""
+    order = np.lexsort((k2, k1))
     new = np.concatenate([[True], (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0)])
     number = np.empty(len(k1), np.int64)
     number[order] = np.cumsum(new) - 1
-    k1, k2, n = (x[order][new] for x in (k1, k2, n))
+    return number, *(x[order][new] for x in (k1, k2, n))
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before; the first does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _fragment(table: pa.Table, buckets: int) -> pa.Table:
+    """One fragment: in how many sets each shingle is, and the entries of those that are in two or more."""
+    k1, k2, n, held, shingles = _read(table, k1=np.int64, k2=np.int64, n=np.int32, held=np.uint32, shingles=np.uint64)
+    number, k1, k2, n = _numbered(k1, k2, n)
     owner = np.repeat(number, held)
     order = np.lexsort((owner, shingles))
     owner, shingles = owner[order], shingles[order]
-    keep = np.concatenate([[True], (np.diff(owner) != 0) | (shingles[1:] != shingles[:-1])])[: len(owner)]
+    keep = _changes(owner, shingles)
     owner, shingles = owner[keep], shingles[keep]
-    starts = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])[: len(shingles)])
-    seen = np.repeat(np.diff(np.append(starts, len(shingles))), np.diff(np.append(starts, len(shingles))))
+    starts = np.append(np.flatnonzero(_changes(shingles)), len(shingles))
+    seen = np.repeat(np.diff(starts), np.diff(starts))
     owner, shingles, seen = owner[seen > 1], shingles[seen > 1], seen[seen > 1]
     order = np.argsort(owner, kind="stable")
-    owner, shingles, seen = owner[order], shingles[order], seen[order]
-    own, held = np.unique(owner, return_counts=True)
-    return _rows(k1[own], k2[own], n[own], held, shingles, seen)
+    return _by_bucket(k1, k2, n, owner[order], shingles[order], seen[order], buckets)
 
 
-def _hot_entries(batches, hot: np.ndarray):
+def _hot_entries(batches, hot: np.ndarray, buckets: int):
+    """The hot shingles of a lot's sets, straight to the sets' buckets: they come last in the order, whatever their count."""
     for found in _distinct_sets(batches):
-        rows = [(*key, len(s), h) for key, s in found if len(h := s[np.isin(s, hot, assume_unique=True)])]
-        if rows:
-            k1, k2, n, h = zip(*rows, strict=True)
-            shingles = np.concatenate(h)
-            yield from _rows(k1, k2, n, [len(x) for x in h], shingles, np.full(len(shingles), 2**31 - 1)).to_batches()
+        mine = [(key, len(s), h) for key, s in found if len(h := s[np.isin(s, hot, assume_unique=True)])]
+        if mine:
+            k1, k2 = (np.array([k[i] for k, _, _ in mine], np.int64) for i in (0, 1))
+            owner = np.repeat(np.arange(len(mine)), [len(h) for _, _, h in mine])
+            shingles = np.concatenate([h for _, _, h in mine])
+            yield from _by_bucket(k1, k2, np.array([n for _, n, _ in mine], np.int32), owner, shingles, np.full(len(owner), 2**31 - 1), buckets).to_batches()
 
 
-def _in_order(batches, percent: int):
-    """Each set's shared shingles in the global order, rare ones first, and how many of them its prefix holds.
+def _in_order(table: pa.Table, percent: int) -> pa.Table:
+    """One bucket of sets: the shared shingles of each in the global order, rare ones first, and how many of them its
+    prefix holds.
 
     Sets of Jaccard similarity t have a shingle in common within their first n - ceil(t n) + 1 in any one order. What
-    only one set has comes first; a set of which it fills the prefix has no partner and goes.
+    only one set has comes first; a set of which that fills the prefix has no partner and goes.
     """
-    for batch in batches:
-        rows = []
-        for k1, k2, n, shingles, seen in zip(*(batch.column(c) for c in ("k1", "k2", "n", "shingles", "seen")), strict=True):
-            n = n.as_py()
-            s = np.concatenate([x.values.to_numpy() for x in shingles])
-            c = np.concatenate([x.values.to_numpy() for x in seen])
-            s, at = np.unique(s, return_index=True)  # hot entries may come from several tasks
-            c = c[at]
-            prefix = n - -(-percent * n // 100) + 1 - (n - len(s))
-            if prefix > 0:
-                s = s[np.lexsort((s, c))]
-                rows.append((k1.as_py(), k2.as_py(), n, len(s), s, s[:prefix]))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["k1", "k2", "n", "s", "hashes", "prefix"])
+    k1, k2, n, held, shingles, seen = _read(table, k1=np.int64, k2=np.int64, n=np.int32, held=np.uint32, shingles=np.uint64, seen=np.int32)
+    number, k1, k2, n = _numbered(k1, k2, n)
+    owner = np.repeat(number, held)
+    order = np.lexsort((shingles, seen, owner))
+    owner, shingles = owner[order], shingles[order]
+    keep = _changes(owner, shingles)  # hot entries may come from several tasks
+    owner, shingles = owner[keep], shingles[keep]
+    s = np.bincount(owner, minlength=len(n))
+    prefix = n - -(-percent * n // 100) + 1 - (n - s)
+    keep = prefix > 0
+    at = np.concatenate([[0], np.cumsum(s[keep])]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(shingles[keep[owner]].astype(np.int64)))
+    return pa.table([pa.array(k1[keep]), pa.array(k2[keep]), pa.array(n[keep], pa.int32()), pa.array(s[keep], pa.int32()), pa.array(prefix[keep], pa.int32()), lists], names=[c.split()[0] for c in SETS.split(", ")])
 
 
 def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -192,13 +217,12 @@ def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | N
     hot = np.sort(np.array([r["shingle"] for r in frequent.collect()], np.int64).astype(np.uint64))  # HOT at most
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // FRAGMENT_ENTRIES))
 
-    shared = known.select("text").mapInArrow(lambda b: _pack(b, fragments, hot), PACKED).groupBy("fragment").applyInArrow(_fragment, SHARED)
+    shared = known.select("text").mapInArrow(lambda b: _pack(b, fragments, hot), PACKED).groupBy("fragment").applyInArrow(lambda t: _fragment(t, fragments), SHARED)
     if len(hot):
-        shared = shared.unionByName(known.select("text").mapInArrow(lambda b: _hot_entries(b, hot), SHARED))
-    by_set = shared.groupBy("k1", "k2").agg(F.first("n").alias("n"), F.collect_list("shingles").alias("shingles"), F.collect_list("seen").alias("seen"))
-    sets = by_set.mapInArrow(lambda b: _in_order(b, percent), "k1 long, k2 long, n int, s int, hashes array<long>, prefix array<long>")
+        shared = shared.unionByName(known.select("text").mapInArrow(lambda b: _hot_entries(b, hot, fragments), SHARED))
+    sets = shared.groupBy("bucket").applyInArrow(lambda t: _in_order(t, percent), SETS)
     sets = scratch.table(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
-    postings = sets.select("id", F.explode("prefix").alias("key"))
+    postings = sets.select("id", "n", "s", F.posexplode(F.slice("hashes", 1, F.col("prefix")))).select("id", F.col("col").alias("key"), (F.col("n") - F.col("s") + F.col("pos") + 1).alias("pos"))
     components, _ = similar_components(sets.select("id", "n", "s", "hashes"), postings, percent, scratch)
 
     classes = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
@@ -215,12 +239,13 @@ def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | N
 def one_of_each_group(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, that have the least doc_id of their component.
 
-    Of rows that repeat both id and text one stays. Rows without an id stay if their component has no id at all.
+    Of rows that repeat both id and text one stays. Rows without an id can't be told apart by it: where one of them is
+    in a component without any id, all stay, one of each text.
     """
     same = F.col("doc_id").eqNullSafe(F.col("component_id"))
     kept = join_by_ngrams(docs, percent).filter(same).groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("again")).select(F.col("doc_id").alias("kept_id"), "again")
     # names of the documents' columns can't clash with these
-    rows = docs.select(F.struct(*docs.columns).alias("row"), docs["doc_id"].cast("long").alias("row_id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("row_id"))
     rows = rows.join(kept, F.col("row_id").eqNullSafe(F.col("kept_id")))
     once = rows.filter("not again").select("row.*")
     return once.unionByName(rows.filter("again").select("row.*").dropDuplicates(["doc_id", "text"]))

@@ -17,7 +17,7 @@ from .common import Scratch
 #: Fragments into which the global order of the hashes is cut; the first prunes pairs for the others.
 FRAGMENTS = 4
 #: Rounds of stars before the sets of different components are compared.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def alike(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -63,20 +63,23 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int, scratch: Scratch) -
     return scratch.table(found.select("a", "b"), "links")
 
 
-def _near_size(n_a: Column, n_b: Column, percent: int) -> Column:
-    return 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+def may_reach(a: str, b: str, percent: int) -> Column:
+    """Whether sets that first agree at these places of the global order can still reach the threshold: no more than
+    what follows there in the shorter rest can be shared (the positional filter)."""
+    n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+    return alike(1 + F.least(n_a - F.col(f"{a}pos"), n_b - F.col(f"{b}pos")), n_a, n_b, percent)
 
 
 def similar_components(sets: DataFrame, postings: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the sets with a link, and the links (a, b) that were found.
 
-    sets: id, n, s, hashes (distinct). postings: key, id; sets that may be alike share a key. Tables of the shared
-    folder; both may be empty.
+    sets: id, n, s, hashes (distinct). postings: key, id, pos; sets that may be alike share a key, and of the first key
+    that two sets share, pos is its place in the global order of either set's hashes (1 where there is no order).
+    Tables of the shared folder; both may be empty.
     """
     spark = sets.sparkSession
     parts = scratch.table(fragments(sets), "parts")
-    sizes = sets.select("id", "n", "s")
-    held = scratch.table(postings.join(sizes, "id").select("key", "id", "n", "s"), "postings")
+    held = scratch.table(postings.join(sets.select("id", "n", "s"), "id").select("key", "id", "pos", "n", "s"), "postings")
     links = scratch.table(spark.createDataFrame([], "a long, b long"), "links")
     components = None
     for turn in range(ROUNDS + 1):
@@ -84,30 +87,27 @@ def similar_components(sets: DataFrame, postings: DataFrame, percent: int, scrat
             at = held.withColumn("component", F.col("id"))
         else:
             at = held.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = at.groupBy("key").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "component", "n", "s")).alias("leader")
-        ).filter("low < high").select("key", "leader")
-        open_ = at.join(mixed, "key")
+        # the first leader is the set with the least that is its own, then any other
+        rank = F.col("n") - F.col("s") if turn == 0 else F.xxhash64("id", F.lit(turn))
+        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(rank.alias("rank"), "id", "component", "n", "s", "pos")).alias("leader"))
+        mixed = mixed.filter("low < high").select("key", "leader")
         if turn < ROUNDS:
-            star = open_.filter((F.col("component") != F.col("leader.component")) & _near_size(F.col("n"), F.col("leader.n"), percent))
-            votes = star.groupBy("id", "n", "s", "leader").agg(F.count(F.lit(1)).alias("votes"))
-            best = votes.groupBy("id", "n", "s").agg(F.max(F.struct("votes", "leader")).alias("best")).select("id", "n", "s", F.col("best.leader").alias("leader"))
+            star = at.join(mixed, "key").filter((F.col("component") != F.col("leader.component")) & may_reach("", "leader.", percent))
+            votes = star.groupBy("id", "n", "s", "leader.id").agg(F.count(F.lit(1)).alias("votes"), F.first("leader").alias("leader")).toDF("id", "n", "s", "leader_id", "votes", "leader")
+            best = votes.groupBy("id", "n", "s").agg(F.max(F.struct("votes", "leader_id", "leader")).alias("best")).select("id", "n", "s", F.col("best.leader").alias("leader"))
             pairs = best.select(F.col("id").alias("a"), F.col("leader.id").alias("b"), F.col("n").alias("n_a"), F.col("leader.n").alias("n_b"), F.col("s").alias("s_a"), F.col("leader.s").alias("s_b"))
         else:
-            side = scratch.table(open_.select("key", "id", "n", "s", "component"), "open")
-            a, b = (side.toDF("key", *(f"{c}_{x}" for c in ("id", "n", "s", "component"))) for x in "ab")
-            cross = a.join(b, "key").filter((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & _near_size(F.col("n_a"), F.col("n_b"), percent))
-            pairs = cross.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "s_a", "s_b").distinct()
+            side = scratch.table(at.join(mixed.select("key"), "key"), "open")
+            a, b = (side.select("key", F.struct("id", "pos", "n", "s", "component").alias(x)) for x in "ab")
+            cross = a.join(b, "key").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & may_reach("a.", "b.", percent))
+            pairs = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.s").alias("s_a"), F.col("b.s").alias("s_b")).distinct()
         pairs = scratch.table(pairs, "pairs")
         if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
+            continue
         found = linked(pairs, parts, percent, scratch)
         if not found.isEmpty():
             links = scratch.table(links.unionByName(found).distinct(), "links")
-            components = connected_components(links, lambda df: scratch.table(df, "round"))
-            components = scratch.table(components, "components")
+            components = scratch.table(connected_components(links, lambda df: scratch.table(df, "round")), "components")
     if components is None:
         components = scratch.table(spark.createDataFrame([], "node long, component long"), "components")
     return components, links
