@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from galvani.llm.common import Scratch, read
 from galvani.llm.decontaminate import drop_benchmark_copies
-from galvani.llm.langid import identify_languages
+from galvani.llm.langid import keep_known_languages
 from galvani.llm.ngram_join import one_of_each_group
 from galvani.llm.packing import pack_documents
 from galvani.llm.secrets import redact_secrets
@@ -16,7 +16,7 @@ from galvani.llm.secrets import redact_secrets
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: not null, without a letter, or too far from every learned centroid."""
-    return identify_languages(docs).filter(~F.col("rejected")).select(*docs.columns)
+    return keep_known_languages(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in their text replaced by its kind."""
     clean = redact_secrets(docs)
-    return clean.withColumn("n_chars", F.char_length("text").cast(clean.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.char_length("text").cast(clean.schema["n_chars"].dataType))
+    return clean
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

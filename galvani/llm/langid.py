@@ -27,6 +27,8 @@ SHARE, REJECT = 0.6, 0.01
 LEAST_GRAMS = 16
 #: Lengths (powers of two) that have thresholds of their own.
 LENGTHS = 24
+#: Share of the texts that each n-gram counts as being in besides.
+SMOOTH = 0.05
 UNKNOWN = "und"
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
@@ -177,7 +179,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     nothing can be learned from."""
     features = _sample(docs, sample).mapInArrow(_features, "lang string, whole boolean, at binary, tf binary").persist()
     found = {r["bucket"]: r["n"] for r in features.mapInArrow(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + found.get(-1, 0)) / (1 + np.array([found.get(b, 0) for b in range(BUCKETS)]))).astype(np.float32) + np.float32(0.1)
+    n, seen = max(1, found.get(-1, 0)), np.array([found.get(b, 0) for b in range(BUCKETS)])
+    # smoothed, so that a few unseen n-grams (a name, a key) don't outweigh all that every text has
+    idf = np.log(1 + n / (seen + SMOOTH * n)).astype(np.float32)
     rows = features.groupBy("lang").applyInPandas(_clusters(idf, centroids), "lang string, centroid binary, least binary").collect()
     features.unpersist()
     if not rows:
@@ -202,14 +206,17 @@ def _predict(texts: list[str | None], model: Model | None) -> list[tuple[str, fl
     return out
 
 
-def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
+_LEARN = object()
+
+
+def identify_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
     """The rows with lang_pred, score (the cosine with the nearest centroid) and rejected. One pass without a shuffle.
 
     Text without a letter, and null text, is `und` and rejected, as is all text where there was nothing to learn
     from. A text farther from its nearest centroid than learned texts of that length is rejected, but keeps the
     language of that centroid. A table without rows gives an empty result; columns of these names are replaced.
     """
-    model = model if model is not None else learn(docs)
+    model = learn(docs) if model is _LEARN else model  # None: there was nothing to learn from
     kept = docs.drop("lang_pred", "score", "rejected")
 
     def run(batches):
@@ -225,6 +232,17 @@ def identify_languages(docs: DataFrame, model: Model | None = None) -> DataFrame
     return kept.mapInArrow(run, T.StructType(kept.schema.fields + added.fields))
 
 
+def keep_known_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
+    """The rows, with all their columns, that identify_languages doesn't reject. One pass without a shuffle."""
+    model = learn(docs) if model is _LEARN else model  # None: there was nothing to learn from
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([not far for _, _, far in _predict([t.as_py() for t in batch.column("text")], model)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_digest(docs: DataFrame) -> DataFrame:
     """The op3 columns."""
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
