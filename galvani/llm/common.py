@@ -1,46 +1,17 @@
-"""What the text operators share: reading tables and cutting lineage with tables in the shared folder."""
+"""What the text operators share: reading tables, and which rows a classifier may learn from."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galvani.sources.scratch import Scratch
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="galvani-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["Scratch", "held_out", "id_and_text", "read"]
 
 
-class Scratch:
-    """Tables written to the shared folder: they cut the lineage and outlive executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.top = spark, f"{shared_dir(spark)}/galvani-{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that no later step reads."""
-        jvm = self.spark._jvm
-        for df in frames:
-            for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-                if f"/{self.top.rpartition('/')[2]}/" in folder:
-                    path = jvm.org.apache.hadoop.fs.Path(folder)
-                    path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
