@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -76,6 +77,7 @@ def _records(batches, chunk: int):
 
 def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    rows = [(record, no, zlib.compress(data, wbits=31), sha1) for record, no, data, sha1 in rows]  # each a gzip member
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "chunk_no", "data", "payload_sha1"])
 
 
@@ -100,7 +102,7 @@ def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, salts: int =
 
 
 def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """The archives as a table of chunks in the shared folder; a record's chunks in their order are its bytes.
+    """The archives as a table of chunks in the shared folder; a record's chunks, each a gzip member, are its bytes.
 
     payload_sha1 is the digest of the record's payload as far as that chunk, so that a reader can check a payload
     that it has read in part. A null html is an empty payload, a null url leaves the header out, a null page_id too
@@ -159,7 +161,7 @@ def _parse(batches):
                 if reader:
                     rows.append(reader.row(running))
                 at, reader = record_id.as_py(), _Reader()
-            reader.feed(data.as_py())
+            reader.feed(zlib.decompress(data.as_py(), wbits=31))
             running = sha1.as_py()
         if len(rows) >= 4096:
             yield make(rows)
