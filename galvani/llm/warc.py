@@ -81,19 +81,20 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "chunk_no", "data", "payload_sha1"])
 
 
-def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, salts: int = SALTS) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES, salts: int = SALTS) -> DataFrame:
     """The pages, each with the digest and length of its payload and whether its record is a response or a revisit.
 
     Of equal payloads of `least_bytes` or more the one with the largest page_id is the response. That page is found
     by a partial maximum for each digest, so that a payload with very many copies is one row for each task before
-    the shuffle. Only digests that repeat are joined back, on the digest and a salt, so that the copies of one
-    payload are dealt over `salts` tasks.
+    the shuffle. Only digests that repeat are joined back. They are written first: by their size Spark sends them to
+    the pages (below its broadcast threshold, and no payload moves) or shuffles both sides, on the digest and a salt,
+    so that the copies of one payload are dealt over `salts` tasks.
     """
     known = pages.select(
         pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html")
     ).select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("sha1"))
     first = known.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = first.filter("n > 1").select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    repeated = scratch.table(first.filter("n > 1").select("sha1", "first"), "repeated").select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     salted = known.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
     same = F.coalesce(F.col("page_id") == F.col("first"), F.col("page_id").isNull() & F.col("first").isNull())
     return salted.join(repeated, ["sha1", "salt"], "left").select("page_id", "url", "html", "payload_bytes", "sha1", same.alias("is_last"), F.col("first").alias("refers_to")).withColumn(
@@ -109,7 +110,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_
     (equal payloads of which no page has an id are all responses). Rows that share the largest page_id are all
     responses. An empty table gives an empty archive; other columns are ignored.
     """
-    return scratch.table(plan_records(pages, least_bytes).mapInArrow(lambda batches: _records(batches, chunk_chars), CHUNKS), "warc")
+    return scratch.table(plan_records(pages, scratch, least_bytes).mapInArrow(lambda batches: _records(batches, chunk_chars), CHUNKS), "warc")
 
 
 class _Reader:
