@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from base64 import b64decode
@@ -18,6 +19,8 @@ END_ID = 0
 #: Documents whose last pieces are packed together: bounds a task's memory, whatever the partition's size.
 LOT = 50_000
 VOCABULARY = "byte_bpe_50k"
+#: Blanks in a row from which a text goes through `tokenizers`: tiktoken's expression runs out of stack at about 10^6.
+LONG_BLANK = 100_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -80,8 +83,21 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(2)
+def whole_encoder(vocabulary: str):
+    """The same vocabulary in `tokenizers`: slower, but text of any shape passes."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
 def encode(text: str | None, vocabulary: str = VOCABULARY) -> array:
     """The ids of the whole text. A string of a special token is ordinary text."""
+    if text and len(text) >= LONG_BLANK and max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) >= LONG_BLANK:
+        return array("I", whole_encoder(vocabulary).encode(text, add_special_tokens=False).ids)
     return array("I", encoder(vocabulary).encode_ordinary(text) if text else ())
 
 

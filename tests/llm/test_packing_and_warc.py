@@ -25,6 +25,18 @@ def test_ids_are_those_of_the_tokenizer_file():
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_long_runs_of_blanks_are_encoded_like_any_text():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    for blank in (" ", "\n", " \n"):
+        for n in (99_999, 1_000_000):
+            text = "a" + blank * n + "x <|endoftext|>"
+            assert list(encode(text)) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_against_a_plain_search():
     rng = random.Random(4)
     for window in (7, 64, 100):
