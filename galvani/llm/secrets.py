@@ -88,6 +88,18 @@ def _assigned(raw: bytes, lower: bytes) -> list[tuple[int, int]]:
     return out
 
 
+def _outside(base: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
+    """start..end if no base span overlaps it, else what they leave of it, if at least a window (so that its own windows
+    stand out)."""
+    out = []
+    for a, b in base:
+        if a < end and start < b:
+            if a - start >= WINDOW:
+                out.append((start, a))
+            start = b
+    return out + [(start, end)] * (end - start >= WINDOW)
+
+
 def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     """All spans by start, then kind, in code points."""
     if not text:
@@ -98,10 +110,8 @@ def scan_text(text: str | None) -> list[tuple[str, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(raw)]
     base = sorted((a, b) for a, _, b in spans)
     for m in CANDIDATE.finditer(raw):
-        for a, b in entropy_spans(m[0]):
-            a, b = a + m.start(), b + m.start()
-            if not any(x < b and a < y for x, y in base):  # what a base kind has found is not told again
-                spans.append((a, 3, b))
+        for a, b in entropy_spans(m[0]):  # what a base kind has found is not told again
+            spans += [(x, 3, y) for x, y in _outside(base, a + m.start(), b + m.start())]
     spans.sort()
     if len(raw) != len(text) and spans:
         at = sorted({x for a, _, b in spans for x in (a, b)})
