@@ -48,13 +48,16 @@ def _letters() -> np.ndarray:
     return np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
 
 
-_NUMBERED = re.compile(r"\S*\d\S*")
+#: A key: ASCII letters, _, - and at least a digit. It is looked for where a run starts only, so in linear time.
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z_-]*+[0-9][A-Za-z0-9_-]*+")
+#: Longer runs are text without blanks, not keys.
+LONGEST_KEY = 64
 
 
 def letter_codes(text: str) -> np.ndarray:
     """Code points in lower case; what isn't a letter is a blank, runs of blanks are one, with one at either end.
-    Words with digits (numbers, keys, addresses) are left out, unless there are no others."""
-    plain = _NUMBERED.sub(" ", text)
+    Keys (numbers, hashes, ids) are left out, unless there is nothing else; all other letters are read."""
+    plain = _KEY.sub(lambda m: " " if len(m[0]) <= LONGEST_KEY else m[0], text)
     codes = _codes(plain)
     return codes if len(codes) >= 3 or len(plain) == len(text) else _codes(text)
 

@@ -1,11 +1,12 @@
 """Language ID and the quality classifier by held-out accuracy; the pipeline stage by stage."""
 
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
 
-from galvani.llm.langid import identify_languages, keep_known_languages, language_digest
+from galvani.llm.langid import identify_languages, keep_known_languages, language_digest, letter_codes
 from galvani.llm.quality import quality_digest
 
 ENDINGS = {"aa": ["tion", "the", "ing", "er"], "bb": ["ció", "os", "la", "ñe"], "cc": ["ung", "sch", "ö", "en"]}
@@ -19,6 +20,17 @@ def held_out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
+def test_letters_beside_digits_are_read():
+    letters = lambda text: "".join(map(chr, letter_codes(text)))
+    one, two = "".join(map(chr, range(0x4E00, 0x4EC8))), "".join(map(chr, range(0x5E00, 0x5EC8)))
+    assert letters(one + "2024" + two + " ok") == f" {one} {two} ok "
+    assert letters("see a1b2-c3_d 24be64439e3e49cf in 2024.") == " see in " and letters("a1 b2") == " a b "
+    assert letters("word" * 50 + "7" + "more" * 50) == " " + "word" * 50 + " " + "more" * 50 + " "
+    start = time.process_time()
+    assert len(letter_codes("ab" * 500_000 + "é" * 500_000)) == 1_500_002
+    assert time.process_time() - start < 30
+
+
 def test_languages(spark):
     rng = random.Random(1)
     rows = [(i, words(lang, rng.randrange(5, 60), rng), lang) for i, lang in enumerate(random.Random(2).choices(list(ENDINGS), k=300))]
