@@ -115,7 +115,7 @@ def _in_lots(batches, make, names, kinds):
 
 
 def _band_rows(batches, bands: int):
-    """Distinct (key, content) of a lot, with the lot's least and largest doc_id for them."""
+    """Distinct (key, content) of a lot, with the lot's least and, if another, largest doc_id for them."""
     lot, size = [], 0
 
     def out():
@@ -123,7 +123,9 @@ def _band_rows(batches, bands: int):
         order = np.lexsort((doc, content, key))
         key, content, doc = key[order], content[order], doc[order]
         new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(content) != 0)])
-        return pa.RecordBatch.from_arrays([pa.array(x[new]) for x in (key, content, doc)], ["key", "content", "doc"])
+        low, high = doc[new], doc[np.concatenate([new[1:], [True]])]
+        columns = [pa.array(key[new]), pa.array(content[new]), pa.array(low), pa.array(high, mask=low == high)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "content", "low", "high"])
 
     for doc_id, text in _texts(batches):
         p = Paragraphs(text)
@@ -170,10 +172,11 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, scratch: Scratch
     scratch = scratch or Scratch(docs.sparkSession)
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
     bands = bands_for(percent=percent)
-    rows = known.mapInArrow(lambda b: _band_rows(b, bands), "key long, content long, doc long")
+    rows = known.mapInArrow(lambda b: _band_rows(b, bands), "key long, content long, low long, high long")
     by_key = Window.partitionBy("key")
-    mixed = rows.withColumns({f"{f}_{c}": getattr(F, f)(c).over(by_key) for f in ("min", "max") for c in ("content", "doc")})
-    mixed = mixed.filter("min_content < max_content and min_doc < max_doc")
+    mixed = rows.withColumns({f"{f}_content": getattr(F, f)("content").over(by_key) for f in ("min", "max")})
+    mixed = mixed.withColumns({"least": F.min("low").over(by_key), "largest": F.max(F.coalesce("high", "low")).over(by_key)})
+    mixed = mixed.filter("min_content < max_content and least < largest")
     postings = scratch.table(mixed.select("key", F.col("content").alias("id"), F.lit(1).alias("pos")).distinct(), "postings")
     places = scratch.table(known.mapInArrow(_places, "content long, doc_id long, start int, end int"), "places")
 

@@ -147,6 +147,16 @@ def test_repeated_passages_are_found_and_clean_documents_left_alone(spark):
     assert repeated_passages(table(spark, [])).collect() == []
 
 
+def test_near_copies_in_one_document_are_linked_however_texts_are_dealt_out(spark):
+    rng = random.Random(16)
+    a = prose(16, rng)
+    b = a.split()
+    b[-1] = "other"
+    docs = table(spark, [(1, a), (1, " ".join(b)), (2, a)])  # rows of one id are one document
+    one, many = ({(r["doc_id"], r["n_paragraphs"]) for r in repeated_passages(d).collect()} for d in (docs.coalesce(1), docs.repartition(3)))
+    assert one == many == {(1, 2), (2, 1)}
+
+
 def test_bands_reach_the_recall():
     for rows in (1, 2, 3):
         b = bands_for(0.95, 75, rows)
