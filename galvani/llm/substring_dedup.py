@@ -2,7 +2,9 @@
 
 A passage may stand anywhere in a document, so paragraphs are not cut at line ends but where the words themselves say
 so: each starts at the rightmost least hash of some SPREAD pairs of words in a row, and is WORDS long. Any copy of
-WORDS + SPREAD words thus holds the start, and all, of a paragraph that is the same in both documents.
+WORDS + SPREAD words thus holds the start, and all, of a paragraph that is the same in both documents. What such
+paragraphs leave out, between them and at a text's ends, is covered by further ones, so that each word is in some
+paragraph, and what is found grows word by word to both sides as far as the kept copy agrees.
 """
 
 from __future__ import annotations
@@ -43,11 +45,11 @@ class Paragraphs:
     def __init__(self, text: str | None, words: int = WORDS, spread: int = SPREAD):
         data = _LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
         start, end = word_spans(data, SPACE)
-        self.words = words
-        n = len(start) - words + 1  # places where a paragraph fits
-        if n < 1:
+        if not len(start):
             self.first = np.zeros(0, np.int64)
             return
+        self.words = words = min(words, len(start))  # a short text is one paragraph
+        n = len(start) - words + 1  # places where a paragraph fits
         # words with one blank behind each, so that a span's hash doesn't depend on line ends
         blank = SPACE[data]
         keep = np.ones(len(data), bool)
@@ -57,21 +59,30 @@ class Paragraphs:
         at = np.concatenate([[0], np.cumsum(end - start + 1)[:-1]])
         to = at + (end - start)
         spans = SpanHashes(flat)
-        pairs = spans(at[:n], to[1 : n + 1])
+        pairs = spans(at[:n], to[np.minimum(np.arange(1, n + 1), len(to) - 1)])
         packed = (pairs >> np.uint64(32) << np.uint64(32)) + np.uint64(2**32 - 1) - np.arange(n, dtype=np.uint64)
         span, lows = 1, packed
         while span < min(spread, n):  # least of 2, 4, 8, ... places
             shift = min(span, min(spread, n) - span)
             lows, span = np.minimum(lows[:-shift], lows[shift:]), span + shift
-        self.first = np.unique(2**32 - 1 - (lows & np.uint64(2**32 - 1)).astype(np.int64))
+        self.first = self._gapless(np.unique(2**32 - 1 - (lows & np.uint64(2**32 - 1)).astype(np.int64)), len(start))
         last = self.first + self.words - 1
         self.content = spans(at[self.first], to[last]).astype(np.int64)
         points = np.cumsum((data & 0xC0) != 0x80)
         self.start, self.end = points[start[self.first]] - 1, points[end[last] - 1]
+        self.each = lambda: (spans(at, to).astype(np.int64), points[start] - 1, points[end - 1])  # all words
         k = min(SHINGLE, self.words)
         self.shingles = spans(at[: len(at) - k + 1], to[k - 1 :])
         self.held = self.words - k + 1
 
+    def _gapless(self, first: np.ndarray, count: int) -> np.ndarray:
+        """With paragraphs for the words that these leave out: up to the next one, and at a text's start and end."""
+        behind, before = np.append(0, first + self.words), np.append(first, count)
+        gap = before > behind
+        more = [np.maximum(before[gap] - self.words, 0)]
+        wide = before - behind > self.words  # at a text's ends a gap may hold a paragraph and more
+        return np.unique(np.concatenate([first, *more, behind[wide]]))
+
     def sets(self) -> np.ndarray:
         """A row of shingle hashes for each paragraph."""
         return self.shingles[self.first[:, None] + np.arange(self.held)]
@@ -157,15 +168,94 @@ def _wanted_sets(batches):
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.int64()))], ["id", "hashes"])
 
 
+def _contexts(batches):
+    """(doc_id, at, side, words): hashes of the words before (side 0) or behind (1) the wanted places, nearest first."""
+    for batch in batches:
+        rows = []
+        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("wanted").to_pylist(), strict=True):
+            p = Paragraphs(text.as_py())
+            if len(p.first):
+                words, start, end = p.each()
+                rows += [(doc_id, w["at"], w["side"], _beside(words, start, end, w["at"], w["side"])[0]) for w in wanted]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "at", "side", "words"])
+
+
+def _beside(words, start, end, at: int, side: int):
+    """The words beside a place, nearest first, and their outer ends in code points."""
+    if side:
+        i = np.searchsorted(end, at, "right")
+        return words[i : i + SPREAD], end[i : i + SPREAD]
+    i = np.searchsorted(start, at)
+    return words[max(0, i - SPREAD) : i][::-1], start[max(0, i - SPREAD) : i][::-1]
+
+
+def _grown(batches):
+    """(doc_id, stretch, side, to): how far the words beside a stretch's end are those beside the kept copy."""
+    for batch in batches:
+        rows = []
+        for doc_id, text, ends in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("ends").to_pylist(), strict=True):
+            p = Paragraphs(text.as_py())
+            if len(p.first):
+                words, start, end = p.each()
+                for e in ends:
+                    mine, outer = _beside(words, start, end, e["at"], e["side"])
+                    n = min(len(mine), len(e["words"]))
+                    same = int(np.argmin(np.append(mine[:n] == np.array(e["words"][:n], np.int64), False)))
+                    if same:
+                        rows.append((doc_id, e["stretch"], e["side"], int(outer[same - 1])))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "stretch", "side", "to"])
+
+
+def _grow(known: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, stretch, low, high): the stretches' ends, grown over the words that agree with the cluster's kept copy.
+
+    The kept copy is the paragraph of the cluster's least document, of the same content if it has it; that document
+    itself grows along the largest one. A verbatim copy reaches less than SPREAD words beyond its paragraphs.
+    """
+    place = F.struct("doc_id", "start", "end")
+    same = held.groupBy("content", "cluster_id", "first").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    same = scratch.table(same, "same")
+    like = same.groupBy("cluster_id").agg(F.min("low").alias("low_like"), F.max("high").alias("high_like"))
+    stretches = held.groupBy("doc_id", "stretch").agg(
+        F.min(F.struct(F.col("start").alias("at"), "content")).alias("left"), F.max(F.struct(F.col("end").alias("at"), "content")).alias("right")
+    )
+    ends = stretches.select("doc_id", "stretch", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), f"{c}.at", f"{c}.content") for s, c in enumerate(("left", "right"))])).alias("e"))
+    ends = ends.select("doc_id", "stretch", "e.*").join(same, "content").join(like, "cluster_id")
+    kept = F.when(F.col("low.doc_id") == F.col("first"), F.col("low")).otherwise(F.col("low_like"))
+    other = F.when(F.col("high.doc_id") != F.col("first"), F.col("high")).otherwise(F.col("high_like"))
+    ends = ends.withColumn("by", F.when(F.col("doc_id") == F.col("first"), other).otherwise(kept))
+    ends = ends.select("doc_id", "stretch", "side", "at", F.col("by.doc_id").alias("by"), F.when(F.col("side") == 0, F.col("by.start")).otherwise(F.col("by.end")).alias("by_at"))
+    ends = scratch.table(ends, "ends")
+    wanted = ends.groupBy(F.col("by").alias("doc_id")).agg(F.collect_set(F.struct(F.col("by_at").alias("at"), "side")).alias("wanted"))
+    found = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, "doc_id long, at int, side int, words array<long>")
+    found = found.groupBy(F.col("doc_id").alias("by"), F.col("at").alias("by_at"), "side").agg(F.max("words").alias("words"))
+    ends = ends.join(found, ["by", "by_at", "side"]).groupBy("doc_id").agg(F.collect_list(F.struct("stretch", "side", "at", "words")).alias("ends"))
+    grown = known.join(ends, "doc_id").select("doc_id", "text", "ends").mapInArrow(_grown, "doc_id long, stretch long, side int, to int")
+    return grown.groupBy("doc_id", "stretch").agg(F.min(F.when(F.col("side") == 0, F.col("to"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("to"))).alias("high"))
+
+
+def _stretches(held: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """Numbers the runs of places that overlap or touch."""
+    in_doc = Window.partitionBy(*within).orderBy(*order)
+    before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
+    held = held.withColumn("new", F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0))
+    return held.withColumn("stretch", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, start, end (code points), n_paragraphs, cluster_id, removed: the stretches of each document that repeat
-    in another one. A stretch is all paragraphs of a document that overlap or touch.
+    in another one. A stretch is all paragraphs of a document that overlap or touch, and the words beside them that
+    agree with the kept copy.
 
     Equal paragraphs are one content. Contents that share a band, and stand in different documents, are compared by
     the exact Jaccard similarity of their shingles, and components of them are clusters. In each cluster the
     paragraphs of the least doc_id stay; a stretch is `removed` if it has a paragraph that doesn't.
 
-    A null or empty text, or one of fewer than WORDS words, has no paragraphs. Rows
+    A null or empty text has no paragraphs; one of fewer than WORDS words is a paragraph. Rows
     without an id are documents that repeat nothing by themselves; rows of one id are one document. An empty table
     gives an empty result; other columns are ignored.
     """
@@ -191,16 +281,22 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, scratch: Scratch
     contents = contents.join(components.withColumnRenamed("node", "content"), "content", "left").filter("low < high or component is not null")
     contents = contents.withColumn("component", F.coalesce("component", "content"))
     clusters = contents.groupBy("component").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
-    repeated = scratch.table(contents.join(clusters, "component").select("content", F.col("component").alias("cluster"), "first"), "repeated")
+    repeated = scratch.table(contents.join(clusters, "component").select("content", F.col("component").alias("cluster_id"), "first"), "repeated")
     held = places.join(repeated, "content").filter("doc_id is not null").distinct()
-    in_doc = Window.partitionBy("doc_id").orderBy("start", "end", "content")
-    before = F.max("end").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))
-    held = held.withColumn("new", F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0))
-    held = held.withColumn("stretch", F.sum("new").over(in_doc.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return held.groupBy("doc_id", "stretch").agg(
-        F.min("start").cast("long").alias("start"),
-        F.max("end").cast("long").alias("end"),
+    held = scratch.table(_stretches(held, ["doc_id"], ["start", "end", "content"]), "held")
+    found = held.groupBy("doc_id", "stretch").agg(
+        F.min("start").alias("start"),
+        F.max("end").alias("end"),
         F.count(F.lit(1)).alias("n_paragraphs"),
-        F.min("cluster").alias("cluster_id"),
+        F.min("cluster_id").alias("cluster_id"),
         F.max(F.col("doc_id") != F.col("first")).alias("removed"),
-    ).drop("stretch")
+    )
+    found = found.join(_grow(known, held, scratch), ["doc_id", "stretch"], "left")
+    found = found.withColumns({"start": F.least("start", "low"), "end": F.greatest("end", "high")})
+    # what is grown may meet the next stretch; what is kept is not joined to what is removed
+    return _stretches(found, ["doc_id", "removed"], ["start", "end"]).groupBy("doc_id", "removed", "stretch").agg(
+        F.min("start").cast("long").alias("start"),
+        F.max("end").cast("long").alias("end"),
+        F.sum("n_paragraphs").alias("n_paragraphs"),
+        F.min("cluster_id").alias("cluster_id"),
+    ).select("doc_id", "start", "end", "n_paragraphs", "cluster_id", "removed")

@@ -9,7 +9,7 @@ import pytest
 from galvani.llm import decontaminate as D
 from galvani.llm.fingerprints import BASE, K, MODULUS, PIECE, WINDOW, fingerprint_documents, near_copies
 from galvani.llm.ngram_join import join_by_ngrams, one_of_each_group
-from galvani.llm.substring_dedup import bands_for, repeated_passages
+from galvani.llm.substring_dedup import Paragraphs, bands_for, repeated_passages
 
 RNG = random.Random(8)
 
@@ -147,6 +147,26 @@ def test_repeated_passages_are_found_and_clean_documents_left_alone(spark):
     assert repeated_passages(table(spark, [])).collect() == []
 
 
+def test_found_spans_are_the_whole_passages(spark):
+    rng = random.Random(17)
+    rows, want = [(50, "a short notice"), (51, "A short\nnotice"), (52, "another")], {50: "a short notice", 51: "A short\nnotice"}
+    for i, n in enumerate((51, 51, 60, 100, 200)):
+        passage = prose(n, rng)
+        for d in (2 * i, 2 * i + 1):
+            rows.append((d, prose(70 + d, rng) + " " + passage + " " + prose(90 - d, rng)))
+            want[d] = passage
+    found = repeated_passages(table(spark, rows)).collect()
+    assert sorted((r["doc_id"], dict(rows)[r["doc_id"]][r["start"] : r["end"]]) for r in found) == sorted(want.items())
+    assert {r["doc_id"] for r in found if r["removed"]} == {1, 3, 5, 7, 9, 51}
+
+
+def test_every_word_is_in_a_paragraph():
+    rng = random.Random(18)
+    for n in (1, 2, 5, 15, 16, 17, 31, 47, 48, 63, 500):
+        p = Paragraphs(prose(n, rng))
+        assert {w for f in p.first.tolist() for w in range(f, f + p.words)} == set(range(n))
+
+
 def test_near_copies_in_one_document_are_linked_however_texts_are_dealt_out(spark):
     rng = random.Random(16)
     a = prose(16, rng)
