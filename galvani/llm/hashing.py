@@ -41,6 +41,18 @@ class SpanHashes:
             return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64))
 
 
+def span_hashes(words: np.ndarray):
+    """A function of ranges [a, b) of words, given as 64-bit hashes, to 64-bit hashes of the ranges' words in order."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power(0, len(words)))])
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((sums[b] - sums[a]) * _power(1, len(words) + 1)[a] + (b - a).astype(np.uint64))
+
+    return of
+
+
 def word_spans(data: np.ndarray, is_space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes for which is_space (a table of 256) is false."""
     inside = np.concatenate([[False], ~is_space[data], [False]])

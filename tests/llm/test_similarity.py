@@ -9,7 +9,7 @@ import pytest
 from galvani.llm import decontaminate as D
 from galvani.llm.fingerprints import BASE, K, MODULUS, PIECE, WINDOW, fingerprint_documents, near_copies
 from galvani.llm.ngram_join import join_by_ngrams, one_of_each_group
-from galvani.llm.substring_dedup import Paragraphs, bands_for, repeated_passages
+from galvani.llm.substring_dedup import LEAST_PIECE, SPREAD, Lot, bands_for, repeated_passages
 
 RNG = random.Random(8)
 
@@ -160,11 +160,28 @@ def test_found_spans_are_the_whole_passages(spark):
     assert {r["doc_id"] for r in found if r["removed"]} == {1, 3, 5, 7, 9, 51}
 
 
-def test_every_word_is_in_a_paragraph():
+def test_every_word_is_in_a_piece():
     rng = random.Random(18)
-    for n in (1, 2, 5, 15, 16, 17, 31, 47, 48, 63, 500):
-        p = Paragraphs(prose(n, rng))
-        assert {w for f in p.first.tolist() for w in range(f, f + p.words)} == set(range(n))
+    texts = [prose(n, rng) for n in (1, 2, 5, 15, 16, 17, 31, 47, 48, 63, 500)] + [None, "", "same " * 90, "a b " * 60 + prose(40, rng), " \n "]
+    lot = Lot(texts)
+    a, b = lot.pieces()
+    assert {w for x, y in zip(a.tolist(), b.tolist()) for w in range(x, y)} == set(range(len(lot.hashes)))
+    assert (lot.text[a] == lot.text[b - 1]).all()
+    places = lambda k: sorted(zip((a[lot.text[a] == k] - lot.first[k]).tolist(), lot.spans(a, b)[lot.text[a] == k].tolist()))
+    for k, t in enumerate(texts):  # whatever else is in the lot
+        own = Lot([t])
+        x, y = own.pieces()
+        assert places(k) == sorted(zip(x.tolist(), own.spans(x, y).tolist()))
+
+
+def test_a_copy_of_so_many_words_holds_a_whole_piece():
+    rng = random.Random(19)
+    for _ in range(200):
+        passage = prose(2 * SPREAD + LEAST_PIECE, rng)
+        lot = Lot([prose(rng.randrange(90), rng) + " " + passage + " " + prose(rng.randrange(90), rng) for _ in "ab"])
+        a, b = lot.pieces()
+        content = lot.spans(a, b)
+        assert set(content[lot.text[a] == 0]) & set(content[lot.text[a] == 1])
 
 
 def test_near_copies_in_one_document_are_linked_however_texts_are_dealt_out(spark):
@@ -177,6 +194,36 @@ def test_near_copies_in_one_document_are_linked_however_texts_are_dealt_out(spar
     assert one == many == {(1, 2), (2, 1)}
 
 
+def lines_of(text):
+    return [w for w in (line.lower().split() for line in text.split("\n")) if len(w) >= 12]
+
+
+def test_near_paragraphs_against_all_pairs(spark):
+    """Each near copy by the exact similarity of all pairs of paragraphs is told, whatever the partitions."""
+    rng = random.Random(21)
+    bases = [prose(rng.randrange(40, 90), rng) for _ in range(12)]
+    rows = []
+    for i in range(90):
+        lines = [prose(rng.randrange(15, 60), rng), edited(bases[rng.randrange(12)], rng.randrange(1, 5), rng), prose(rng.randrange(15, 60), rng)]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines)))
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    lines = [(i, shingles(w), len(w)) for i, t in rows for w in lines_of(t)]
+    near = {i for k, (i, s, n) in enumerate(lines) for m, (j, t, _) in enumerate(lines) if i != j and n >= 32 and 100 * len(s & t) >= 75 * len(s | t)}
+    docs = table(spark, rows)
+    key = lambda r: tuple(r)
+    one, many = (sorted((key(r) for r in repeated_passages(d).collect()), key=repr) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == many
+    assert len(near) > 20 and near <= {r[0] for r in one}
+
+
+def test_passages_of_odd_tables(spark):
+    long = prose(400, random.Random(22))
+    rows = [(1, long), (1, long), (2, "word " * 5000), (3, "word " * 5000), (4, None), (5, ""), (None, long), (-1, "x"), (6, "x"), (7, long + " " + "z" * 100_000)]
+    found = {(r["doc_id"], r["start"], r["end"], r["removed"]) for r in repeated_passages(table(spark, rows)).collect()}
+    assert found == {(1, 0, len(long), False), (7, 0, len(long), True), (2, 0, 24_999, False), (3, 0, 24_999, True), (-1, 0, 1, False), (6, 0, 1, True)}
+
+
 def test_bands_reach_the_recall():
     for rows in (1, 2, 3):
         b = bands_for(0.95, 75, rows)
