@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .hashing import SPACE, SpanHashes, mix, word_spans
-from .setjoin import similar_components
+from .setjoin import BITS, similar_components
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, PERCENT = 5, 75
@@ -25,7 +25,7 @@ _LOWER[65:91] += 32
 MEMBERS = "doc_id long, n int, k1 long, k2 long, shingle long, seen long"
 PACKED = "fragment int, k1 binary, k2 binary, n binary, held binary, shingles binary"
 SHARED = "bucket int, k1 binary, k2 binary, n binary, held binary, shingles binary, seen binary"
-SETS = "k1 long, k2 long, n int, s int, prefix int, hashes array<long>"
+SETS = "k1 long, k2 long, n int, s int, prefix int, hashes array<long>, " + ", ".join(f"{c} long" for c in BITS)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -190,8 +190,12 @@ def _in_order(table: pa.Table, percent: int) -> pa.Table:
     prefix = n - -(-percent * n // 100) + 1 - (n - s)
     keep = prefix > 0
     at = np.concatenate([[0], np.cumsum(s[keep])]).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(shingles[keep[owner]].astype(np.int64)))
-    return pa.table([pa.array(k1[keep]), pa.array(k2[keep]), pa.array(n[keep], pa.int32()), pa.array(s[keep], pa.int32()), pa.array(prefix[keep], pa.int32()), lists], names=[c.split()[0] for c in SETS.split(", ")])
+    kept = shingles[keep[owner]]
+    lists = pa.ListArray.from_arrays(pa.array(at), pa.array(kept.astype(np.int64)))
+    turn, word = np.uint64(1) << (kept & np.uint64(63)), (kept >> np.uint64(6)) & np.uint64(3)
+    # each kept set has an entry: the first in its prefix
+    bits = [pa.array(np.bitwise_xor.reduceat(np.where(word == k, turn, np.uint64(0)), at[:-1]).astype(np.int64) if len(at) > 1 else np.zeros(0, np.int64)) for k in range(len(BITS))]
+    return pa.table([pa.array(k1[keep]), pa.array(k2[keep]), pa.array(n[keep], pa.int32()), pa.array(s[keep], pa.int32()), pa.array(prefix[keep], pa.int32()), lists, *bits], names=[c.split()[0] for c in SETS.split(", ")])
 
 
 def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -223,7 +227,7 @@ def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | N
     sets = shared.groupBy("bucket").applyInArrow(lambda t: _in_order(t, percent), SETS)
     sets = scratch.table(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     postings = sets.select("id", "n", "s", F.posexplode(F.slice("hashes", 1, F.col("prefix")))).select("id", F.col("col").alias("key"), (F.col("n") - F.col("s") + F.col("pos") + 1).alias("pos"))
-    components, _ = similar_components(sets.select("id", "n", "s", "hashes"), postings, percent, scratch)
+    components, _ = similar_components(sets.select("id", "n", "s", "hashes", *BITS), postings, percent, scratch)
 
     classes = members.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     placed = classes.join(sets.select("k1", "k2", "id"), ["k1", "k2"], "left").join(components.withColumnRenamed("node", "id"), "id", "left")

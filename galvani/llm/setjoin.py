@@ -70,16 +70,35 @@ def may_reach(a: str, b: str, percent: int) -> Column:
     return alike(1 + F.least(n_a - F.col(f"{a}pos"), n_b - F.col(f"{b}pos")), n_a, n_b, percent)
 
 
+#: Columns of 64 bits each in which every stored hash of a set turns one bit over.
+BITS = ("x0", "x1", "x2", "x3")
+
+
+def bits_of(hash_: str) -> list[Column]:
+    """Aggregates that give BITS from a row for each stored hash of a set."""
+    turn = f"shiftleft(1L, cast({hash_} & 63 as int))"
+    return [F.expr(f"bit_xor(CASE WHEN ({hash_} >> 6) & 3 = {k} THEN {turn} ELSE 0L END)").alias(c) for k, c in enumerate(BITS)]
+
+
+def may_be_alike(a: str, b: str, percent: int) -> Column:
+    """Whether two sets may reach the threshold by what they are known to differ in: each bit in which BITS differ is a
+    hash that only one of them has, as is each that isn't stored. So variants of one text are told apart without
+    their hashes, and pairs of a large family that are unlike go no further."""
+    col = lambda side, c: F.col(f"{side}{c}")
+    differ = sum((F.bit_count(col(a, c).bitwiseXOR(col(b, c))) for c in BITS), (col(a, "n") - col(a, "s")) + (col(b, "n") - col(b, "s")))
+    return (100 + percent) * differ <= (100 - percent) * (col(a, "n") + col(b, "n"))
+
+
 def similar_components(sets: DataFrame, postings: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the sets with a link, and the links (a, b) that were found.
 
-    sets: id, n, s, hashes (distinct). postings: key, id, pos; sets that may be alike share a key, and of the first key
+    sets: id, n, s, hashes (distinct), BITS. postings: key, id, pos; sets that may be alike share a key, and of the first key
     that two sets share, pos is its place in the global order of either set's hashes (1 where there is no order).
     Tables of the shared folder; both may be empty.
     """
     spark = sets.sparkSession
     parts = scratch.table(fragments(sets), "parts")
-    held = scratch.table(postings.join(sets.select("id", "n", "s"), "id").select("key", "id", "pos", "n", "s"), "postings")
+    held = scratch.table(postings.join(sets.select("id", "n", "s", *BITS), "id").select("key", "id", "pos", "n", "s", *BITS), "postings")
     links = scratch.table(spark.createDataFrame([], "a long, b long"), "links")
     components = None
     for turn in range(ROUNDS + 1):
@@ -89,17 +108,17 @@ def similar_components(sets: DataFrame, postings: DataFrame, percent: int, scrat
             at = held.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         # the first leader is the set with the least that is its own, then any other
         rank = F.col("n") - F.col("s") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(rank.alias("rank"), "id", "component", "n", "s", "pos")).alias("leader"))
+        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(rank.alias("rank"), "id", "component", "n", "s", "pos", *BITS)).alias("leader"))
         mixed = mixed.filter("low < high").select("key", "leader")
         if turn < ROUNDS:
-            star = at.join(mixed, "key").filter((F.col("component") != F.col("leader.component")) & may_reach("", "leader.", percent))
+            star = at.join(mixed, "key").filter((F.col("component") != F.col("leader.component")) & may_reach("", "leader.", percent) & may_be_alike("", "leader.", percent))
             votes = star.groupBy("id", "n", "s", "leader.id").agg(F.count(F.lit(1)).alias("votes"), F.first("leader").alias("leader")).toDF("id", "n", "s", "leader_id", "votes", "leader")
             best = votes.groupBy("id", "n", "s").agg(F.max(F.struct("votes", "leader_id", "leader")).alias("best")).select("id", "n", "s", F.col("best.leader").alias("leader"))
             pairs = best.select(F.col("id").alias("a"), F.col("leader.id").alias("b"), F.col("n").alias("n_a"), F.col("leader.n").alias("n_b"), F.col("s").alias("s_a"), F.col("leader.s").alias("s_b"))
         else:
             side = scratch.table(at.join(mixed.select("key"), "key"), "open")
-            a, b = (side.select("key", F.struct("id", "pos", "n", "s", "component").alias(x)) for x in "ab")
-            cross = a.join(b, "key").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & may_reach("a.", "b.", percent))
+            a, b = (side.select("key", F.struct("id", "pos", "n", "s", "component", *BITS).alias(x)) for x in "ab")
+            cross = a.join(b, "key").filter((F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & may_reach("a.", "b.", percent) & may_be_alike("a.", "b.", percent))
             pairs = cross.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"), F.col("a.s").alias("s_a"), F.col("b.s").alias("s_b")).distinct()
         pairs = scratch.table(pairs, "pairs")
         if pairs.isEmpty():

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .hashing import SPACE, SpanHashes, mix, span_hashes, word_spans
-from .setjoin import similar_components
+from .setjoin import BITS, bits_of, similar_components
 
 #: A piece starts at the least hash of each SPREAD pairs of words in a row, and has LEAST_PIECE words or more. Any copy
 #: of 2 * SPREAD + LEAST_PIECE words, 51, so holds a whole piece that is the same in both documents.
@@ -28,6 +28,8 @@ LEAST_PARAGRAPH, LEAST_WORDS = 12, 32
 SHINGLE, PERCENT = 5, 75
 #: Rows of a band, and the share of pairs at the least similarity that some band must bring together.
 ROWS, RECALL = 3, 0.95
+#: Contents of which one in HOT places or more is one; there are HOT of them at most, and they go to all tasks.
+HOT = 4096
 #: Bytes of text that are hashed at once.
 LOT_BYTES = 1_000_000
 
@@ -230,14 +232,14 @@ def _near_components(places: DataFrame, known: DataFrame, low: DataFrame, bands:
 
     entries = sets.select("id", "n", F.explode("entries").alias("e")).select("id", "n", F.col("e.hashes").alias("shingle"), "e.first", "e.last")
     seen = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).filter("seen > 1")
-    shared = entries.join(seen, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("x"), F.min("first").alias("lead"), (F.max("last") + SHINGLE).alias("tail"))
-    shared = shared.select("id", "n", F.size("x").alias("s"), F.transform("x", lambda e: e["shingle"]).alias("hashes"), "lead", "tail")
+    shared = entries.join(seen, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("seen", "shingle"))).alias("x"), F.min("first").alias("lead"), (F.max("last") + SHINGLE).alias("tail"), *bits_of("shingle"))
+    shared = shared.select("id", "n", F.size("x").alias("s"), F.transform("x", lambda e: e["shingle"]).alias("hashes"), "lead", "tail", *BITS)
     # what only one set has comes first in the order; a set of which that fills the prefix has no partner
     prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100) + 1 - (F.col("n") - F.col("s"))
     shared = scratch.table(shared.withColumn("prefix", prefix.cast("int")).filter("prefix > 0"), "shared")
     postings = shared.select("id", "n", "s", F.posexplode(F.slice("hashes", 1, F.col("prefix"))))
     postings = postings.select("id", F.col("col").alias("key"), (F.col("n") - F.col("s") + F.col("pos") + 1).alias("pos"))
-    components, _ = similar_components(shared.select("id", "n", "s", "hashes"), postings, percent, scratch)
+    components, _ = similar_components(shared.select("id", "n", "s", "hashes", *BITS), postings, percent, scratch)
     return components.join(shared.select(F.col("id").alias("node"), "lead", "tail"), "node")
 
 
@@ -296,7 +298,8 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least_words: int
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
     bands = bands_for(percent=percent)
     places = scratch.table(known.mapInArrow(lambda b: _places(b, bands), _place_schema(bands)), "places")
-    low = scratch.table(places.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("k0").alias("lines")).filter("low < high or lines > 0"), "low")
+    low = places.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("k0").alias("lines"), F.count(F.lit(1)).alias("n"))
+    low = scratch.table(low.filter("low < high or lines > 0"), "low")
     components = _near_components(places, known, low, bands, percent, scratch)
 
     contents = low.join(components.withColumnRenamed("node", "content"), "content", "left").filter("low < high or component is not null")
@@ -304,8 +307,10 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least_words: int
     alone = F.col("component").isNotNull() & ~F.coalesce(F.col("low") < F.col("high"), F.lit(False))
     contents = contents.withColumns({"component": F.coalesce("component", "content"), "lead": F.when(alone, F.col("lead")), "tail": F.when(alone, F.col("tail"))})
     clusters = contents.groupBy("component").agg(F.min("low").alias("first"), F.max("high").alias("last")).filter("first < last")
-    repeated = scratch.table(contents.join(clusters, "component").select("content", F.col("component").alias("cluster_id"), "first", "lead", "tail"), "repeated")
-    held = places.select("content", "doc_id", "w0", "w1", "words").join(repeated, "content").filter("doc_id is not null")
+    repeated = scratch.table(contents.join(clusters, "component").select("content", F.col("component").alias("cluster_id"), "first", "lead", "tail", "n"), "repeated")
+    hot = F.broadcast(repeated.filter(F.col("n") * HOT >= places.count()).drop("n"))
+    seats = places.select("content", "doc_id", "w0", "w1", "words").filter("doc_id is not null")
+    held = seats.join(hot, "content").unionByName(seats.join(hot, "content", "left_anti").join(repeated.drop("n"), "content"))
     held = held.withColumns({"w0": F.col("w0") + F.coalesce("lead", F.lit(0)), "w1": F.coalesce(F.col("w0") + F.col("tail"), "w1")}).drop("lead", "tail").distinct()
     held = scratch.table(_runs(held, ["doc_id"], ["w0", "w1", "content"], "stretch"), "held")
     found = held.groupBy("doc_id", "stretch").agg(
