@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import Scratch, id_and_text
 from .hashing import SpanHashes, mix, word_spans
 
 #: Edits (words put in, left out or replaced) that a copy of an item may have, as a share of the item's words.
@@ -18,10 +18,13 @@ EDITS = 0.2
 #: Walks, samples of each walk for a window size, and steps of a sample. A sample agrees where no sampled step of the
 #: two walks differs; WALKS * SAMPLES of them are tried, so that copies with EDITS edits are found (see the tests).
 WALKS, SAMPLES, STEPS = 7, 3, 5
-#: Windows start at every so many words, at most; an item is embedded from each of its first words that may fall there.
-STRIDE = 8
-#: Window sizes in words; an item has the largest that fits it. A walk takes about two steps for a word.
-SIZES = (1, 2, 4, 8, 16, 32, 64)
+#: Window sizes in words, and at every how many words of a document such windows start, at least: for sizes of 8
+#: and more a block's stride is as large, up to STRIDE, as its items allow. An item has the largest size that fits it, with windows of that size all
+#: along it; the sizes over 2 are for items of 8 words or more. A walk takes about two steps for a word.
+LEAST_STRIDES, STRIDE = {1: 1, 2: 1, 4: 2, 8: 4, 16: 8, 32: 8}, 8
+SIZES = tuple(LEAST_STRIDES)
+#: Items of which windows have this size at most may have no edit, so that one walk finds all.
+EXACT = 2
 #: Bytes of benchmark text that are searched for at once; a larger benchmark is searched for in blocks.
 BLOCK_BYTES = 4_000_000
 #: Bytes of documents that are embedded at once.
@@ -46,25 +49,24 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 class Plan:
     """The walks' random numbers, and the sampled steps by walk, window size and sample."""
 
-    stride: int
     sizes: list[int]
     multipliers: np.ndarray
     steps: dict[tuple[int, int, int], np.ndarray]
 
 
-def make_plan(stride: int, sizes: list[int]) -> Plan:
+def make_plan(sizes: list[int]) -> Plan:
     random = np.random.default_rng(5)
     multipliers = random.integers(0, 2**31, (WALKS, 2 * max(SIZES)), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     steps = {}
     for r in range(WALKS):
         for size in SIZES:
-            most = max(1, round(1.4 * size))
+            most = size if size <= EXACT else round(1.4 * size)
             for z in range(SAMPLES):
                 steps[r, size, z] = np.sort(random.choice(most, min(STEPS, most), replace=False))
-    return Plan(stride, sizes, multipliers, steps)
+    return Plan(sizes, multipliers, steps)
 
 
-def keys(words: np.ndarray, starts: np.ndarray, plan: Plan) -> dict[tuple[int, int, int], np.ndarray]:
+def keys(words: np.ndarray, starts: np.ndarray, plan: Plan, sizes: list[int]) -> dict[tuple[int, int, int], np.ndarray]:
     """For each walk, window size and sample a key for each start. words: 32 bits each, 0 past a text's end.
 
     A CGK walk reads the word under its pointer and moves on or stays, as a hash of step and word says. Walks over
@@ -74,7 +76,9 @@ def keys(words: np.ndarray, starts: np.ndarray, plan: Plan) -> dict[tuple[int, i
     with np.errstate(over="ignore"):
         for r in range(WALKS):
             at = starts.copy()
-            mine = {(size, z): plan.steps[r, size, z] for size in plan.sizes for z in range(SAMPLES)}
+            mine = {(size, z): plan.steps[r, size, z] for size in sizes for z in range(SAMPLES) if size > EXACT or r == z == 0}
+            if not mine:
+                break
             sums = {k: np.full(len(starts), (r << 16) + (k[0] << 4) + k[1], np.uint64) for k in mine}
             for j in range(1 + max(s[-1] for s in mine.values())):
                 c = words[at]
@@ -109,25 +113,31 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         hashes, first = words_of([t for _, t in items])
         self.items = [(i, hashes[a:b]) for (i, _), a, b in zip(items, first, first[1:], strict=False) if b > a]
-        least = min((len(w) for _, w in self.items), default=1)
-        stride = max(1, min(STRIDE, least // 2))
-        size = [max(s for s in SIZES if s <= max(1, len(w) - stride + 1)) for _, w in self.items]
-        self.plan = make_plan(stride, sorted(set(size)))
+        size = [max(s for s, stride in LEAST_STRIDES.items() if s + stride - 1 <= len(w) and (s <= EXACT or len(w) >= 8)) for _, w in self.items]
+        self.plan = make_plan(sorted(set(size)))
+        self.strides = {s: min(STRIDE, min(len(w) - s + 1 for z, (_, w) in zip(size, self.items, strict=True) if z == s)) if s >= 8 else LEAST_STRIDES[s] for s in self.plan.sizes}
+        # strides that are about the same are made one, so that the sizes share their walks
+        common = min((t for t in self.strides.values() if 2 * t > STRIDE), default=1)
+        self.strides = {s: common if 2 * t > STRIDE else t for s, t in self.strides.items()}
         pad = np.zeros(2 * max(SIZES) + 1, np.uint64)
         flat = np.concatenate([np.concatenate([w, pad]) for _, w in self.items]) if self.items else pad
         begin = np.cumsum([0] + [len(w) + len(pad) for _, w in self.items])[:-1]
-        owner, shift = np.repeat(np.arange(len(self.items)), stride), np.tile(np.arange(stride), len(self.items))
         found = []
-        if self.items:
-            for (_, s, _), k in keys(narrow(flat), begin[owner] + shift, self.plan).items():
-                mine = np.array(size)[owner] == s
-                found.append((k[mine], owner[mine], shift[mine]))
+        for s in self.plan.sizes:
+            # windows end to end along the item and one at its end, each from every place where a document's may fall
+            tiles = [(o, t + j) for o, (_, w) in enumerate(self.items) if size[o] == s for t in self._tiles(len(w), s) for j in range(self.strides[s])]
+            owner, shift = np.array(tiles, np.int64).T
+            found += [(k, owner, shift) for k in keys(narrow(flat), begin[owner] + shift, self.plan, [s]).values()]
         key, self.owner, self.shift = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
         order = np.argsort(key, kind="stable")
         self.key, self.owner, self.shift = key[order], self.owner[order], self.shift[order]
         self.bits = np.zeros(1 << 22, bool)  # most windows go no further than this
         self.bits[(self.key & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
+    def _tiles(self, length: int, size: int) -> list[int]:
+        last = length - size - self.strides[size] + 1
+        return sorted({*range(0, last + 1, size), last})
+
     def candidates(self, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
         """(text, item, expected place of the item's first word in the text) of windows that share a key with an item."""
         count = np.diff(first)
@@ -135,15 +145,16 @@ class Index:
         begin = first[:-1] + pad * np.arange(len(count))
         flat = np.zeros(len(words) + pad * len(count), np.uint64)
         flat[np.arange(len(words)) + pad * np.repeat(np.arange(len(count)), count)] = words
-        windows = -(-count // self.plan.stride)
-        text = np.repeat(np.arange(len(count)), windows)
-        place = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * self.plan.stride
-        out = set()
-        for k in keys(narrow(flat), begin[text] + place, self.plan).values():
-            hit = np.flatnonzero(self.bits[(k & np.uint64((1 << 22) - 1)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
-            for w, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                out.update((int(text[w]), int(o), int(place[w] - s)) for o, s in zip(self.owner[a:b], self.shift[a:b], strict=True))
+        flat, out = narrow(flat), set()
+        for stride in sorted(set(self.strides.values())):
+            windows = -(-count // stride)
+            text = np.repeat(np.arange(len(count)), windows)
+            place = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * stride
+            for k in keys(flat, begin[text] + place, self.plan, [s for s in self.plan.sizes if self.strides[s] == stride]).values():
+                hit = np.flatnonzero(self.bits[(k & np.uint64((1 << 22) - 1)).astype(np.int64)])
+                lo, hi = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
+                for w, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
+                    out.update((int(text[w]), int(o), int(place[w] - s)) for o, s in zip(self.owner[a:b], self.shift[a:b], strict=True))
         return out
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int, int]]:
@@ -156,7 +167,7 @@ class Index:
         for text, item, at in sorted(self.candidates(words, first)):
             _, want = self.items[item]
             most = int(EDITS * len(want))
-            slack = most + self.plan.stride
+            slack = most + STRIDE
             if (text, item, at // (slack + 1)) in tried:
                 continue
             tried.add((text, item, at // (slack + 1)))
@@ -185,13 +196,13 @@ def _search(batches, index: Index):
 
 
 def _indexes(benchmark: DataFrame, block_bytes: int):
-    """The items in blocks of about `block_bytes`, by a hash; a block is gathered and goes to all tasks."""
+    """The items in blocks of about `block_bytes`, by a hash; a block is gathered and goes to all tasks, one at a time."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for block in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        yield Index(sorted(((r["item_id"], r["text"]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))), block + 1 == blocks
 
 
 def find_benchmark_copies(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,11 +210,15 @@ def find_benchmark_copies(docs: DataFrame, benchmark: DataFrame, block_bytes: in
     best place there in words.
 
     A copy has EDITS of the item's words as edits at most. A block of items is one pass over the documents without a
-    shuffle. Null and empty texts, on either side, have no words and match nothing; a null id stays null; repeated
+    shuffle; of several blocks each pass is written before the next block is gathered. Null and empty texts, on either side, have no words and match nothing; a null id stays null; repeated
     rows give repeated results; empty tables give an empty result; other columns are ignored.
     """
     known = id_and_text(docs, id_col, text_col)
-    found = [known.mapInArrow(lambda b, index=index: _search(b, index), SCHEMA) for index in _indexes(benchmark, block_bytes)]
+    scratch = Scratch(docs.sparkSession)
+    found = []
+    for index, last in _indexes(benchmark, block_bytes):
+        part = known.mapInArrow(lambda b, index=index: _search(b, index), SCHEMA)
+        found.append(part if last and not found else scratch.table(part, "block"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -231,6 +246,8 @@ def _clean(batches, index: Index):
 
 def drop_benchmark_copies(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, with all their columns, that hold no copy of any item; as find_benchmark_copies, without a shuffle."""
-    for index in _indexes(benchmark, block_bytes):
+    scratch = Scratch(docs.sparkSession)
+    for index, last in _indexes(benchmark, block_bytes):
         docs = docs.mapInArrow(lambda b, index=index: _clean(b, index), docs.schema)
+        docs = docs if last else scratch.table(docs, "clean")
     return docs

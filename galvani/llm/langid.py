@@ -27,6 +27,8 @@ SHARE, REJECT = 0.6, 0.01
 LEAST_GRAMS = 16
 #: Lengths (powers of two) that have thresholds of their own.
 LENGTHS = 24
+#: Texts of which vectors are held at once.
+CHUNK = 64
 #: Share of the texts that each n-gram counts as being in besides.
 SMOOTH = 0.05
 UNKNOWN = "und"
@@ -44,8 +46,8 @@ class Model:
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane its value if it is a letter, else a blank."""
-    return np.array([c if chr(c).isalpha() else 32 for c in range(0x10000)], np.uint32)
+    """For each code point its value if it is a letter, else a blank."""
+    return np.array([c if chr(c).isalpha() else 32 for c in range(0x110000)], np.uint32)
 
 
 #: A key: ASCII letters, _, - and at least a digit. It is looked for where a run starts only, so in linear time.
@@ -64,8 +66,7 @@ def letter_codes(text: str) -> np.ndarray:
 
 def _codes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(codes < 0x10000, _letters()[np.minimum(codes, 0xFFFF)], codes)
-    codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
+    codes = np.concatenate([[32], _letters()[codes], [32]]).astype(np.uint32)
     return codes[np.concatenate([[True], (codes[1:] != 32) | (codes[:-1] != 32)])]
 
 
@@ -91,8 +92,11 @@ def counts(text: str | None) -> np.ndarray | None:
 
 
 def unit(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf.astype(np.float32)) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
+    v = tf.astype(np.float32)
+    np.log1p(v, out=v)
+    v *= idf
+    v /= np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-9)
+    return v
 
 
 def spherical_means(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
@@ -117,7 +121,8 @@ def _sample(docs: DataFrame, sample: int) -> DataFrame:
     share = known.groupBy("lang").agg((F.lit(float(sample)) / F.count(F.lit(1))).alias("share"))
     unit_hash = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     # one row for each language
-    return known.join(F.broadcast(share), "lang").filter(unit_hash < F.col("share")).select("lang", "text")
+    # a row that is repeated very often would otherwise come in as often
+    return known.join(F.broadcast(share), "lang").filter(unit_hash < F.col("share")).select("lang", "text").distinct()
 
 
 def _features(batches):
@@ -153,19 +158,25 @@ def _length_class(grams) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(grams, 1)).astype(int), LENGTHS - 1)
 
 
+def _vectors(rows: list[tuple[bytes, bytes]], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of so many rows."""
+    tf = np.zeros((len(rows), BUCKETS), np.float32)
+    for k, (at, n) in enumerate(rows):
+        tf[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
+    return unit(tf, idf)
+
+
 def _clusters(idf: np.ndarray, centroids: int):
+    """Whole texts are clustered; excerpts, of which there are more, only give cosines, some rows at a time."""
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        tf = np.zeros((len(rows), BUCKETS), np.float32)
-        for k, (at, n) in enumerate(zip(rows["at"], rows["tf"], strict=True)):
-            tf[k, np.frombuffer(at, np.uint16)] = np.frombuffer(n, np.uint32)
-        order = np.lexsort((tf @ np.arange(1, BUCKETS + 1), tf.sum(1)))  # whatever order the shuffle gave
-        tf, whole = tf[order], rows["whole"].to_numpy()[order]
-        size = _length_class(tf.sum(1))
-        x = unit(tf, idf)
-        if not whole.any():
+        whole = sorted(zip(rows["at"][rows["whole"]], rows["tf"][rows["whole"]], strict=True))  # whatever order the shuffle gave
+        if not whole:
             return pd.DataFrame({"lang": [], "centroid": [], "least": []})
-        centers = spherical_means(x[whole], centroids)
-        cos = (x @ centers.T).max(1)
+        centers = spherical_means(_vectors(whole, idf), centroids)
+        held = list(zip(rows["at"], rows["tf"], strict=True))
+        size = _length_class(np.array([np.frombuffer(n, np.uint32).sum() for _, n in held]))
+        cos = np.concatenate([(_vectors(held[k : k + CHUNK], idf) @ centers.T).max(1) for k in range(0, len(held), CHUNK)])
         least = np.full(LENGTHS, np.inf)
         for b in np.unique(size):
             least[b] = np.quantile(cos[size == b], REJECT) * SHARE
@@ -195,8 +206,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
 
 def _predict(texts: list[str | None], model: Model | None) -> list[tuple[str, float, bool]]:
     out: list[tuple[str, float, bool]] = [(UNKNOWN, 0.0, True)] * len(texts)
-    for at in range(0, len(texts), 256):
-        known = [(k, c) for k in range(at, min(at + 256, len(texts))) if (c := counts(texts[k])) is not None]
+    for at in range(0, len(texts), CHUNK):
+        known = [(k, c) for k in range(at, min(at + CHUNK, len(texts))) if (c := counts(texts[k])) is not None]
         if not known or model is None:
             continue
         tf = np.stack([c for _, c in known])
@@ -217,7 +228,9 @@ def identify_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
 
     Text without a letter, and null text, is `und` and rejected, as is all text where there was nothing to learn
     from. A text farther from its nearest centroid than learned texts of that length is rejected, but keeps the
-    language of that centroid. A table without rows gives an empty result; columns of these names are replaced.
+    language of that centroid; of equally near centroids the first by language is taken. A null doc_id is a document
+    like any other, repeated rows give repeated results. A table without rows gives an empty result; columns of these
+    names are replaced.
     """
     model = learn(docs) if model is _LEARN else model  # None: there was nothing to learn from
     kept = docs.drop("lang_pred", "score", "rejected")
@@ -236,7 +249,10 @@ def identify_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
 
 
 def keep_known_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
-    """The rows, with all their columns, that identify_languages doesn't reject. One pass without a shuffle."""
+    """The rows, with all their columns, that identify_languages doesn't reject; one pass without a shuffle.
+
+    Null and empty texts go; rows without an id and repeated rows stay as often as they come; a table without rows
+    stays so; no column is added, so none can clash."""
     model = learn(docs) if model is _LEARN else model  # None: there was nothing to learn from
 
     def run(batches):

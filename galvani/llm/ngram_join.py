@@ -17,7 +17,9 @@ WORDS, PERCENT = 5, 75
 #: or more is hot: it comes last in the global order and is never gathered in one task.
 HOT = 4096
 #: Entries of a fragment of the global order, about.
-FRAGMENT_ENTRIES = 2_000_000
+FRAGMENT_ENTRIES = 1_000_000
+#: Characters of the texts of which sets are held at once.
+LOT_CHARS = 8_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -72,16 +74,20 @@ def _members(batches):
 
 
 def _distinct_sets(batches):
-    """The sets of a task's documents, each set once."""
-    seen = set()
+    """The sets of a task's documents, each set once, in lots of bounded size."""
+    seen, found, size = set(), [], 0
     for batch in batches:
-        found = []
         for text in batch.column("text"):
-            s = shingle_set(text.as_py())
+            text = text.as_py()
+            s = shingle_set(text)
             if len(s) and (key := set_key(s)) not in seen:
                 seen.add(key)
                 found.append((key, s))
-        yield found
+                size += len(text)
+            if size >= LOT_CHARS:
+                yield found
+                found, size = [], 0
+    yield found
 
 
 def _pack(batches, fragments: int, hot: np.ndarray):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -80,7 +81,9 @@ def encoder(vocabulary: str):
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 @lru_cache(2)
@@ -89,16 +92,14 @@ def whole_encoder(vocabulary: str):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
 
 
 def encode(text: str | None, vocabulary: str = VOCABULARY) -> array:
-    """The ids of the whole text. A string of a special token is ordinary text."""
+    """The ids of the whole text, as `tokenizers` gives them: a string of an added token has that token's id."""
     if text and len(text) >= LONG_BLANK and max((m.end() - m.start() for m in re.finditer(r"\s+", text)), default=0) >= LONG_BLANK:
         return array("I", whole_encoder(vocabulary).encode(text, add_special_tokens=False).ids)
-    return array("I", encoder(vocabulary).encode_ordinary(text) if text else ())
+    return array("I", encoder(vocabulary).encode(text, allowed_special="all") if text else ())
 
 
 def _pack(batches, window: int, lot: int, vocabulary: str):

@@ -277,6 +277,23 @@ def test_copies_with_edits_are_found(spark):
     assert len(again & want) >= 0.97 * len(want) and not again - want
 
 
+@pytest.mark.parametrize("length", [1, 3, 5, 8, 12, 40, 200, 500])
+@pytest.mark.parametrize("part", [(0, 1), (0, 0.4), (0.6, 1), (0.3, 0.7)], ids=["all over", "head", "tail", "middle"])
+def test_recall_at_the_most_edits(length, part):
+    """Copies with all the edits that are allowed, spread or in one part, of items short and long."""
+    rng = random.Random(length)
+    items = [(i, prose(length, rng)) for i in range(20)]
+    texts = []
+    for k in range(100):
+        w = items[k % 20][1].split()
+        for _ in range(int(D.EDITS * length)):
+            at = rng.randrange(int(part[0] * len(w)), max(int(part[0] * len(w)) + 1, int(part[1] * len(w))))
+            w[at : at + rng.randrange(2)] = [f"new{rng.randrange(10**6)}"] * rng.randrange(2)
+        texts.append(prose(rng.randrange(60), rng) + " " + " ".join(w) + " " + prose(rng.randrange(60), rng))
+    found = {(t, i) for t, i, *_ in D.Index(items).matches(texts)}
+    assert sum((k, k % 20) in found for k in range(100)) >= 90
+
+
 @pytest.mark.parametrize("docs,items", [([], [(1, "a b c d")]), ([(1, "a b c d")], [])])
 def test_decontamination_of_empty_tables(spark, docs, items):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
