@@ -12,7 +12,7 @@ from .common import id_and_text
 #: Code points of a token at most: tokens are runs without white space, cut into pieces of so many.
 PIECE = 8
 #: Tokens of a k-gram, and k-grams of a window: a run of K + WINDOW - 1 equal tokens is sure to share a fingerprint.
-K, WINDOW = 4, 8
+K, WINDOW = 3, 4
 #: The rolling hash: a polynomial of the tokens' hashes below the prime MODULUS.
 BASE, MODULUS = 1_000_003, 2_147_483_647
 LAST = 4_294_967_295

@@ -15,8 +15,9 @@ from .hashing import SPACE, SpanHashes, word_spans
 BUCKETS, WIDTH = 65_536, 16
 #: Bytes of the character n-grams.
 GRAMS = (2, 3, 4)
-#: About so many labelled documents are learned from, in so many passes, from this rate down to none.
-SAMPLE, PASSES, RATE = 4000, 8, 0.8
+#: About so many labelled documents are learned from, in so many passes, from these rates (of the output weights, and of
+#: the vectors, of which each has a small part in a document's mean) down to none.
+SAMPLE, PASSES, RATE, VECTOR_RATE = 4000, 8, 0.8, 20.0
 #: From this score on a document is predicted to be of quality.
 LEAST_SCORE = 0.7
 
@@ -73,10 +74,10 @@ def _train(rows: pd.DataFrame) -> pd.DataFrame:
             p /= p.sum()
             p[label] -= 1
             # both labels weigh the same as a whole
-            rate = RATE * (1 - done / steps) * min(4.0, 0.5 * len(docs) / share[label])
+            rate = (1 - done / steps) * min(4.0, 0.5 * len(docs) / share[label])
             back = p @ weights
-            weights -= rate * np.outer(p, mean).astype(np.float32)
-            vectors[at] -= np.outer(np.sqrt(part), rate * back).astype(np.float32)
+            weights -= RATE * rate * np.outer(p, mean).astype(np.float32)
+            vectors[at] -= np.outer(part, VECTOR_RATE * rate * back).astype(np.float32)
             done += 1
     return pd.DataFrame({"weights": [(vectors @ (weights[1] - weights[0])).astype(np.float32).tobytes()]})
 
@@ -93,6 +94,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
     unit_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     taken = known.filter(unit_hash < sample / max(1, n)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).filter("quality = most").drop("most")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(taken), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # rows of one id are one document
     features = texts.select("quality", "text").mapInArrow(_features, "quality int, at binary, n binary")
     found = features.groupBy(F.lit(0).alias("one")).applyInPandas(_train, "weights binary").collect()
     return np.frombuffer(found[0]["weights"], np.float32) if found else None
@@ -121,5 +123,6 @@ def score_quality(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The op4 columns."""
+    """The op4 columns. Repeated rows of an id are learned from once, by their least text, and scored each for itself; a
+    null id is never learned from, and not held out."""
     return score_quality(docs, learn(docs, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= LEAST_SCORE).cast("int").alias("predicted"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import datetime
 import hashlib
 import re
 import zlib
@@ -20,8 +21,8 @@ CHUNK_CHARS = 16_384
 LEAST_BYTES = 0
 #: Rows of an output batch.
 ROWS = 256
-#: Tasks over which the copies of one payload are dealt.
-SALTS = 16
+#: Payloads of which one in HOT pages or more is a copy; there are HOT of them at most, and they go to all tasks.
+HOT = 4096
 
 CHUNKS = "record_id long, chunk_no int, data binary, payload_sha1 binary"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
@@ -31,8 +32,14 @@ def _digest(sha1: bytes) -> str:
     return base64.b32encode(sha1).decode()
 
 
-def _header(record_type: str, record_id: int, page_id, url, block: int, payload: int, digest: str, refers_to) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: <urn:record:{record_id}>", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {payload}", f"Content-Length: {block}"]
+def _name(page_id, digest: str) -> str:
+    """The name of a response, which its revisits can tell too."""
+    return f"<urn:page:{page_id}:{digest}>"
+
+
+def _header(record_type: str, record_id: int, page_id, url, block: int, payload: int, digest: str, refers_to, date: str) -> bytes:
+    named = record_type == "response" and page_id is not None
+    lines = ["WARC/1.1", f"WARC-Type: {record_type}", f"WARC-Record-ID: {_name(page_id, digest) if named else f'<urn:record:{record_id}>'}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {payload}", f"Content-Length: {block}"]
     if page_id is not None:
         lines.append(f"X-Page-ID: {page_id}")
     if url is not None:
@@ -40,13 +47,13 @@ def _header(record_type: str, record_id: int, page_id, url, block: int, payload:
     if record_type == "revisit":
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
         if refers_to is not None:
-            lines.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+            lines.append(f"WARC-Refers-To: {_name(refers_to, digest)}")
     else:
         lines.append("Content-Type: application/http;msgtype=response")
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8", "surrogatepass")
 
 
-def _records(batches, chunk: int):
+def _records(batches, chunk: int, date: str):
     """Records in rows of chunks. The first row of a record has its headers alone; the last has its closing line ends."""
     record_id = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
     out: list[tuple] = []
@@ -56,7 +63,7 @@ def _records(batches, chunk: int):
             full = is_response[k].as_py()
             n, sha1 = size[k].as_py(), hashlib.sha1()
             http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode() if full else b""
-            head = _header("response" if full else "revisit", record_id, page[k].as_py(), url[k].as_py(), len(http) + n * full, n, _digest(bytes.fromhex(sha1_hex[k].as_py())), refers[k].as_py())
+            head = _header("response" if full else "revisit", record_id, page[k].as_py(), url[k].as_py(), len(http) + n * full, n, _digest(bytes.fromhex(sha1_hex[k].as_py())), refers[k].as_py(), date)
             out.append((record_id, 0, head + http, sha1.digest()))
             no = 1
             if full and html[k].is_valid:
@@ -81,23 +88,26 @@ def _chunk_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["record_id", "chunk_no", "data", "payload_sha1"])
 
 
-def plan_records(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES, salts: int = SALTS) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_BYTES, hot: int = HOT) -> DataFrame:
     """The pages, each with the digest and length of its payload and whether its record is a response or a revisit.
 
     Of equal payloads of `least_bytes` or more the one with the largest page_id is the response. That page is found
     by a partial maximum for each digest, so that a payload with very many copies is one row for each task before
-    the shuffle. Only digests that repeat are joined back. They are written first: by their size Spark sends them to
-    the pages (below its broadcast threshold, and no payload moves) or shuffles both sides, on the digest and a salt,
-    so that the copies of one payload are dealt over `salts` tasks.
+    the shuffle. Only digests that repeat are joined back. They are written first: those with a large share of all
+    pages, `hot` at most, go to all tasks, and their pages to any task by the page; the rest are, by their size, sent to
+    the pages (below Spark's broadcast threshold, and no payload moves) or both sides are shuffled on the digest.
     """
     known = pages.select(
         pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), F.coalesce(pages["html"].cast("string"), F.lit("")).alias("html")
     ).select("*", F.octet_length("html").cast("long").alias("payload_bytes"), F.sha1(F.col("html").cast("binary")).alias("sha1"))
     first = known.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = scratch.table(first.filter("n > 1").select("sha1", "first"), "repeated").select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    salted = known.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+    repeated = scratch.table(first.filter("n > 1"), "repeated")
+    often = F.col("n") * hot >= pages.count()
+    known = known.join(F.broadcast(repeated.filter(often).select("sha1", F.col("first").alias("often"), F.lit(True).alias("is_hot"))), "sha1", "left")
+    dealt = known.withColumn("by", F.when(F.col("is_hot"), F.concat_ws("-", F.lit("page"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("sha1")))
+    found = dealt.join(repeated.filter(~often).select(F.col("sha1").alias("by"), "first"), "by", "left").withColumn("first", F.coalesce("often", "first"))
     same = F.coalesce(F.col("page_id") == F.col("first"), F.col("page_id").isNull() & F.col("first").isNull())
-    return salted.join(repeated, ["sha1", "salt"], "left").select("page_id", "url", "html", "payload_bytes", "sha1", same.alias("is_last"), F.col("first").alias("refers_to")).withColumn(
+    return found.select("page_id", "url", "html", "payload_bytes", "sha1", same.alias("is_last"), F.col("first").alias("refers_to")).withColumn(
         "is_response", F.col("refers_to").isNull() | F.col("is_last")
     )
 
@@ -106,11 +116,13 @@ def write_archives(pages: DataFrame, scratch: Scratch, least_bytes: int = LEAST_
     """The archives as a table of chunks in the shared folder; a record's chunks, each a gzip member, are its bytes.
 
     payload_sha1 is the digest of the record's payload as far as that chunk, so that a reader can check a payload
-    that it has read in part. A null html is an empty payload, a null url leaves the header out, a null page_id too
+    that it has read in part. A response with a page_id is named by it and its digest, and revisits refer to that name;
+    all records have the time at which the job was made as their date. A null html is an empty payload, a null url leaves the header out, a null page_id too
     (equal payloads of which no page has an id are all responses). Rows that share the largest page_id are all
     responses. An empty table gives an empty archive; other columns are ignored.
     """
-    return scratch.table(plan_records(pages, scratch, least_bytes).mapInArrow(lambda batches: _records(batches, chunk_chars), CHUNKS), "warc")
+    date = datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return scratch.table(plan_records(pages, scratch, least_bytes).mapInArrow(lambda batches: _records(batches, chunk_chars, date), CHUNKS), "warc")
 
 
 class _Reader:

@@ -123,3 +123,32 @@ def test_damage_is_seen(spark):
     rows = [(r, no, bytes(zlib.compress(b"X" * 100, wbits=31)) if no == 3 else bytes(data), bytes(sha1)) for r, no, data, sha1 in rows]
     broken = spark.createDataFrame(rows, "record_id long, chunk_no int, data binary, payload_sha1 binary")
     assert [r["intact"] for r in read_archives(broken).collect()] == [False]
+
+
+def test_records_are_dated_and_revisits_name_a_record(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    rows = write_archives(pages, Scratch(spark)).orderBy("record_id", "chunk_no").collect()
+    heads = [zlib.decompress(r["data"], wbits=31).decode().split("\r\n\r\n")[0].split("\r\n") for r in rows if r["chunk_no"] == 0]
+    fields = [dict(line.split(": ", 1) for line in head[1:]) for head in heads]
+    names = {f["WARC-Record-ID"]: f for f in fields}
+    assert len(names) == len(PAGES) and all(len(f["WARC-Date"]) == 20 for f in fields)
+    revisits = [f for f in fields if f["WARC-Type"] == "revisit"]
+    assert len(revisits) == 4
+    for f in revisits:
+        first = names[f["WARC-Refers-To"]]
+        assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == f["WARC-Payload-Digest"]
+
+
+def test_an_archive_in_any_order_or_in_part(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    chunks = write_archives(pages, Scratch(spark), chunk_chars=100)
+    whole = {(r["page_id"], r["payload_digest"], r["intact"]) for r in read_archives(chunks.orderBy("payload_sha1", "data")).collect()}
+    assert whole == {(p, d, True) for p, _, d, *_ in want(PAGES)}
+    cut = read_archives(chunks.filter("chunk_no < 3")).collect()
+    assert len(cut) == len(PAGES) and {r["page_id"] for r in cut if not r["intact"]} == {4, 5} - {r["page_id"] for r in cut if r["record_type"] == "revisit"}
+
+
+def test_a_payload_with_very_many_copies(spark):
+    rows = [(i, "u", "same") for i in range(50)] + [(i, "u", f"page {i % 60}") for i in range(50, 150)]
+    found = sorted((tuple(r) for r in warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=repr)
+    assert found == want(rows)
