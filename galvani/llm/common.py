@@ -2,12 +2,66 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galvani.sources.scratch import Scratch
+from galvani.sources.scratch import Scratch as SharedTables
+
+__all__ = ["Scratch", "frugal", "give_back", "held_out", "id_and_text", "lots", "read"]
+
+
+#: Bytes of the batches that a task and its Python worker hold, unless the session says otherwise: texts may be long.
+BATCH_BYTES = 4_000_000
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    if spark.conf.get(_BYTES, None) is None:
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
+
+
+class Scratch(SharedTables):
+    """Tables in the shared folder, for a session with batches of bounded size."""
+
+    def __init__(self, spark: SparkSession):
+        bound_batches(spark)
+        super().__init__(spark)
+
+
+def give_back(result=None):
+    """A worker gives the memory that it has freed back to the machine: workers live on from stage to stage, and would
+    otherwise keep the most that any stage has needed."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    return result
+
+
+def frugal(run):
+    """The function of batches, with give_back at the end of a task."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
 
-__all__ = ["Scratch", "held_out", "id_and_text", "read"]
+def lots(batches, chars: int, rows: int = 1000):
+    """The batches in slices of at most so many rows and, but for one long text, about so many bytes."""
+    for batch in batches:
+        at, size = 0, 0
+        for k, text in enumerate(batch.column("text")):
+            size += text.as_buffer().size if text.is_valid else 0
+            if size >= chars or k + 1 - at >= rows:
+                yield batch.slice(at, k + 1 - at)
+                at, size = k + 1, 0
+        if at < batch.num_rows or not batch.num_rows:
+            yield batch.slice(at)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,6 +70,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator needs, so that further columns cannot clash."""
+    bound_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 

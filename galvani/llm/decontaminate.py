@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_and_text
+from .common import Scratch, frugal, id_and_text, lots
 from .hashing import SpanHashes, mix, word_spans
 
 #: Edits (words put in, left out or replaced) that a copy of an item may have, as a share of the item's words.
@@ -28,7 +28,7 @@ EXACT = 2
 #: Bytes of benchmark text that are searched for at once; a larger benchmark is searched for in blocks.
 BLOCK_BYTES = 4_000_000
 #: Bytes of documents that are embedded at once.
-LOT_BYTES = 2_000_000
+LOT_BYTES = 1_000_000
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 _BLANK = np.arange(256) == 32
@@ -187,11 +187,9 @@ def narrow(words: np.ndarray) -> np.ndarray:
 
 def _search(batches, index: Index):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
-    for batch in batches:
-        ids, rows, at = batch.column("doc_id").to_pylist(), [], 0
-        for lot in _lots(batch.column("text")):
-            rows += [(ids[at + t], *rest) for t, *rest in index.matches(lot)]
-            at += len(lot)
+    for batch in lots(batches, LOT_BYTES):
+        ids = batch.column("doc_id").to_pylist()
+        rows = [(ids[t], *rest) for t, *rest in index.matches([x.as_py() for x in batch.column("text")])]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*rows, strict=True)) or [()] * 6], names)
 
 
@@ -217,30 +215,15 @@ def find_benchmark_copies(docs: DataFrame, benchmark: DataFrame, block_bytes: in
     scratch = Scratch(docs.sparkSession)
     found = []
     for index, last in _indexes(benchmark, block_bytes):
-        part = known.mapInArrow(lambda b, index=index: _search(b, index), SCHEMA)
+        part = known.mapInArrow(frugal(lambda b, index=index: _search(b, index)), SCHEMA)
         found.append(part if last and not found else scratch.table(part, "block"))
     return reduce(DataFrame.unionByName, found)
 
 
-def _lots(column):
-    lot, size = [], 0
-    for text in column:
-        lot.append(text.as_py())
-        size += len(lot[-1] or "")
-        if size >= LOT_BYTES:
-            yield lot
-            lot, size = [], 0
-    yield lot
-
-
 def _clean(batches, index: Index):
-    for batch in batches:
-        dirty, at = [], 0
-        for lot in _lots(batch.column("text")):
-            dirty += [at + t for t in {t for t, *_ in index.matches(lot)}]
-            at += len(lot)
+    for batch in lots(batches, LOT_BYTES):
         keep = np.ones(batch.num_rows, bool)
-        keep[dirty] = False
+        keep[[t for t, *_ in index.matches([x.as_py() for x in batch.column("text")])]] = False
         yield batch.filter(pa.array(keep))
 
 
@@ -248,6 +231,6 @@ def drop_benchmark_copies(docs: DataFrame, benchmark: DataFrame, block_bytes: in
     """The documents, with all their columns, that hold no copy of any item; as find_benchmark_copies, without a shuffle."""
     scratch = Scratch(docs.sparkSession)
     for index, last in _indexes(benchmark, block_bytes):
-        docs = docs.mapInArrow(lambda b, index=index: _clean(b, index), docs.schema)
+        docs = docs.mapInArrow(frugal(lambda b, index=index: _clean(b, index)), docs.schema)
         docs = docs if last else scratch.table(docs, "clean")
     return docs

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out
+from .common import Scratch, frugal, held_out, lots
 
 #: Buckets of hashed n-grams.
 BUCKETS = 8192
@@ -27,8 +27,8 @@ SHARE, REJECT = 0.6, 0.01
 LEAST_GRAMS = 16
 #: Lengths (powers of two) that have thresholds of their own.
 LENGTHS = 24
-#: Texts of which vectors are held at once.
-CHUNK = 64
+#: Texts of which vectors are held at once, and about so many bytes of text.
+CHUNK, LOT_BYTES = 64, 1_000_000
 #: Share of the texts that each n-gram counts as being in besides.
 SMOOTH = 0.05
 UNKNOWN = "und"
@@ -126,7 +126,7 @@ def _sample(docs: DataFrame, sample: int) -> DataFrame:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in lots(batches, LOT_BYTES):
         rows = []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
             text = text.as_py()
@@ -191,13 +191,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) ->
     """Learn from about `sample` documents of each language: document frequencies over all of them, then a clustering
     for each language in a task of its own. The driver gets the frequencies and the centroids only. None where
     nothing can be learned from."""
-    features = _sample(docs, sample).mapInArrow(_features, "lang string, whole boolean, at binary, tf binary").persist()
-    found = {r["bucket"]: r["n"] for r in features.mapInArrow(_document_frequency, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+    scratch = Scratch(docs.sparkSession)
+    features = scratch.table(_sample(docs, sample).mapInArrow(frugal(_features), "lang string, whole boolean, at binary, tf binary"), "features")
+    found = {r["bucket"]: r["n"] for r in features.mapInArrow(frugal(_document_frequency), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     n, seen = max(1, found.get(-1, 0)), np.array([found.get(b, 0) for b in range(BUCKETS)])
     # smoothed, so that a few unseen n-grams (a name, a key) don't outweigh all that every text has
     idf = np.log(1 + n / (seen + SMOOTH * n)).astype(np.float32)
     rows = features.groupBy("lang").applyInPandas(_clusters(idf, centroids), "lang string, centroid binary, least binary").collect()
-    features.unpersist()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
@@ -235,8 +235,9 @@ def identify_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
     model = learn(docs) if model is _LEARN else model  # None: there was nothing to learn from
     kept = docs.drop("lang_pred", "score", "rejected")
 
+    @frugal
     def run(batches):
-        for batch in batches:
+        for batch in lots(batches, LOT_BYTES):
             found = _predict([t.as_py() for t in batch.column("text")], model)
             columns = list(zip(*found, strict=True)) or [(), (), ()]
             kinds = (pa.string(), pa.float64(), pa.bool_())
@@ -255,8 +256,9 @@ def keep_known_languages(docs: DataFrame, model=_LEARN) -> DataFrame:
     stays so; no column is added, so none can clash."""
     model = learn(docs) if model is _LEARN else model  # None: there was nothing to learn from
 
+    @frugal
     def run(batches):
-        for batch in batches:
+        for batch in lots(batches, LOT_BYTES):
             yield batch.filter(pa.array([not far for _, _, far in _predict([t.as_py() for t in batch.column("text")], model)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

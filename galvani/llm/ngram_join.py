@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal, give_back, lots
 from .hashing import SPACE, SpanHashes, mix, word_spans
 from .setjoin import BITS, similar_components
 
@@ -19,7 +19,7 @@ HOT = 4096
 #: Entries of a fragment of the global order, about.
 FRAGMENT_ENTRIES = 1_000_000
 #: Characters of the texts of which sets are held at once.
-LOT_CHARS = 8_000_000
+LOT_CHARS = 4_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,7 +59,7 @@ def set_key(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _members(batches):
-    for batch in batches:
+    for batch in lots(batches, LOT_CHARS, 10_000):
         rows, lot = [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
             s = shingle_set(text.as_py())
@@ -220,17 +220,17 @@ def join_by_ngrams(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | N
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    table = scratch.table(known.mapInArrow(_members, MEMBERS), "members")
+    table = scratch.table(known.mapInArrow(frugal(_members), MEMBERS), "members")
     members = table.filter("n is not null").select("doc_id", "n", "k1", "k2")
     entries = members.agg(F.sum("n")).first()[0] or 0
     frequent = table.filter("n is null").groupBy("shingle").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= max(2, entries // HOT))
     hot = np.sort(np.array([r["shingle"] for r in frequent.collect()], np.int64).astype(np.uint64))  # HOT at most
     fragments = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entries // FRAGMENT_ENTRIES))
 
-    shared = known.select("text").mapInArrow(lambda b: _pack(b, fragments, hot), PACKED).groupBy("fragment").applyInArrow(lambda t: _fragment(t, fragments), SHARED)
+    shared = known.select("text").mapInArrow(frugal(lambda b: _pack(b, fragments, hot)), PACKED).groupBy("fragment").applyInArrow(lambda t: give_back(_fragment(t, fragments)), SHARED)
     if len(hot):
-        shared = shared.unionByName(known.select("text").mapInArrow(lambda b: _hot_entries(b, hot, fragments), SHARED))
-    sets = shared.groupBy("bucket").applyInArrow(lambda t: _in_order(t, percent), SETS)
+        shared = shared.unionByName(known.select("text").mapInArrow(frugal(lambda b: _hot_entries(b, hot, fragments)), SHARED))
+    sets = shared.groupBy("bucket").applyInArrow(lambda t: give_back(_in_order(t, percent)), SETS)
     sets = scratch.table(sets.withColumn("id", F.monotonically_increasing_id()), "sets")
     postings = sets.select("id", "n", "s", F.posexplode(F.slice("hashes", 1, F.col("prefix")))).select("id", F.col("col").alias("key"), (F.col("n") - F.col("s") + F.col("pos") + 1).alias("pos"))
     components, _ = similar_components(sets.select("id", "n", "s", "hashes", *BITS), postings, percent, scratch)

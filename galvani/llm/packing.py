@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_and_text
+from .common import frugal, id_and_text
 
 WINDOW = 1024
 END_ID = 0
@@ -151,4 +151,4 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCA
     A null text is empty: a piece of one id. A null id is kept; repeated rows are packed each for itself; equal
     lengths go by their order in the task; an empty table gives an empty result; other columns are ignored.
     """
-    return id_and_text(docs, id_col, text_col).mapInArrow(lambda batches: _pack(batches, window, lot, vocabulary), SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(frugal(lambda batches: _pack(batches, window, lot, vocabulary)), SCHEMA)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frugal
 from .hashing import SPACE, SpanHashes, mix, span_hashes, word_spans
 from .setjoin import BITS, bits_of, similar_components
 
@@ -227,7 +227,7 @@ def _near_components(places: DataFrame, known: DataFrame, low: DataFrame, bands:
     # the text of one document for each content to be compared
     holders = low.join(met.withColumnRenamed("id", "content"), "content", "left_semi").filter("low is not null")
     holders = holders.groupBy(F.col("low").alias("doc_id")).agg(F.collect_list("content").alias("wanted"))
-    sets = known.join(holders, "doc_id").select("text", "wanted").mapInArrow(_wanted_sets, SETS).dropDuplicates(["id"])
+    sets = known.join(holders, "doc_id").select("text", "wanted").mapInArrow(frugal(_wanted_sets), SETS).dropDuplicates(["id"])
     sets = scratch.table(sets.select("id", F.size("hashes").alias("n"), F.arrays_zip("hashes", "first", "last").alias("entries")), "sets")
 
     entries = sets.select("id", "n", F.explode("entries").alias("e")).select("id", "n", F.col("e.hashes").alias("shingle"), "e.first", "e.last")
@@ -271,7 +271,7 @@ def _ends(known: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
     ends = scratch.table(ends, "ends")
     wanted = ends.select("doc_id", "at", "side").union(ends.select("by", "by_at", "side")).distinct()
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "side")).alias("wanted"))
-    found = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_contexts, CONTEXTS)
+    found = known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(frugal(_contexts), CONTEXTS)
     found = scratch.table(found, "contexts")
     theirs = found.groupBy(F.col("doc_id").alias("by"), F.col("at").alias("by_at"), "side").agg(F.max("words").alias("theirs"))
     grown = ends.join(found, ["doc_id", "at", "side"]).join(theirs, ["by", "by_at", "side"])
@@ -297,7 +297,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, least_words: int
     scratch = scratch or Scratch(docs.sparkSession)
     known = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).filter("text is not null")
     bands = bands_for(percent=percent)
-    places = scratch.table(known.mapInArrow(lambda b: _places(b, bands), _place_schema(bands)), "places")
+    places = scratch.table(known.mapInArrow(frugal(lambda b: _places(b, bands)), _place_schema(bands)), "places")
     low = places.groupBy("content").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("k0").alias("lines"), F.count(F.lit(1)).alias("n"))
     low = scratch.table(low.filter("low < high or lines > 0"), "low")
     components = _near_components(places, known, low, bands, percent, scratch)
