@@ -12,21 +12,7 @@ def projections(factor: float, n: int) -> int:
     return max(1, round(factor * float(np.log(max(n, 1)))))
 
 
-def sign(seed: int, t: int, *keys: str) -> Column:
+def sign(seed: int, t: int | Column, *keys: str) -> Column:
     """+1 or -1 for each row, from one bit of a hash of seed, projection and keys."""
-    bit = F.xxhash64(F.lit(seed), F.lit(t), *keys).bitwiseAND(F.lit(1))
+    bit = F.xxhash64(F.lit(seed), F.lit(t).cast("int"), *keys).bitwiseAND(F.lit(1))
     return F.when(bit == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
-
-
-def signs(seed: int, t: np.ndarray, *keys: np.ndarray) -> np.ndarray:
-    """The same kind of noise inside a task: a row for each key, a column for each projection."""
-    with np.errstate(over="ignore"):
-        x = np.full(len(keys[0]), np.uint64(seed * 2 + 1))
-        for k in keys:
-            x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + k.astype(np.uint64))
-        return np.where(_mix(x[:, None] + _mix(t.astype(np.uint64) + np.uint64(1))[None, :]) >> np.uint64(63), 1.0, -1.0)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    return x ^ (x >> np.uint64(29))

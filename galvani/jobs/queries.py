@@ -338,7 +338,7 @@ def j4_j5_d5_bridge_ends(spark, d):
     return B.bridge_ends(bridges, B.blocks(edges, bridges, scratch))
 
 
-@register("SELECT true AS apart")
+@register(query(GEO + BOTH + BRIDGES, "SELECT NOT EXISTS (SELECT 1 FROM degrees l WHERE degree = 1 AND (l.node IN (SELECT unnest([src, dst]) FROM bridges WHERE kind = 'inner') OR EXISTS (SELECT 1 FROM both_ways e JOIN degrees x ON x.node = e.dst AND x.degree = 1 WHERE e.src = l.node))) AS apart", recursive=True))
 def u4_leaf_classes_apart(spark, d):
     edges, bridges, _ = _with_bridges(spark, d)
     return B.leaf_classes_apart(edges, bridges)
@@ -460,7 +460,7 @@ def d1_d6_decomposed_centrality(spark, d):
     return C.tidy_scores(C.with_centrality(D.decomposed_farness(edges, bridges, scratch)), "farness", "centrality")
 
 
-@register("SELECT true AS same")
+@register(exact("SELECT (SELECT count(*) FROM far) = count(*) AND count(*) FILTER (abs(f.farness - g.farness) > 1e-6) = 0 AS same FROM far f JOIN (SELECT p.u AS node, sum(p.r) AS farness FROM pairs p GROUP BY 1) g USING (node)"))
 def u6_decomposed_equals_exact(spark, d):
     edges, bridges, scratch = _with_bridges(spark, d)
     found = C.compared(D.decomposed_farness(edges, bridges, scratch), C.exact_centrality(edges), "farness", 1e-6)
@@ -528,15 +528,55 @@ def d2_u5_leaf_rule(spark, d):
     return C.tidy_scores(D.leaf_rule(edges, C.exact_centrality(edges).select("node", "farness")), "farness")
 
 
-@register("SELECT true AS is_forest")
+HOME = """,
+own(node, other) AS (SELECT node, node FROM nodes UNION SELECT w.node, k.dst FROM own w JOIN (SELECT x.src, x.dst FROM both_ways x ANTI JOIN bridges b ON b.src = least(x.src, x.dst) AND b.dst = greatest(x.src, x.dst)) k ON k.src = w.other),
+home AS (SELECT node, min(other) AS block FROM own GROUP BY 1),
+block_edges AS (SELECT x.block AS a, y.block AS b FROM bridges JOIN home x ON x.node = src JOIN home y ON y.node = dst),
+ways AS (SELECT a, b FROM block_edges UNION ALL SELECT b, a FROM block_edges),
+trees(block, other) AS (SELECT DISTINCT a, a FROM ways UNION SELECT t.block, w.b FROM trees t JOIN ways w ON w.a = t.other),
+roots AS (SELECT block, min(other) AS root FROM trees GROUP BY 1)"""
+
+
+@register(query(GEO + BOTH + BRIDGES + HOME, "SELECT (SELECT count(*) FROM block_edges) = count(*) - count(DISTINCT root) AS is_forest FROM roots", recursive=True))
 def g8_block_forest(spark, d):
     _, bridges, scratch, placed, _ = _links(spark, d)
     return D.is_block_forest(bridges, placed, scratch)
 
 
+@register(exact(CENTRAL))
+def d1_r11_solved_blocks(spark, d):
+    """The same where blocks of over ten nodes count as giant: no inverse of any of them is taken."""
+    edges, bridges, scratch = _with_bridges(spark, d)
+    return C.tidy_scores(C.with_centrality(D.decomposed_farness(edges, bridges, scratch, most=10)), "farness", "centrality")
+
+
 # --- solves and estimates -------------------------------------------------------------------------------------------
 
 
+@register(exact("SELECT i AS node, round(sum(val * (j % 13)), 6) + 0.0 AS x FROM inverse GROUP BY 1"))
+def r1_solution(spark, d):
+    """L x = b less its mean, b the key modulo 13."""
+    edges, scratch = geo(spark, d)
+    right = E.nodes(edges).withColumn("x", (F.col("node") % 13).cast("double"))
+    return C.tidy_scores(V.solve_by_shuffle(edges, right, ["x"], scratch, 1e-12)[0], "x")
+
+
+@register(exact("SELECT m.i AS node, round(sum((m.val - x.val - y.val + z.val) * (m.j % 13)), 6) + 0.0 AS x FROM inverse m JOIN inverse x ON x.i = 99 AND x.j = m.j JOIN inverse y ON y.j = 99 AND y.i = m.i JOIN diag z ON z.node = 99 WHERE m.i <> 99 AND m.j <> 99 GROUP BY 1"))
+def r2_grounded_solution(spark, d):
+    """The same grounded at a node."""
+    edges, scratch = geo(spark, d)
+    right = E.nodes(edges).filter("node <> 99").withColumn("x", (F.col("node") % 13).cast("double"))
+    return C.tidy_scores(V.solve_by_shuffle(edges, right, ["x"], scratch, 1e-12, ground=(99,))[0], "x")
+
+
+@register(exact(CENTRAL))
+def c1_r3_solved_centrality(spark, d):
+    """Exact centralities from solved columns, as of a graph that no task may invert."""
+    edges, scratch = geo(spark, d)
+    inverse = R.pseudo_inverse(edges, most=10, scratch=scratch)
+    return C.tidy_scores(C.with_centrality(R.farness_of_diagonal(R.diagonal(inverse))), "farness", "centrality")
+
+
 @register("SELECT true AS solved")
 def r1_solve_by_shuffle(spark, d):
     """L x = b on the large graph, b of mean zero from the keys: applied again, x gives b."""

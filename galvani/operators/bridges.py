@@ -26,6 +26,8 @@ def spanning_forest(edges: DataFrame, scratch: Scratch, max_levels: int = 10_000
         if frontier.isEmpty():
             break
         levels.append(frontier)
+    else:
+        raise RuntimeError(f"the graph has more than {max_levels} levels")
     out = levels[0]
     for found in levels[1:]:
         out = out.union(found)

@@ -41,7 +41,7 @@ def estimated_most_central(edges: DataFrame, factor: float = 20, trace_factor: f
     nodes, else by an estimated trace."""
     e = Estimates(edges, factor, seed)
     node = top_nodes(e.diagonal(), "value", 1, ascending=True).first()["node"]
-    n = len(e.graph.nodes)
+    n = e.n
     if n <= exact_below:
         farness = farness_of_diagonal(diagonal(pseudo_inverse(edges))).filter(F.col("node") == node)
         return farness.select("node", (F.lit(n) / F.col("farness")).alias("centrality"))
@@ -111,8 +111,7 @@ def estimated_greedy(edges: DataFrame, k: int, scratch: Scratch, factor: float =
         if step == 1:
             scores = e.diagonal().withColumnRenamed("value", "score")
         else:
-            below = e.inner_part().withColumnRenamed("value", "a").join(e.boundary_part().withColumnRenamed("value", "b"), "node")
-            scores = e.squares().join(below, "node").select("node", (F.col("value") / (F.col("a") + F.col("b"))).alias("score"))
+            scores = e.gains()
         ranked = scratch.table(_ranked(scores, step, step == 1), "ranked")
         steps.append(ranked)
         group.append(given[step - 1] if given else ranked.filter("rank = 1").first()["node"])

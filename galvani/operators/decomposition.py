@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .components import component_of_nodes, connected_components
 from .edges import nodes, symmetric
-from .resistance import MAX_EXACT, _inverse, refuse_beyond
+from .resistance import MAX_EXACT, Estimates, _inverse, diagonal, pseudo_inverse
+from .solve import System
 
 
 def bridge_free_blocks(edges: DataFrame, bridges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -20,10 +21,36 @@ def bridge_free_blocks(edges: DataFrame, bridges: DataFrame, scratch: Scratch) -
     return placed, kept.join(placed.withColumnRenamed("node", "src"), "src").select("block", "src", "dst")
 
 
-def link_rows(block_nodes: DataFrame, block_edges: DataFrame, links: DataFrame, most: int = MAX_EXACT) -> DataFrame:
-    """block, link, node, r: the resistance from each marked node to every node of its block. A block is inverted in one
-    task, of `most` nodes at most."""
-    refuse_beyond(block_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")), most)
+#: Blocks that are too large for one task: name, edges, and the diagonal (node, value) of the pseudo-inverse.
+Giants = dict[int, tuple[DataFrame, DataFrame]]
+
+
+def giant_blocks(block_nodes: DataFrame, block_edges: DataFrame, scratch: Scratch, most: int = MAX_EXACT, factor: float | None = None) -> Giants:
+    """The blocks of more than `most` nodes; their diagonal is exact, or estimated where there is a factor."""
+    found = {}
+    large = block_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    for block in sorted(r["block"] for r in large.collect()):  # one in `most` nodes at most
+        edges = scratch.table(block_edges.filter(F.col("block") == block).select("src", "dst"), "giant")
+        d = Estimates(edges, factor, scratch=scratch).diagonal() if factor else diagonal(pseudo_inverse(edges, most, scratch))
+        found[block] = edges, scratch.table(d, "diagonal")
+    return found
+
+
+def far_in_giant(edges: DataFrame, d: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, weight, far: of each node of the block the sum of w * r + d over all of it (own: node, w, d), from one solve
+    of L x = w: sum of w_v R(u, v) = W d_u + sum of w_v d_v - 2 x_u."""
+    right = own.select(F.lit(0).alias("block"), "node", F.col("w").alias("b0"))
+    x = System(edges, scratch).solve(right, 1e-12)[0].select("node", F.col("x0").alias("x"))
+    both = scratch.table(own.join(d, "node").join(x, "node"), "far")
+    sums = both.agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("value") + F.col("d")).alias("rest"))
+    return both.crossJoin(F.broadcast(sums)).select("node", "weight", (F.col("weight") * F.col("value") + F.col("rest") - 2 * F.col("x")).alias("far"))  # one row
+
+
+def link_rows(block_nodes: DataFrame, block_edges: DataFrame, links: DataFrame, giants: Giants | None = None) -> DataFrame:
+    """block, link, node, r: the resistance from each marked node to every node of its block, but for giant ones. A block
+    is inverted in one task."""
+    small = ~F.col("block").isin(list(giants or {}))
+    block_nodes, block_edges = block_nodes.filter(small), block_edges.filter(small)
     marked = links.select("node").distinct().join(block_nodes, "node").select("block", "node")
 
     def rows(edges: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
@@ -64,11 +91,11 @@ def block_tree(block_nodes: DataFrame, bridges: DataFrame, scratch: Scratch) ->
         found = found.union(frontier)
 
 
-def node_weights(block_nodes: DataFrame, tree: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+def node_weights(block_nodes: DataFrame, tree: DataFrame, rows: DataFrame, scratch: Scratch, giants: Giants | None = None) -> DataFrame:
     """block, node, w, d: how many nodes hang off a node outside its block (itself included), and their distances to it.
 
     Up the tree each block tells its parent's end its weight and distances; down again each parent tells the rest.
-    A level is one aggregation over the blocks of that level.
+    A level is one aggregation over the blocks of that level; a giant block is one solve where it is looked at.
     """
     tree = scratch.table(tree, "tree")
     state = scratch.table(block_nodes.select("block", "node", F.lit(1.0).alias("w"), F.lit(0.0).alias("d")), "weights")
@@ -78,7 +105,13 @@ def node_weights(block_nodes: DataFrame, tree: DataFrame, rows: DataFrame, scrat
         """Of each row's block the sum of w and of w * r + d as seen from its link node."""
         seen = ends.join(rows.select(F.col("block").alias(block), F.col("link").alias(link), "node", "r"), [block, link])
         seen = seen.join(state.select(F.col("block").alias(block), "node", "w", "d"), [block, "node"])
-        return seen.groupBy(*keys).agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("r") + F.col("d")).alias("far"))
+        out = seen.groupBy(*keys).agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("r") + F.col("d")).alias("far"))
+        for name, (edges, d) in (giants or {}).items():
+            here = ends.filter(F.col(block) == name)
+            if not here.isEmpty():
+                far = far_in_giant(edges, d, state.filter(F.col("block") == name), scratch)
+                out = out.unionByName(here.join(far.withColumnRenamed("node", link), link).select(*keys, "weight", "far"))
+        return out
 
     def told(news: DataFrame) -> DataFrame:
         add = news.groupBy("node").agg(F.sum("weight").alias("dw"), F.sum("far").alias("dd"))
@@ -99,13 +132,18 @@ def node_weights(block_nodes: DataFrame, tree: DataFrame, rows: DataFrame, scrat
     return state
 
 
-def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, most: int = MAX_EXACT) -> DataFrame:
-    """node, farness of all nodes, leaves too: in each block the weighted sum of resistances, and the distances beyond."""
+def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, most: int = MAX_EXACT, factor: float | None = None) -> DataFrame:
+    """node, farness of all nodes, leaves too: in each block the weighted sum of resistances, and the distances beyond.
+
+    Blocks of up to `most` nodes are inverted, each in a task; giant ones are solved for by tables, exactly or, with a
+    factor, with a diagonal estimated from so many projections.
+    """
     block_nodes, block_edges = bridge_free_blocks(edges, bridges, scratch)
     block_edges = scratch.table(block_edges, "block_edges")
     ends = bridges.select(F.explode(F.array("src", "dst")).alias("node"))
-    rows = scratch.table(link_rows(block_nodes, block_edges, ends, most), "links")
-    weights = node_weights(block_nodes, block_tree(block_nodes, bridges, scratch), rows, scratch)
+    giants = giant_blocks(block_nodes, block_edges, scratch, most, factor)
+    rows = scratch.table(link_rows(block_nodes, block_edges, ends, giants), "links")
+    weights = scratch.table(node_weights(block_nodes, block_tree(block_nodes, bridges, scratch), rows, scratch, giants), "weights")
 
     def inside(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("node")
@@ -116,7 +154,12 @@ def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, m
         diag = np.diag(inverse)
         return pd.DataFrame({"node": own["node"].to_numpy(), "farness": w.sum() * diag + w @ diag - 2 * inverse @ w + d})
 
-    return block_edges.groupBy("block").cogroup(weights.groupBy("block")).applyInPandas(inside, "node long, farness double")
+    small = ~F.col("block").isin(list(giants))
+    out = block_edges.filter(small).groupBy("block").cogroup(weights.filter(small).groupBy("block")).applyInPandas(inside, "node long, farness double")
+    for name, (own_edges, d) in giants.items():
+        far = far_in_giant(own_edges, d, weights.filter(F.col("block") == name), scratch)
+        out = out.unionByName(far.select("node", F.col("far").alias("farness")))
+    return out
 
 
 def contracted_graph(bridges: DataFrame, block_nodes: DataFrame, rows: DataFrame) -> DataFrame:

@@ -93,11 +93,14 @@ def first_appearance_ids(pairs: DataFrame, a: str, b: str, position: str) -> Dat
     return dense_ids(seen.groupBy("x.node").agg(F.min("x.at").alias("at")), "at")
 
 
-def dense_ids(rows: DataFrame, by: str, ranges: int = 64) -> DataFrame:
-    """node, id: 1, 2, ... in the order of the distinct whole numbers in `by`, by ranges of equal width."""
-    ends = rows.agg(F.min(by).alias("lo"), F.max(by).alias("hi"))
-    cut = F.floor((F.col(by) - F.col("lo")) * ranges / (F.col("hi") - F.col("lo") + 1))
-    placed = rows.crossJoin(F.broadcast(ends)).withColumn("range", cut)  # one row
+def dense_ids(rows: DataFrame, by: str, ranges: int | None = None) -> DataFrame:
+    """node, id: 1, 2, ... in the order of the distinct whole numbers in `by`, by ranges of about as many rows: cut at
+    quantiles of a sketch of bounded size."""
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    steps = ",".join(f"{i / ranges:.9f}D" for i in range(1, max(2, ranges)))
+    cuts = rows.agg(F.expr(f"percentile_approx({by}, array({steps}), 10000)").alias("cuts"))
+    placed = rows.crossJoin(F.broadcast(cuts))  # one row
+    placed = placed.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(by)))).drop("cuts")
     before = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # `ranges` rows at most
     before = before.select("range", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("range")) - F.col("n")).alias("before"))
     rank = F.row_number().over(Window.partitionBy("range").orderBy(by))

@@ -1,29 +1,21 @@
-"""Effective resistances: exact from the pseudo-inverse of a bounded graph, estimated from random projections of any."""
+"""Effective resistances: exact from the pseudo-inverse, estimated from random projections."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.noise import projections, signs
-from .edges import nodes
-from .solve import LocalGraph, local_graph, solve_by_columns
+from ..functions.noise import projections, sign
+from ..sources.scratch import Scratch
+from .edges import dense_ids, nodes
+from .solve import WIDTH, System, blocks_of, columns
 
-#: Nodes of a graph, or of a block, that is inverted as a whole.
+#: Nodes of a graph, or of a block, that is inverted as a whole in one task; beyond that its columns are solved for.
 MAX_EXACT = 4096
 
 
-def refuse_beyond(sizes: DataFrame, most: int) -> None:
-    """Raise if a count in `sizes` (n) is beyond what one task may hold."""
-    n = sizes.agg(F.max("n")).first()[0] or 0
-    if n > most:
-        raise ValueError(f"{n} nodes are more than {most}: use the estimators")
-
-
 def _inverse(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     ids = np.unique(edges[["src", "dst"]].to_numpy())
     a, b = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("src", "dst"))
@@ -34,9 +26,21 @@ def _inverse(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.linalg.inv(lap + 1.0 / n) - 1.0 / n
 
 
-def pseudo_inverse(edges: DataFrame, most: int = MAX_EXACT) -> DataFrame:
-    """i, j, val of the Laplacian's pseudo-inverse, for a connected graph of `most` nodes at most (n^2 rows)."""
-    refuse_beyond(nodes(edges).agg(F.count(F.lit(1)).alias("n")), most)
+def solved_columns(edges: DataFrame, wanted: DataFrame, scratch: Scratch, tol: float = 1e-12) -> DataFrame:
+    """i, j, val: the pseudo-inverse's columns j of the `wanted` nodes, each the solution of L x = e_j less its mean."""
+    at = dense_ids(wanted.select("node").distinct(), "node").withColumn("t", F.col("id") - 1)
+    at = scratch.table(at.select("node", F.floor(F.col("t") / WIDTH).cast("int").alias("block"), F.pmod("t", F.lit(WIDTH)).cast("int").alias("j")), "wanted")
+    right = at.groupBy("block", "node").agg(*[F.max(F.when(F.col("j") == j, 1.0).otherwise(0.0)).alias(f"b{j}") for j in range(WIDTH)])
+    x, _ = System(edges, scratch).solve(right, tol)
+    long = x.select("block", F.col("node").alias("i"), F.posexplode(F.array(*columns("x"))).alias("j", "val"))
+    return long.join(at.withColumnRenamed("node", "of"), ["block", "j"]).select("i", F.col("of").alias("j"), "val")
+
+
+def pseudo_inverse(edges: DataFrame, most: int = MAX_EXACT, scratch: Scratch | None = None) -> DataFrame:
+    """i, j, val of the Laplacian's pseudo-inverse, for a connected graph (n^2 rows). A graph of up to `most` nodes is
+    inverted in one task; the columns of a larger one are solved for, as many at once as there are."""
+    if nodes(edges).limit(most + 1).count() > most:
+        return solved_columns(edges, nodes(edges), scratch or Scratch(edges.sparkSession))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, inverse = _inverse(rows)
@@ -85,84 +89,93 @@ def farness_of_diagonal(d: DataFrame, value: str = "value") -> DataFrame:
 # --- estimators -----------------------------------------------------------------------------------------------------
 
 
-def edge_noise(seed: int) -> Callable[[LocalGraph, np.ndarray], np.ndarray]:
-    """B'r for signs r of the edges that are not grounded."""
-
-    def right(g: LocalGraph, t: np.ndarray) -> np.ndarray:
-        r = signs(seed, t, g.nodes[g.src], g.nodes[g.dst])
-        b = np.zeros((len(g.nodes), len(t)))
-        np.add.at(b, g.src, r)
-        np.subtract.at(b, g.dst, r)
-        return b
-
-    return right
+def _total(terms: list[Column]) -> Column:
+    return sum(terms[1:], terms[0])
 
 
-def node_noise(seed: int) -> Callable[[LocalGraph, np.ndarray], np.ndarray]:
-    return lambda g, t: signs(seed, t, g.nodes)
-
-
-def boundary_noise(seed: int) -> Callable[[LocalGraph, np.ndarray], np.ndarray]:
-    """Signs of the nodes times the root of their edges into the ground."""
-    return lambda g, t: signs(seed, t, g.nodes) * np.sqrt(g.into)[:, None]
+class Estimates:
+    """Estimates over one connected graph from k = factor * ln n projections with a fixed seed, by tables alone.
 
+    Their relative error is about sqrt(2 / k). Noise is a hash of seed, projection and ids; columns past k are zero.
+    """
 
-def mean_square(solved: DataFrame) -> DataFrame:
-    return solved.groupBy("node").agg(F.avg(F.col("value") * F.col("value")).alias("value"))
+    def __init__(self, edges: DataFrame, factor: float = 20, seed: int = 1, ground: tuple[int, ...] = (), scratch: Scratch | None = None):
+        self.seed, self.system = seed, System(edges, scratch or Scratch(edges.sparkSession), ground)
+        self.n, self.k = self.system.n, projections(factor, self.system.n)
 
+    def _signs(self, seed: int, *keys: str) -> list[Column]:
+        t = lambda j: F.col("block") * WIDTH + j
+        return [F.when(t(j) < self.k, sign(seed, t(j), *keys)).otherwise(0.0) for j in range(WIDTH)]
 
-class Estimates:
-    """Estimates over one connected graph of bounded size from k = factor * ln n projections with a fixed seed.
+    def _solve(self, right: DataFrame) -> DataFrame:
+        """To a tolerance well below the error of the estimate."""
+        return self.system.scratch.table(self.system.solve(right, 1e-5)[0], "solved")
 
-    Their relative error is about sqrt(2 / k). The graph goes to every task; projections are dealt over the tasks.
-    """
+    def _edge_noise(self, seed: int) -> DataFrame:
+        """B'r, r signs of the edges that are not grounded."""
+        each = self.system.inside.select("src", "dst", blocks_of(self.k).alias("block"))
+        each = each.select("block", "src", "dst", F.array(*self._signs(seed, "src", "dst")).alias("r"))
+        both = each.select("block", F.col("src").alias("node"), "r").union(each.select("block", "dst", F.transform("r", lambda x: -x)))
+        return both.groupBy("block", "node").agg(*[F.sum(F.get("r", F.lit(j))).alias(f"b{j}") for j in range(WIDTH)])
 
-    def __init__(self, edges: DataFrame, factor: float = 20, seed: int = 1, ground: tuple[int, ...] = ()):
-        self.spark, self.seed = edges.sparkSession, seed
-        self.graph = local_graph(edges, ground)
-        self.k = projections(factor, len(self.graph.nodes))
+    def _node_noise(self, seed: int, weight: Column) -> DataFrame:
+        """Weighted signs of the nodes."""
+        each = self.system.nodes.select("node", "into", blocks_of(self.k).alias("block"))
+        return each.select("block", "node", *[(weight * s).alias(f"b{j}") for j, s in enumerate(self._signs(seed, "node"))])
 
-    def solve(self, right) -> DataFrame:
-        return solve_by_columns(self.spark, self.graph, self.k, right)
+    def _mean_square(self, solved: DataFrame) -> DataFrame:
+        return solved.groupBy("node").agg((F.sum(_total([F.col(c) * F.col(c) for c in columns("x")])) / self.k).alias("value"))
 
     def diagonal(self) -> DataFrame:
         """diag(L+): the mean square of L+ B'r."""
-        return mean_square(self.solve(edge_noise(self.seed)))
+        return self._mean_square(self._solve(self._edge_noise(self.seed)))
 
     def embedding(self) -> DataFrame:
         """node, z: vectors of which squared distances are about the resistances."""
-        z = self.solve(edge_noise(self.seed)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("t", "value"))).alias("z"))
-        return z.select("node", F.transform("z", lambda x: x["value"] / float(self.k) ** 0.5).alias("z"))
+        parts = self._solve(self._edge_noise(self.seed)).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("block", F.array(*columns("x")).alias("x")))).alias("z"))
+        return parts.select("node", F.transform(F.flatten(F.transform("z", lambda p: p["x"])), lambda x: x / float(self.k) ** 0.5).alias("z"))
 
     def farness(self) -> DataFrame:
         return farness_of_diagonal(self.diagonal())
 
     def farness_and_distance(self, targets: DataFrame) -> DataFrame:
         """node, target, r and rest: the resistance to each target (node), and the sum of those to all nodes that are none.
-        The targets are a few marked nodes; every node is joined with them by projection."""
-        solved = self.solve(edge_noise(self.seed)).select("t", "node", "value")
-        marked = targets.select("node").distinct()
-        at = solved.join(marked, "node", "left_semi").select("t", F.col("node").alias("target"), F.col("value").alias("there"))
-        r = solved.join(at, "t").groupBy("node", "target").agg(F.avg((F.col("value") - F.col("there")) ** 2).alias("r"))
+        The targets are a few marked nodes; every node is joined with them by block."""
+        solved = self._solve(self._edge_noise(self.seed))
+        at = solved.join(targets.select("node").distinct(), "node", "left_semi").select("block", F.col("node").alias("target"), *[F.col(f"x{j}").alias(f"y{j}") for j in range(WIDTH)])
+        gap = _total([(F.col(f"x{j}") - F.col(f"y{j}")) ** 2 for j in range(WIDTH)])
+        r = solved.join(at, "block").groupBy("node", "target").agg((F.sum(gap) / self.k).alias("r"))
         to_marked = r.groupBy("node").agg(F.sum("r").alias("near"))
-        rest = farness_of_diagonal(mean_square(solved)).join(to_marked, "node").select("node", (F.col("farness") - F.col("near")).alias("rest"))
+        rest = farness_of_diagonal(self._mean_square(solved)).join(to_marked, "node").select("node", (F.col("farness") - F.col("near")).alias("rest"))
         return r.join(rest, "node")
 
     def trace(self) -> DataFrame:
         """One row: the trace of the grounded inverse (Hutchinson)."""
-        return self.solve(node_noise(self.seed)).groupBy("t").agg(F.sum(F.col("noise") * F.col("value")).alias("x")).agg(F.avg("x").alias("trace"))
+        solved = self._solve(self._node_noise(self.seed, F.lit(1.0)))
+        products = [F.col(f"x{j}") * s for j, s in enumerate(self._signs(self.seed, "node"))]
+        return solved.agg((F.sum(_total(products)) / self.k).alias("trace"))
 
     def squares(self) -> DataFrame:
         """diag(M M) of the grounded inverse M."""
-        return mean_square(self.solve(node_noise(self.seed)))
+        return self._mean_square(self._solve(self._node_noise(self.seed, F.lit(1.0))))
 
     def inner_part(self) -> DataFrame:
         """diag(M B'B M) over the edges that are not grounded."""
-        return mean_square(self.solve(edge_noise(self.seed + 1)))
+        return self._mean_square(self._solve(self._edge_noise(self.seed + 1)))
 
     def boundary_part(self) -> DataFrame:
         """diag(M X M), X the number of edges into the ground; with inner_part the diagonal of M."""
-        return mean_square(self.solve(boundary_noise(self.seed + 2)))
+        return self._mean_square(self._solve(self._node_noise(self.seed + 2, F.sqrt("into"))))
+
+    def gains(self) -> DataFrame:
+        """node, score: squares over the sum of inner_part and boundary_part; all three are columns of one solve."""
+        kinds = (self._node_noise(self.seed, F.lit(1.0)), self._edge_noise(self.seed + 1), self._node_noise(self.seed + 2, F.sqrt("into")))
+        each = -(-self.k // WIDTH)
+        right = [df.withColumn("block", F.col("block") + i * each) for i, df in enumerate(kinds)]
+        solved = self._solve(right[0].unionByName(right[1]).unionByName(right[2]))
+        square = _total([F.col(c) * F.col(c) for c in columns("x")])
+        above, below = (F.sum(F.when((F.col("block") < each) == first, square)) for first in (True, False))
+        return solved.groupBy("node").agg((above / below).alias("score"))
 
 
 def embedded_resistance(embedding: DataFrame, pairs: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:

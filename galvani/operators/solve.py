@@ -1,128 +1,127 @@
-"""Laplacian systems by Jacobi-preconditioned conjugate gradients, for many right-hand sides at once.
+"""Laplacian systems on tables, by Jacobi-preconditioned conjugate gradients for many right-hand sides at once.
 
-Two plans. `solve_by_shuffle` keeps vectors as tables: it works at any size, at one join and one aggregation a round.
-`solve_by_columns` gives the graph to every task and deals out the right-hand sides: for graphs of up to MAX_EDGES.
+Right-hand sides are columns 0 .. k - 1, of which WIDTH stand in a row: a table of them is (block, node, b0 .. b7), and
+column t is b[t % WIDTH] of block t // WIDTH. Vectors are tables of this kind too; nothing of a graph's size is gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
 from .edges import degrees, symmetric
 
-#: Edges of a graph that every task may hold.
-MAX_EDGES = 2_000_000
-#: Right-hand sides that one table row holds.
-WIDTH = 16
-
-
-class LocalGraph:
-    """A graph of checked size: node ids in order, edges in both directions by source, degrees; `ground` are left out."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, ground: np.ndarray):
-        ids = np.unique(np.concatenate([src, dst]))
-        degree = np.bincount(np.searchsorted(ids, np.concatenate([src, dst])), minlength=len(ids)).astype(float)
-        keep = ~np.isin(ids, ground)
-        self.nodes, self.degree = ids[keep], degree[keep]
-        inside = ~(np.isin(src, ground) | np.isin(dst, ground))
-        self.src, self.dst = np.searchsorted(self.nodes, src[inside]), np.searchsorted(self.nodes, dst[inside])
-        a, b = np.concatenate([self.src, self.dst]), np.concatenate([self.dst, self.src])
-        order = np.argsort(a, kind="stable")
-        self.to = b[order]
-        counts = np.bincount(a, minlength=len(self.nodes))
-        self.full = np.flatnonzero(counts)
-        self.starts = (np.cumsum(counts) - counts)[self.full]
-        self.grounded = bool(len(ground))
-        # edges from a node into the ground
-        self.into = self.degree - counts
-
-    def times(self, x: np.ndarray) -> np.ndarray:
-        y = self.degree[:, None] * x
-        if len(self.to):
-            y[self.full] -= np.add.reduceat(x[self.to], self.starts, axis=0)
-        return y
-
-    def solve(self, b: np.ndarray, tol: float, rounds: int) -> np.ndarray:
-        """Columns x of L x = b, of mean zero unless grounded; raises where the tolerance isn't met."""
+#: Right-hand sides of a row.
+WIDTH = 8
+
+
+def columns(name: str) -> list[str]:
+    return [f"{name}{j}" for j in range(WIDTH)]
+
+
+def blocks_of(k: int) -> Column:
+    """A row for each block of columns."""
+    return F.explode(F.sequence(F.lit(0), F.lit(-(-k // WIDTH) - 1)))
+
+
+class System:
+    """L x = b of a connected graph, or of what is left of it without the nodes of `ground`, with their edges still
+    counted on the diagonal.
+
+    The edges are dealt out by their far end once, and stay so over all rounds (cached, and read again from the shared
+    folder where an executor is lost). A round is a join of them with the search directions and a sum by the near end,
+    combined before the shuffle, so a hub is a row a task; the vectors are written, so that no plan grows.
+    """
+
+    def __init__(self, edges: DataFrame, scratch: Scratch, ground: tuple[int, ...] = ()):
+        gone = F.lit(False) if not ground else F.col("node").isin(list(ground))
+        ends = lambda c: F.lit(True) if not ground else ~F.col(c).isin(list(ground))
+        self.scratch, self.grounded = scratch, bool(ground)
+        self.inside = edges.select("src", "dst").filter(ends("src") & ends("dst"))
+        own = degrees(self.inside).withColumnRenamed("degree", "inner")
+        self.nodes = degrees(edges).filter(~gone).join(own, "node", "left")
+        self.nodes = scratch.table(self.nodes.select("node", "degree", (F.col("degree") - F.coalesce("inner", F.lit(0))).alias("into")), "nodes")
+        self.n = self.nodes.count()
+        parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.both = scratch.table(symmetric(self.inside), "both").repartition(parts, "dst")
+
+    def _times(self, state: DataFrame, width: int) -> DataFrame:
+        """The state with w = L u."""
+        far = state.selectExpr("block", "node AS dst", *_each("u{j}", width))
+        sums = self.both.join(far, "dst").groupBy("block", F.col("src").alias("node")).agg(*map(F.expr, _each("sum(u{j}) AS y{j}", width)))
+        kept = [c for c in state.columns if not c.startswith("w")]
+        return state.join(sums, ["block", "node"], "left").selectExpr(*kept, *_each("degree * u{j} - coalesce(y{j}, 0D) AS w{j}", width))
+
+    def solve(self, right: DataFrame, tol: float = 1e-8, rounds: int = 5000) -> tuple[DataFrame, float]:
+        """(block, node, x0 .. x7) for the right-hand sides (block, node, b0 .. b7, or the first of these; rows that are
+        missing are 0), of mean zero unless grounded, and the largest relative residual. Raises where the tolerance isn't met in so many rounds.
+
+        The steps of all columns come from one sum over the vectors a round (the form of the method by Chronopoulos and
+        Gear); k numbers of each kind go to the driver and back as a small table.
+        """
+        both, self.both = self.both, self.both.persist()
+        try:
+            return self._solve(right, tol, rounds)
+        finally:
+            self.both.unpersist()
+            self.both = both
+
+    def _solve(self, right: DataFrame, tol: float, rounds: int) -> tuple[DataFrame, float]:
+        table, spark = self.scratch.table, right.sparkSession
+        width = sum(c in right.columns for c in columns("b"))
+        right = table(right.select("block", "node", *columns("b")[:width]), "right")
+        state = self.nodes.crossJoin(F.broadcast(right.select("block").distinct())).join(right, ["block", "node"], "left")  # a row for each WIDTH columns
+        state = state.selectExpr("block", "node", "degree", *_each("coalesce(b{j}, 0D) AS r{j}", width))
         if not self.grounded:
-            b = b - b.mean(0)
-        x, r = np.zeros_like(b), b.copy()
-        z = r / self.degree[:, None]
-        p, rho, size = z, (r * z).sum(0), np.linalg.norm(b, axis=0)
-        for _ in range(rounds):
-            if (np.linalg.norm(r, axis=0) <= tol * size).all():
+            state = _centred(state, "r", width)
+        state = state.selectExpr("*", *_each("0D AS x{j}", width), *_each("0D AS p{j}", width), *_each("0D AS s{j}", width), *_each("r{j} / degree AS u{j}", width))
+        found: dict[int, list[dict]] = {}
+        for done in range(rounds + 1):
+            state = table(self._times(state, width), "cg")
+            sums = [F.expr(e) for e in (*_each("sum(r{j} * u{j}) AS g{j}", width), *_each("sum(w{j} * u{j}) AS d{j}", width), *_each("sum(r{j} * r{j}) AS e{j}", width))]
+            steps, worst = [], 0.0
+            for row in state.groupBy("block").agg(*sums).collect():  # a row for each WIDTH columns
+                before, now = found.get(row["block"]), []
+                for j in range(width):
+                    g, d, e = row[f"g{j}"], row[f"d{j}"], row[f"e{j}"]
+                    old = before[j] if before else {"first": e, "gamma": 0.0, "alpha": 0.0, "done": e == 0}
+                    stop = old["done"] or e <= tol * tol * old["first"]
+                    beta = g / old["gamma"] if old["gamma"] and not stop else 0.0
+                    lower = d - (beta * g / old["alpha"] if old["alpha"] else 0.0)
+                    now.append({"first": old["first"], "gamma": g, "alpha": g / lower if lower > 0 and not stop else 0.0, "beta": beta, "done": stop})
+                    worst = max(worst, (e / old["first"]) ** 0.5 if old["first"] else 0.0)
+                found[row["block"]] = now
+                steps.append((row["block"], *[x["alpha"] for x in now], *[x["beta"] for x in now]))
+            if all(x["done"] for now in found.values() for x in now):
                 break
-            q = self.times(p)
-            step = rho / np.maximum((p * q).sum(0), 1e-300)
-            x, r = x + step * p, r - step * q
-            z = r / self.degree[:, None]
-            rho, old = (r * z).sum(0), rho
-            p = z + rho / np.maximum(old, 1e-300) * p
-        else:
-            raise ArithmeticError(f"residual over {tol} after {rounds} rounds")
-        return x if self.grounded else x - x.mean(0)
-
-
-def local_graph(edges: DataFrame, ground: tuple[int, ...] = (), max_edges: int = MAX_EDGES) -> LocalGraph:
-    """The graph as arrays, for closures; refuses graphs beyond `max_edges`, for which there is the shuffle plan."""
-    rows = edges.select("src", "dst").limit(max_edges + 1).toPandas()
-    if len(rows) > max_edges:
-        raise ValueError(f"more than {max_edges} edges: use solve_by_shuffle")
-    return LocalGraph(rows["src"].to_numpy(np.int64), rows["dst"].to_numpy(np.int64), np.array(sorted(ground), np.int64))
-
-
-def solve_by_columns(spark, graph: LocalGraph, k: int, right: Callable[[LocalGraph, np.ndarray], np.ndarray], tol: float = 1e-10, rounds: int = 10_000) -> DataFrame:
-    """t, node, noise, value: for each projection t < k the solution of L x = right(graph, [t]) and the right side itself."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ts = batch["t"].to_numpy()
-            for at in range(0, len(ts), WIDTH):
-                t = ts[at : at + WIDTH]
-                b = right(graph, t)
-                x = graph.solve(b, tol, rounds)
-                yield pd.DataFrame({"t": np.repeat(t, len(graph.nodes)), "node": np.tile(graph.nodes, len(t)), "noise": b.T.ravel(), "value": x.T.ravel()})
-
-    parts = max(1, min(spark.sparkContext.defaultParallelism, -(-k // WIDTH)))
-    return spark.range(0, k, 1, parts).withColumnRenamed("id", "t").mapInPandas(run, "t long, node long, noise double, value double")
-
-
-def solve_by_shuffle(edges: DataFrame, right: DataFrame, columns: list[str], scratch: Scratch, tol: float = 1e-5, rounds: int = 2000) -> tuple[DataFrame, float]:
-    """node and a solution for each of `columns` of `right` (node, columns): L x = b, of mean zero, in a connected graph;
-    and the largest relative residual.
-
-    A round joins the edges with the search directions by their far end, sums them by the near end (combined before
-    the shuffle, so a hub is a row a task), and writes the vectors, so that no plan grows. The step lengths are sums
-    over one row a task. Raises where the tolerance isn't met.
-    """
-    both = scratch.table(symmetric(edges).repartition("dst"), "both")
-    b = len(columns)
-    mean = right.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    start = degrees(edges).join(right, "node").select("node", "degree", *[F.lit(0.0).alias(f"x{j}") for j in range(b)], *[(F.col(c) - (mean[c] or 0.0)).alias(f"r{j}") for j, c in enumerate(columns)])
-    state = scratch.table(start.select("*", *[(F.col(f"r{j}") / F.col("degree")).alias(f"p{j}") for j in range(b)]), "cg")
-    first = state.agg(*[F.sum(F.col(f"r{j}") * F.col(f"p{j}")) for j in range(b)], *[F.sum(F.col(f"r{j}") * F.col(f"r{j}")) for j in range(b)]).first()
-    rho, size = [v or 0.0 for v in first[:b]], [v or 0.0 for v in first[b:]]
-    left = [1.0 if s else 0.0 for s in size]
-    for _ in range(rounds):
-        if max(left, default=0.0) <= tol:
-            break
-        around = both.join(state.select(F.col("node").alias("dst"), *[f"p{j}" for j in range(b)]), "dst").groupBy(F.col("src").alias("node")).agg(*[F.sum(f"p{j}").alias(f"s{j}") for j in range(b)])
-        state = scratch.table(state.join(around, "node").select(*state.columns, *[(F.col("degree") * F.col(f"p{j}") - F.col(f"s{j}")).alias(f"q{j}") for j in range(b)]), "cg")
-        sums = state.agg(*[F.sum(F.col(f"p{j}") * F.col(f"q{j}")) for j in range(b)]).first()
-        step = [rho[j] / sums[j] if sums[j] else 0.0 for j in range(b)]
-        state = state.select("node", "degree", *[(F.col(f"x{j}") + step[j] * F.col(f"p{j}")).alias(f"x{j}") for j in range(b)], *[(F.col(f"r{j}") - step[j] * F.col(f"q{j}")).alias(f"r{j}") for j in range(b)], *[f"p{j}" for j in range(b)])
-        norms = state.agg(*[F.sum(F.col(f"r{j}") * F.col(f"r{j}") / F.col("degree")) for j in range(b)], *[F.sum(F.col(f"r{j}") * F.col(f"r{j}")) for j in range(b)]).first()
-        turn = [norms[j] / rho[j] if rho[j] else 0.0 for j in range(b)]
-        rho, left = list(norms[:b]), [(norms[b + j] / size[j]) ** 0.5 if size[j] else 0.0 for j in range(b)]
-        state = state.withColumns({f"p{j}": F.col(f"r{j}") / F.col("degree") + turn[j] * F.col(f"p{j}") for j in range(b)})
-    else:
-        raise ArithmeticError(f"residual {max(left)} after {rounds} rounds")
-    state = scratch.table(state, "cg")
-    mean = state.agg(*[F.avg(f"x{j}") for j in range(b)]).first()
-    return state.select("node", *[(F.col(f"x{j}") - (mean[j] or 0.0)).alias(c) for j, c in enumerate(columns)]), max(left, default=0.0)
+            if done == rounds:
+                raise ArithmeticError(f"residual {worst} after {rounds} rounds")
+            rows = ", ".join(f"({b}, {', '.join(f'{float(x)!r}D' for x in numbers)})" for b, *numbers in steps)
+            given = spark.sql(f"SELECT * FROM VALUES {rows} AS t(block, {', '.join(_each('alpha{j}', width) + _each('beta{j}', width))})")
+            state = state.join(F.broadcast(given), "block")
+            state = state.selectExpr("block", "node", "degree", *[e for c in ("x{j}", "r{j}", "alpha{j}", "u{j} + beta{j} * p{j} AS p{j}", "w{j} + beta{j} * s{j} AS s{j}") for e in _each(c, width)])
+            state = state.selectExpr("block", "node", "degree", *[e for c in ("p{j}", "s{j}", "x{j} + alpha{j} * p{j} AS x{j}", "r{j} - alpha{j} * s{j} AS r{j}") for e in _each(c, width)])
+            state = state.selectExpr("*", *_each("r{j} / degree AS u{j}", width))
+        out = state.selectExpr("block", "node", *_each("x{j}", width))
+        return out if self.grounded else _centred(out, "x", width), worst
+
+
+def _each(text: str, width: int) -> list[str]:
+    return [text.format(j=j) for j in range(width)]
+
+
+def _centred(state: DataFrame, name: str, width: int) -> DataFrame:
+    """The columns less their means over the nodes."""
+    mean = state.groupBy("block").agg(*map(F.expr, _each(f"avg({name}{{j}}) AS m{{j}}", width)))
+    others = [c for c in state.columns if c not in _each(f"{name}{{j}}", width)]
+    return state.join(F.broadcast(mean), "block").selectExpr(*others, *_each(f"{name}{{j}} - m{{j}} AS {name}{{j}}", width))
+
+
+def solve_by_shuffle(edges: DataFrame, right: DataFrame, names: list[str], scratch: Scratch, tol: float = 1e-5, rounds: int = 2000, ground: tuple[int, ...] = ()) -> tuple[DataFrame, float]:
+    """node and a solution for each of `names` of `right` (node, names), WIDTH at most: L x = b; and the largest residual."""
+    if len(names) > WIDTH:
+        raise ValueError(f"{WIDTH} columns at a time; use System for more")
+    given = right.select(F.lit(0).alias("block"), "node", *[F.col(c).alias(f"b{j}") for j, c in enumerate(names)])
+    x, worst = System(edges, scratch, ground).solve(given, tol, rounds)
+    return x.select("node", *[F.col(f"x{j}").alias(c) for j, c in enumerate(names)]), worst

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is named (tests)."""
+    """The folder that the cluster names for checkpoints. Where none is named, a temporary one for a session in one
+    machine (tests), and for others a folder in the warehouse, which all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="galvani-")
+        local = spark.sparkContext.master.startswith("local")
+        found = tempfile.mkdtemp(prefix="galvani-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/galvani-scratch"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

@@ -114,23 +114,59 @@ def test_greedy_group(spark, scratch):
         C.exact_greedy(edge_table(spark, TEST18), 2, scratch, given=[2])
 
 
-def test_solvers_agree(spark, scratch):
-    edges = scratch.table(edge_table(spark, TEST18))
-    graph = V.local_graph(edges)
-    right = R.edge_noise(1)
-    b = right(graph, np.array([0, 1]))
-    table = spark.createDataFrame([(int(n), float(x), float(y)) for n, (x, y) in zip(graph.nodes, b, strict=True)], "node long, b0 double, b1 double")
-    x, residual = V.solve_by_shuffle(edges, table, ["b0", "b1"], scratch, tol=1e-9)
-    assert residual <= 1e-9
-    columns = {(r["t"], r["node"]): r["value"] for r in V.solve_by_columns(spark, graph, 2, right).collect()}
-    for r in x.collect():
-        assert (r["b0"], r["b1"]) == pytest.approx((columns[0, r["node"]], columns[1, r["node"]]), abs=1e-6)
-    with pytest.raises(ValueError):
-        V.local_graph(edges, max_edges=3)
+def dense(pairs):
+    ids = sorted({n for e in pairs for n in e})
+    lap = np.zeros((len(ids), len(ids)))
+    for u, v in pairs:
+        i, j = ids.index(u), ids.index(v)
+        lap[i, j] = lap[j, i] = -1
+    return ids, lap - np.diag(lap.sum(1))
+
+
+@pytest.mark.parametrize("ground", [(), (2,), (2, 13)])
+def test_solutions_against_dense_ones(spark, scratch, ground):
+    ids, lap = dense(TEST18)
+    keep = [k for k, n in enumerate(ids) if n not in ground]
+    random = np.random.default_rng(1)
+    b = random.normal(size=(len(keep), 3))
+    right = spark.createDataFrame([(int(ids[k]), *map(float, row)) for k, row in zip(keep, b, strict=True)], "node long, p double, q double, r double")
+    x, residual = V.solve_by_shuffle(edge_table(spark, TEST18), right, ["p", "q", "r"], scratch, tol=1e-10, ground=ground)
+    want = np.linalg.solve(lap[np.ix_(keep, keep)], b) if ground else np.linalg.pinv(lap) @ b
+    found = {r["node"]: (r["p"], r["q"], r["r"]) for r in x.collect()}
+    assert residual <= 1e-10 and sorted(found) == sorted(ids[k] for k in keep)
+    for k, row in zip(keep, want, strict=True):
+        assert found[ids[k]] == pytest.approx(tuple(row), abs=1e-6)
+    with pytest.raises(ArithmeticError):
+        V.solve_by_shuffle(edge_table(spark, TEST18), right, ["p"], scratch, tol=1e-10, rounds=2, ground=ground)
+
+
+#: A triangle with a leaf and, over a bridge, a cycle.
+PAW_AND_TAIL = [(1, 2), (2, 3), (1, 3), (3, 4), (2, 5), (5, 6), (6, 7), (5, 7)]
+
+
+def test_large_graphs_and_blocks_are_solved_for(spark, scratch):
+    ids, lap = dense(PAW_AND_TAIL)
+    edges = scratch.table(edge_table(spark, PAW_AND_TAIL))
+    inverse = {(r["i"], r["j"]): r["val"] for r in R.pseudo_inverse(edges, most=3, scratch=scratch).collect()}
+    want = np.linalg.pinv(lap)
+    assert inverse == pytest.approx({(u, v): want[i, j] for i, u in enumerate(ids) for j, v in enumerate(ids)}, abs=1e-8)
+    bridges = scratch.table(B.find_bridges(edges, scratch))
+    far = dict(rows(D.decomposed_farness(edges, bridges, scratch, most=2)))
+    assert far == pytest.approx({u: len(ids) * want[i, i] + np.trace(want) for i, u in enumerate(ids)}, abs=1e-6)
+
+
+def test_too_many_levels_are_refused(spark, scratch):
+    with pytest.raises(RuntimeError):
+        B.spanning_forest(edge_table(spark, [(i, i + 1) for i in range(9)]), scratch, max_levels=5)
+
+
+def test_a_value_is_stretched(spark, scratch):
+    one, two = (C.exact_greedy(edge_table(spark, TRIANGLE), 1, scratch, stretch=s)[1].first()["centrality"] for s in (0.0, 2.5))
+    assert two == pytest.approx(2.5 * one)
 
 
 def test_estimates_do_not_depend_on_partitions(spark):
     edges = edge_table(spark, TEST18)
-    a, b = (dict(rows(R.Estimates(e, 20).diagonal())) for e in (edges, edges.repartition(3)))
+    a, b = (dict(rows(R.Estimates(e, 3).diagonal())) for e in (edges, edges.repartition(3)))
     assert a == pytest.approx(b)
     assert projections(20, 1) == 1 and projections(20, 18) == 58
