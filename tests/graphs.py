@@ -1,5 +1,7 @@
 """Small graphs and what is known of them: edges, number of nodes, the best node and its centrality, and the trace."""
 
+# Hand-drawn graphs and their golden numbers.
+
 COMPONENTS3 = [(1, 2), (1, 4), (2, 3), (2, 4), (3, 4), (4, 5), (4, 6), (5, 6), (5, 8), (6, 8), (6, 7)]
 EXT3 = [(1, 2), (1, 7), (1, 3), (2, 4), (2, 3), (3, 4), (3, 5), (4, 6)]
 TRIANGLE = [(1, 2), (1, 3), (2, 3)]
