@@ -1,8 +1,8 @@
 """Components of sets of which some share a posting key, by exact Jaccard similarity, without all pairs of a group.
 
 A posting key (a shingle, a band of a signature) may hold a third of all sets. Rounds of stars link most of a group:
-each set is compared with one leader of the keys that it is in. Only sets of one key that are still in different
-components are compared with each other afterwards, so that no link between components is lost.
+each set is compared with that leader of its keys which is most like it. Only sets of one key that are still in
+different components are compared with each other afterwards, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from .common import Scratch
 
 #: Fragments into which the global order of the hashes is cut; the first prunes pairs for the others.
 FRAGMENTS = 4
-#: Rounds of stars before the sets of different components are compared.
-ROUNDS = 2
+#: Rounds of stars before the sets of different components are compared, and leaders of a key in each but the first.
+ROUNDS, LEADERS = 4, 4
 
 
 def alike(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -84,9 +84,13 @@ def may_be_alike(a: str, b: str, percent: int) -> Column:
     """Whether two sets may reach the threshold by what they are known to differ in: each bit in which BITS differ is a
     hash that only one of them has, as is each that isn't stored. So variants of one text are told apart without
     their hashes, and pairs of a large family that are unlike go no further."""
+    return (100 + percent) * differences(a, b) <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def differences(a: str, b: str) -> Column:
+    """How many hashes only one of two sets is known to have."""
     col = lambda side, c: F.col(f"{side}{c}")
-    differ = sum((F.bit_count(col(a, c).bitwiseXOR(col(b, c))) for c in BITS), (col(a, "n") - col(a, "s")) + (col(b, "n") - col(b, "s")))
-    return (100 + percent) * differ <= (100 - percent) * (col(a, "n") + col(b, "n"))
+    return sum((F.bit_count(col(a, c).bitwiseXOR(col(b, c))) for c in BITS), (col(a, "n") - col(a, "s")) + (col(b, "n") - col(b, "s")))
 
 
 def similar_components(sets: DataFrame, postings: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -106,14 +110,17 @@ def similar_components(sets: DataFrame, postings: DataFrame, percent: int, scrat
             at = held.withColumn("component", F.col("id"))
         else:
             at = held.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # the first leader is the set with the least that is its own, then any other
-        rank = F.col("n") - F.col("s") if turn == 0 else F.xxhash64("id", F.lit(turn))
-        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(rank.alias("rank"), "id", "component", "n", "s", "pos", *BITS)).alias("leader"))
-        mixed = mixed.filter("low < high").select("key", "leader")
+        # the first leader is the set with the least that is its own; later ones are others for each key, so that a set
+        # meets many, and those of sets that are alike in several keys are likely to be among them
+        ranks = [F.col("n") - F.col("s")] if turn == 0 else [F.xxhash64("key", "id", F.lit(turn * LEADERS + k)) for k in range(LEADERS)]
+        leaders = F.array(*[F.min(F.struct(rank.alias("rank"), "id", "component", "n", "s", "pos", *BITS)) for rank in ranks])
+        mixed = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), leaders.alias("leaders"))
+        mixed = mixed.filter("low < high").select("key", F.transform("leaders", lambda x: x.dropFields("rank")).alias("leaders"))
         if turn < ROUNDS:
-            star = at.join(mixed, "key").filter((F.col("component") != F.col("leader.component")) & may_reach("", "leader.", percent) & may_be_alike("", "leader.", percent))
-            votes = star.groupBy("id", "n", "s", "leader.id").agg(F.count(F.lit(1)).alias("votes"), F.first("leader").alias("leader")).toDF("id", "n", "s", "leader_id", "votes", "leader")
-            best = votes.groupBy("id", "n", "s").agg(F.max(F.struct("votes", "leader_id", "leader")).alias("best")).select("id", "n", "s", F.col("best.leader").alias("leader"))
+            star = at.join(mixed, "key").withColumn("leader", F.explode("leaders"))
+            star = star.filter((F.col("component") != F.col("leader.component")) & may_reach("", "leader.", percent) & may_be_alike("", "leader.", percent))
+            nearest = F.min(F.struct((differences("", "leader.") / (F.col("n") + F.col("leader.n"))).alias("share"), "leader"))
+            best = star.groupBy("id", "n", "s").agg(nearest.alias("best")).select("id", "n", "s", "best.leader")
             pairs = best.select(F.col("id").alias("a"), F.col("leader.id").alias("b"), F.col("n").alias("n_a"), F.col("leader.n").alias("n_b"), F.col("s").alias("s_a"), F.col("leader.s").alias("s_b"))
         else:
             side = scratch.table(at.join(mixed.select("key"), "key"), "open")
