@@ -17,7 +17,7 @@ from .common import Scratch
 #: Fragments into which the global order of the hashes is cut; the first prunes pairs for the others.
 FRAGMENTS = 4
 #: Rounds of stars before the sets of different components are compared, and leaders of a key in each but the first.
-ROUNDS, LEADERS = 4, 4
+ROUNDS, LEADERS = 2, 4
 
 
 def alike(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
