@@ -299,3 +299,25 @@ def test_decontamination_of_empty_tables(spark, docs, items):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     assert D.find_benchmark_copies(table(spark, docs), benchmark).collect() == []
     assert D.drop_benchmark_copies(table(spark, docs), benchmark).count() == len(docs)
+
+
+def test_decontamination_of_odd_tables(spark):
+    """Repeated rows and null ids give a row each; columns named as those of the result don't matter."""
+    item = prose(30, random.Random(3))
+    rows = [(1, item), (1, item), (None, "see " + item), (2, prose(30, random.Random(4))), (3, None)]
+    docs = spark.createDataFrame([(*r, "x", 7) for r in rows], "doc_id long, text string, item_id string, edits int")
+    benchmark = spark.createDataFrame([(5, item, 1), (6, item, 2)], "item_id long, text string, doc_id int")
+    found = [(r["doc_id"], r["item_id"], r["start_word"], r["end_word"], r["edits"]) for r in D.find_benchmark_copies(docs, benchmark).collect()]
+    want = [(1, 5, 0, 30, 0), (1, 6, 0, 30, 0)] * 2 + [(None, 5, 1, 31, 0), (None, 6, 1, 31, 0)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    left = D.drop_benchmark_copies(docs, benchmark)
+    assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {2, 3}
+
+
+def test_a_copy_in_a_very_long_text_is_found(spark):
+    rng = random.Random(6)
+    item = prose(40, rng)
+    text = prose(150_000, rng) + " " + item + " " + prose(150_000, rng)
+    benchmark = spark.createDataFrame([(5, item)], "item_id long, text string")
+    found = D.find_benchmark_copies(table(spark, [(1, text)]), benchmark).collect()
+    assert [(r["item_id"], r["start_word"], r["end_word"], r["edits"]) for r in found] == [(5, 150_000, 150_040, 0)]
