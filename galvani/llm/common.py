@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import ctypes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from galvani.sources.scratch import Scratch as SharedTables
 
-__all__ = ["Scratch", "frugal", "give_back", "held_out", "id_and_text", "lots", "read"]
+__all__ = ["Scratch", "bound_batches", "frugal", "give_back", "held_out", "id_and_text", "lots", "placed", "read"]
 
 
 #: Bytes of the batches that a task and its Python worker hold, unless the session says otherwise: texts may be long.
@@ -77,3 +79,25 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def held_out(doc_id) -> F.Column:
     """Rows that a classifier must not learn from: crc32 of the id as text, modulo 4, is 2 (a null id: not held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
+
+
+def placed(rows: DataFrame, order: list, value: str, scratch: Scratch) -> DataFrame:
+    """The rows with `before`, the sum of the whole numbers of column `value` over all rows before them in that order.
+
+    They are dealt out by ranges of the order and summed in each; a range then starts from the sum of those before it,
+    of which there is a row for each partition.
+    """
+    names = rows.columns
+
+    def run(batches):
+        total = 0
+        for batch in batches:
+            now = batch.column(value).to_numpy(zero_copy_only=False)
+            yield batch.append_column("before", pa.array(total + np.cumsum(now) - now, pa.int64()))
+            total += int(now.sum())
+
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    kept = scratch.table(own.mapInArrow(run, own.withColumn("before", F.lit(0).cast("long")).schema), "placed")
+    sums = kept.groupBy("part").agg(F.sum(value).alias("in_part"))
+    starts = sums.select("part", (F.sum("in_part").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("in_part")).alias("start"))
+    return kept.join(F.broadcast(starts), "part").select(*names, (F.col("before") + F.col("start")).alias("before"))

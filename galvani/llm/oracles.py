@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .collocations import ABSORBED, LEAST, LONGEST, TOP
 from .fingerprints import BASE, K, LAST, MODULUS, PIECE, WINDOW
 from .ngram_join import PERCENT, WORDS
 
@@ -56,4 +57,33 @@ links AS (SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.d
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, len(s.s)"""
 
-ORACLE_SQL = {"op8_winnowing": OP8, "op9_warc": OP9, "op10_ngram_join": OP10}
+OP12 = """WITH fine AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda v: floor(256 * v::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_inner_product(a.x, b.x)::BIGINT AS score FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other))::INT AS rank, s.other AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other) <= 3"""
+
+_GRAMS = " UNION ALL ".join(
+    f"SELECT lang, {n} AS k, array_to_string([{', '.join(f'w{i}' for i in range(n))}], ' ') AS phrase, count(*) AS a FROM placed WHERE w{n - 1} IS NOT NULL GROUP BY 1, 3 HAVING count(*) >= {LEAST}" for n in range(1, LONGEST + 1)
+)
+
+OP13 = f"""WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS text FROM documents),
+split AS MATERIALIZED (SELECT id, lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+pieces AS MATERIALIZED (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM split),
+words AS (SELECT id, lang, unnest(ws) AS w0, generate_subscripts(ws, 1) AS i FROM pieces),
+placed AS MATERIALIZED (SELECT lang, w0, {", ".join(f"lead(w0, {n}) OVER (PARTITION BY id ORDER BY i) AS w{n}" for n in range(1, LONGEST))} FROM words),
+totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY 1),
+counts AS MATERIALIZED ({_GRAMS}),
+longer AS (SELECT lang, k - 1 AS k, unnest([array_to_string(string_split(phrase, ' ')[:-2], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase, a FROM counts WHERE k > 2),
+absorbed AS (SELECT lang, phrase, max(a) AS most FROM longer GROUP BY 1, 2),
+cuts AS (SELECT lang, phrase, a, string_split(phrase, ' ') AS p, unnest(range(1, k)) AS cut FROM counts WHERE k > 1),
+scored AS (SELECT c.lang, c.phrase, c.a, f.a AS l, r.a AS r, cut, (2000000::HUGEINT * c.a) // (f.a + r.a) AS score FROM cuts c
+  JOIN counts f ON f.lang = c.lang AND f.phrase = array_to_string(p[:cut], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(p[cut + 1:], ' ')),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (SELECT s.* FROM lowest s LEFT JOIN absorbed b ON b.lang = s.lang AND b.phrase = s.phrase WHERE b.most IS NULL OR 100::HUGEINT * b.most < {ABSORBED}::HUGEINT * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM kept JOIN totals USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) <= {TOP}"""
+
+ORACLE_SQL = {"op8_winnowing": OP8, "op9_warc": OP9, "op10_ngram_join": OP10, "op12_hard_negatives": OP12, "op13_collocations": OP13}

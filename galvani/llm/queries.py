@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from .collocations import mine_phrases
 from .common import read
 from .decontaminate import find_benchmark_copies
 from .fingerprints import near_copies
 from .langid import language_digest
 from .licenses import license_digest
+from .mixing import mix_digest
+from .negatives import mine_negatives
 from .ngram_join import join_by_ngrams
 from .oracles import ORACLE_SQL
 from .packing import pack_documents
@@ -28,4 +31,7 @@ QUERIES = {
     "op8_winnowing": lambda spark, d: near_copies(read(spark, d, "documents")),
     "op9_warc": lambda spark, d: warc_round_trip(read(spark, d, "pages")),
     "op10_ngram_join": lambda spark, d: join_by_ngrams(read(spark, d, "documents")),
+    "op11_mixing": lambda spark, d: mix_digest(read(spark, d, "documents")),
+    "op12_hard_negatives": lambda spark, d: mine_negatives(read(spark, d, "embeddings")),
+    "op13_collocations": lambda spark, d: mine_phrases(read(spark, d, "documents")),
 }
