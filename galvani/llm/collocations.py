@@ -92,14 +92,14 @@ class _Writer:
         return out
 
 
-def _blocks(batches):
+def _blocks(batches, size: int):
     from pyspark import TaskContext
 
     writers: dict[str, _Writer] = {}
     kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
     batch_of = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["block", "lang", "positions", "words", "counts"])
     for batch in batches:
-        for lot in lots([batch], BLOCK_BYTES // 8, 100_000):
+        for lot in lots([batch], size // 8, 100_000):
             langs = np.array(lot.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
                 texts = [t.as_py().encode("utf-8", "surrogatepass") for t in lot.column("text").filter(pa.array(langs == lang))]
@@ -107,8 +107,8 @@ def _blocks(batches):
                     writers[lang] = _Writer(lang, TaskContext.get().partitionId() << 20 | len(writers))
                 writers[lang].add(_FOLD[np.frombuffer(b"\n".join(texts), np.uint8)])  # texts end like pieces
             # a full block is written; of very many languages all are, before they fill the memory together
-            crowded = sum(w.size for w in writers.values()) >= 4 * BLOCK_BYTES
-            for row in [w.flush() for w in writers.values() if crowded or w.size >= BLOCK_BYTES]:
+            crowded = sum(w.size for w in writers.values()) >= 4 * size
+            for row in [w.flush() for w in writers.values() if crowded or w.size >= size]:
                 if row:
                     yield batch_of(row)
     for writer in writers.values():
@@ -183,11 +183,11 @@ class Lists:
     a phrase is one entry a block, however frequent.
     """
 
-    def __init__(self, docs: DataFrame, least: int, text_col: str, lang_col: str):
+    def __init__(self, docs: DataFrame, least: int, text_col: str, lang_col: str, block_bytes: int = BLOCK_BYTES):
         self.least, self.scratch = least, Scratch(docs.sparkSession)
         bound_batches(docs.sparkSession)
         given = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-        self.blocks = self.scratch.table(given.mapInArrow(frugal(_blocks), "block long, lang string, positions binary, words array<string>, counts array<long>"), "blocks")
+        self.blocks = self.scratch.table(given.mapInArrow(frugal(lambda b: _blocks(b, block_bytes)), "block long, lang string, positions binary, words array<string>, counts array<long>"), "blocks")
         each = self.blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
         counts = each.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)
         #: lang, word, f, gid of the frequent words; a written table, so that its numbers stay
@@ -283,7 +283,7 @@ def _spelt(lists: Lists) -> list[DataFrame]:
     return out
 
 
-def mine_phrases(docs: DataFrame, least: int = LEAST, top: int | None = TOP, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def mine_phrases(docs: DataFrame, least: int = LEAST, top: int | None = TOP, text_col: str = "text", lang_col: str = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of the phrases of 2 to 4 words that occur `least` times or more in a
     language, and are not mostly part of a longer one.
 
@@ -292,7 +292,7 @@ def mine_phrases(docs: DataFrame, least: int = LEAST, top: int | None = TOP, tex
     count as often as they stand there; other columns are ignored, ids too; an empty table gives an empty result. With
     top=None all phrases are reported. Phrases are compared as UTF-8 bytes.
     """
-    lists = Lists(docs, least, text_col, lang_col)
+    lists = Lists(docs, least, text_col, lang_col, block_bytes)
     each = _spelt(lists)
     known = reduce(DataFrame.unionByName, each)
     candidates = reduce(DataFrame.unionByName, each[1:])
