@@ -18,11 +18,13 @@ EDITS = 0.2
 #: Walks, samples of each walk for a window size, and steps of a sample. A sample agrees where no sampled step of the
 #: two walks differs; WALKS * SAMPLES of them are tried, so that copies with EDITS edits are found (see the tests).
 WALKS, SAMPLES, STEPS = 7, 3, 5
-#: Window sizes in words, and at every how many words of a document such windows start, at least: for sizes of 8
-#: and more a block's stride is as large, up to STRIDE, as its items allow. An item has the largest size that fits it, with windows of that size all
-#: along it; the sizes over 2 are for items of 8 words or more. A walk takes about two steps for a word.
-LEAST_STRIDES, STRIDE = {1: 1, 2: 1, 4: 2, 8: 4, 16: 8, 32: 8}, 8
-SIZES = tuple(LEAST_STRIDES)
+#: Window sizes in words, from how many words on an item has windows of that size, and at every how many words of a
+#: document such windows start. An item has the largest size that it is long enough for, so several windows even after
+#: EDITS edits, all along it. A walk takes about two steps for a word.
+LEAST_WORDS = {1: 1, 2: 2, 4: 8, 8: 12, 16: 28, 32: 64}
+STRIDES = {1: 1, 2: 1, 4: 2, 8: 4, 16: 8, 32: 8}
+STRIDE = max(STRIDES.values())
+SIZES = tuple(STRIDES)
 #: Items of which windows have this size at most may have no edit, so that one walk finds all.
 EXACT = 2
 #: Bytes of benchmark text that are searched for at once; a larger benchmark is searched for in blocks.
@@ -113,19 +115,16 @@ class Index:
     def __init__(self, items: list[tuple[int, str | None]]):
         hashes, first = words_of([t for _, t in items])
         self.items = [(i, hashes[a:b]) for (i, _), a, b in zip(items, first, first[1:], strict=False) if b > a]
-        size = [max(s for s, stride in LEAST_STRIDES.items() if s + stride - 1 <= len(w) and (s <= EXACT or len(w) >= 8)) for _, w in self.items]
+        self.wanted = [w.tolist() for _, w in self.items]
+        size = [max(s for s, least in LEAST_WORDS.items() if len(w) >= least) for _, w in self.items]
         self.plan = make_plan(sorted(set(size)))
-        self.strides = {s: min(STRIDE, min(len(w) - s + 1 for z, (_, w) in zip(size, self.items, strict=True) if z == s)) if s >= 8 else LEAST_STRIDES[s] for s in self.plan.sizes}
-        # strides that are about the same are made one, so that the sizes share their walks
-        common = min((t for t in self.strides.values() if 2 * t > STRIDE), default=1)
-        self.strides = {s: common if 2 * t > STRIDE else t for s, t in self.strides.items()}
         pad = np.zeros(2 * max(SIZES) + 1, np.uint64)
         flat = np.concatenate([np.concatenate([w, pad]) for _, w in self.items]) if self.items else pad
         begin = np.cumsum([0] + [len(w) + len(pad) for _, w in self.items])[:-1]
         found = []
         for s in self.plan.sizes:
             # windows end to end along the item and one at its end, each from every place where a document's may fall
-            tiles = [(o, t + j) for o, (_, w) in enumerate(self.items) if size[o] == s for t in self._tiles(len(w), s) for j in range(self.strides[s])]
+            tiles = [(o, t + j) for o, (_, w) in enumerate(self.items) if size[o] == s for t in self._tiles(len(w), s) for j in range(STRIDES[s])]
             owner, shift = np.array(tiles, np.int64).T
             found += [(k, owner, shift) for k in keys(narrow(flat), begin[owner] + shift, self.plan, [s]).values()]
         key, self.owner, self.shift = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64),) * 3
@@ -134,8 +133,9 @@ class Index:
         self.bits = np.zeros(1 << 22, bool)  # most windows go no further than this
         self.bits[(self.key & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def _tiles(self, length: int, size: int) -> list[int]:
-        last = length - size - self.strides[size] + 1
+    @staticmethod
+    def _tiles(length: int, size: int) -> list[int]:
+        last = length - size - STRIDES[size] + 1
         return sorted({*range(0, last + 1, size), last})
 
     def candidates(self, words: np.ndarray, first: np.ndarray) -> set[tuple[int, int, int]]:
@@ -146,11 +146,11 @@ class Index:
         flat = np.zeros(len(words) + pad * len(count), np.uint64)
         flat[np.arange(len(words)) + pad * np.repeat(np.arange(len(count)), count)] = words
         flat, out = narrow(flat), set()
-        for stride in sorted(set(self.strides.values())):
+        for stride in sorted({STRIDES[s] for s in self.plan.sizes}):
             windows = -(-count // stride)
             text = np.repeat(np.arange(len(count)), windows)
             place = (np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)) * stride
-            for k in keys(flat, begin[text] + place, self.plan, [s for s in self.plan.sizes if self.strides[s] == stride]).values():
+            for k in keys(flat, begin[text] + place, self.plan, [s for s in self.plan.sizes if STRIDES[s] == stride]).values():
                 hit = np.flatnonzero(self.bits[(k & np.uint64((1 << 22) - 1)).astype(np.int64)])
                 lo, hi = np.searchsorted(self.key, k[hit], "left"), np.searchsorted(self.key, k[hit], "right")
                 for w, a, b in zip(hit[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
@@ -174,6 +174,9 @@ class Index:
             at = at // (slack + 1) * (slack + 1)
             own = words[first[text] : first[text + 1]]
             lo, hi = max(0, at - slack), max(0, at + len(want) + 2 * slack + 1)
+            there = set(own[lo:hi].tolist())
+            if sum(w in there for w in self.wanted[item]) < len(want) - most:
+                continue  # so many of its words are not there at all
             edits, a, b = edit_distance_within(want, own[lo:hi])
             if edits <= most:
                 best[text, item] = min(best.get((text, item), (edits, lo + a, lo + b)), (edits, lo + a, lo + b))
@@ -205,7 +208,7 @@ def _indexes(benchmark: DataFrame, block_bytes: int):
 
 def find_benchmark_copies(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, end_word, edits, item_words: every item of which a document holds a copy, with its
-    best place there in words.
+    best place there in words (of equally good ones the first).
 
     A copy has EDITS of the item's words as edits at most. A block of items is one pass over the documents without a
     shuffle; of several blocks each pass is written before the next block is gathered. Null and empty texts, on either side, have no words and match nothing; a null id stays null; repeated

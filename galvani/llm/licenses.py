@@ -106,11 +106,17 @@ def evaluate(postfix: list[str]) -> tuple[bool, set[str]]:
 
 
 def parse_expression(text: str) -> dict:
-    """The expression after a tag: symbols up to what can't belong to one, or to the end of the line."""
-    symbols = _SYMBOL.findall(text.lower())
+    """The expression that a text begins with."""
+    lower = text.lower()
+    return _parse(lower, 0, len(lower))
+
+
+def _parse(text: str, start: int, end: int) -> dict:
+    """The expression in a stretch of lower-case text: symbols up to what can't belong to one."""
     # prose may follow on the same line: two operands in a row end the expression
     kept: list[str] = []
-    for s in symbols:
+    for found in _SYMBOL.finditer(text, start, end):
+        s = found[0]
         if kept and s not in BINDS and s != ")" and kept[-1] not in BINDS and kept[-1] != "(":
             break
         kept.append(s)
@@ -151,9 +157,13 @@ def scan_text(text: str | None) -> tuple[int, list[dict], list[dict]]:
     expressions = []
     if b"icense" in raw or b"ICENSE" in raw:
         lower = raw.lower().decode("utf-8", "surrogatepass")
-        for end, _ in tags.iter(lower):
-            stop = lower.find("\n", end)
-            expressions.append(parse_expression(lower[end + 1 : stop if stop >= 0 else len(lower)]))
+        places = [(end + 1, end + 1 - len(tag)) for end, tag in tags.iter(lower)]
+        line = -1
+        for k, (start, _) in enumerate(places):  # an expression ends with its line, or where the next tag begins
+            if line < start:
+                line = lower.find("\n", start)
+                line = line if line >= 0 else len(lower)
+            expressions.append(_parse(lower, start, min(line, places[k + 1][1]) if k + 1 < len(places) else line))
     return len(words), matches, expressions
 
 

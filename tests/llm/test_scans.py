@@ -129,3 +129,16 @@ def test_very_long_texts(spark):
     assert (found[0]["n_words"], found[0]["first_word"], found[0]["n_base"]) == (400_003, 200_000, 1) and found[1]["n_words"] == 1
     hidden = {r["doc_id"]: r for r in secret_digest(table).collect()}
     assert hidden[0]["n_access"] == 1 and hidden[0]["spans"] == "access:1000012:1000032" and hidden[1]["spans"] == ""
+
+
+def test_many_tags_on_one_line_take_linear_time():
+    import time
+
+    from galvani.llm.licenses import scan_text
+
+    for part in ("SPDX-License-Identifier: MIT ", "SPDX-License-Identifier: and ", "License-Expression: ( MIT or "):
+        began = time.process_time()
+        _, _, expressions = scan_text(part * (1_000_000 // len(part)))
+        assert time.process_time() - began < 5 and len(expressions) == 1_000_000 // len(part)
+    said = scan_text("SPDX-License-Identifier: MIT SPDX-License-Identifier: GPL-2.0 or BSD-2-Clause text\nSPDX-License-Identifier: Apache-2.0")[2]
+    assert [e["text"] for e in said] == ["mit", "gpl-2.0 or bsd-2-clause", "apache-2.0"] and all(e["valid"] for e in said)

@@ -294,6 +294,24 @@ def test_recall_at_the_most_edits(length, part):
     assert sum((k, k % 20) in found for k in range(100)) >= 90
 
 
+@pytest.mark.parametrize("kind", ["delete", "replace", "insert", "mixed"])
+@pytest.mark.parametrize("length", [1, 4, 5, 7, 8, 11, 12, 15, 19, 20, 27, 28, 39, 40, 41, 63, 64, 100, 200, 500])
+def test_recall_of_each_kind_of_edit(length, kind):
+    """400 copies with exactly the edits that are allowed, all of one kind or mixed, each of which changes something."""
+    rng = random.Random(length)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(length))) for i in range(40)]
+    texts = []
+    for k in range(400):
+        w = items[k % 40][1].split()
+        for n in range(int(D.EDITS * length)):
+            what = kind if kind != "mixed" else rng.choice(["delete", "replace", "insert"])
+            at = rng.randrange(len(w))
+            w[at : at + (what != "insert")] = [] if what == "delete" else [f"new{k}x{n}"]
+        texts.append(prose(rng.randrange(60), rng) + " " + " ".join(w) + " " + prose(rng.randrange(60), rng))
+    found = {(t, i) for t, i, *_ in D.Index(items).matches(texts)}
+    assert sum((k, k % 40) in found for k in range(400)) >= 360
+
+
 @pytest.mark.parametrize("docs,items", [([], [(1, "a b c d")]), ([(1, "a b c d")], [])])
 def test_decontamination_of_empty_tables(spark, docs, items):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
