@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bound_batches, frugal, lots
+from .common import Scratch, bound_batches, frugal, give_back, lots
 from .hashing import SpanHashes, mix, word_spans
 
 #: Occurrences that make a phrase a candidate, words of the longest one, and phrases of a language that are reported.
@@ -20,7 +20,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: In per cent of a phrase's occurrences: where a longer phrase has as many, the shorter one goes.
 ABSORBED = 80
 #: Bytes of text of a block of positions: the lists of a block are extended by one task.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Bytes of text for which phrases to be counted get a fragment of their own.
 FRAGMENT_BYTES = 4_000_000
 
@@ -50,6 +50,19 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _pack_lists(at: np.ndarray, ids: np.ndarray) -> bytes:
+    return _pack(np.diff(at, prepend=0), ids)
+
+
+def _unpack_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    gaps, ids = _unpack(data)
+    return np.cumsum(gaps), ids
+
+
+def _word_list(data: bytes) -> list[bytes]:
+    return _UNZIP.decompress(data).split(b"\n")
+
+
 # --- blocks of positions ------------------------------------------------------------------------------------------------
 
 
@@ -80,41 +93,57 @@ class _Writer:
         self.gaps.append(new)
         self.size += len(data)
 
-    def flush(self):
-        """block, lang, words (their numbers by position), and the word and count of each number."""
+    def flush(self, fragments: int):
+        """The block's words by position, as numbers, and for each fragment its words with their numbers and counts."""
         if not self.hashes:
-            return None
+            return
         unique, local, count = np.unique(np.concatenate(self.hashes), return_inverse=True, return_counts=True)
         position = np.arange(len(local)) + np.cumsum(np.concatenate(self.gaps)) - 1
-        out = [self.task << 20 | self.blocks, self.lang, _pack(np.diff(position, prepend=0), local), [self.words[h].decode("utf-8", "surrogatepass") for h in unique.tolist()], count.tolist()]
+        block, words = self.task << 20 | self.blocks, self.words
         self.blocks += 1
         self._clear()
-        return out
+        yield block, self.lang, len(local), _pack_lists(position, local), None, None, None
+        for f, own in _by_fragment((mix(unique.view(np.uint64)) % np.uint64(fragments)).astype(np.int64)):
+            yield block, self.lang, None, None, f, _pack(own, count[own]), _ZIP.compress(b"\n".join(words[h] for h in unique[own].tolist()))
+
+
+def _by_fragment(fragment: np.ndarray):
+    """(fragment, places) for each fragment that there is."""
+    order = np.argsort(fragment, kind="stable")
+    cuts = np.flatnonzero(np.diff(fragment[order])) + 1
+    for own in np.split(order, cuts):
+        if len(own):
+            yield int(fragment[own[0]]), own
+
 
+_BLOCK = "block long, lang string, n long, positions binary, fragment long, numbers binary, words binary"
 
-def _blocks(batches, size: int):
+
+def _blocks(batches, size: int, fragments: int):
     from pyspark import TaskContext
 
     writers: dict[str, _Writer] = {}
-    kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
-    batch_of = lambda row: pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["block", "lang", "positions", "words", "counts"])
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    names = [c.split()[0] for c in _BLOCK.split(", ")]
+
+    def rows(full):
+        for writer in full:
+            found = list(writer.flush(fragments))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
+
     for batch in batches:
-        for lot in lots([batch], size // 8, 100_000):
+        for lot in lots([batch], size // 4, 100_000):
             langs = np.array(lot.column("lang").to_pylist(), object)
             for lang in dict.fromkeys(langs.tolist()):
                 texts = [t.as_py().encode("utf-8", "surrogatepass") for t in lot.column("text").filter(pa.array(langs == lang))]
                 if lang not in writers:
                     writers[lang] = _Writer(lang, TaskContext.get().partitionId() << 20 | len(writers))
                 writers[lang].add(_FOLD[np.frombuffer(b"\n".join(texts), np.uint8)])  # texts end like pieces
-            # a full block is written; of very many languages all are, before they fill the memory together
-            crowded = sum(w.size for w in writers.values()) >= 4 * size
-            for row in [w.flush() for w in writers.values() if crowded or w.size >= size]:
-                if row:
-                    yield batch_of(row)
-    for writer in writers.values():
-        row = writer.flush()
-        if row:
-            yield batch_of(row)
+                # a full block is written; of very many languages all are, before they fill the memory together
+                crowded = sum(w.size for w in writers.values()) >= 4 * size
+                yield from rows([w for w in writers.values() if crowded or w.size >= size])
+    yield from rows(writers.values())
 
 
 # --- lists of a block ---------------------------------------------------------------------------------------------------
@@ -187,16 +216,35 @@ class Lists:
         self.least, self.scratch = least, Scratch(docs.sparkSession)
         bound_batches(docs.sparkSession)
         given = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-        self.blocks = self.scratch.table(given.mapInArrow(frugal(lambda b: _blocks(b, block_bytes)), "block long, lang string, positions binary, words array<string>, counts array<long>"), "blocks")
-        each = self.blocks.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w")).select("block", "lang", "local", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
-        counts = each.groupBy("lang", "word").agg(F.sum("count").alias("f")).filter(F.col("f") >= least)
-        #: lang, word, f, gid of the frequent words; a written table, so that its numbers stay
-        self.words = self.scratch.table(counts.withColumn("gid", F.monotonically_increasing_id()), "words")
-        self.totals = self.blocks.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, c: s + c).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
-        words = self.totals.agg(F.sum("n")).first()[0] or 0
-        self.fragments = max(16, -(-words * 6 // FRAGMENT_BYTES))
-        found = each.join(self.words, ["lang", "word"]).select(F.col("block").alias("of"), "local", "gid")
-        self.state = self.scratch.table(self.blocks.select("block", "positions").groupBy("block").cogroup(found.groupBy("of")).applyInPandas(_start, "block long, lists binary, words binary"), "lists")
+        size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.fragments = fragments = max(16, -(-size // FRAGMENT_BYTES))
+        blocks = self.scratch.table(given.mapInArrow(frugal(lambda b: _blocks(b, block_bytes, fragments)), _BLOCK), "blocks")
+        #: lang, n: all words
+        self.totals = blocks.filter("n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
+
+        def count(df: pd.DataFrame) -> pd.DataFrame:
+            sent = [(block, lang, *_unpack(numbers), _word_list(words)) for block, lang, numbers, words in zip(df["block"], df["lang"], df["numbers"], df["words"], strict=True)]
+            total: dict[tuple[str, bytes], int] = {}
+            for _, lang, _, n, words in sent:
+                for w, k in zip(words, n.tolist(), strict=True):
+                    total[lang, w] = total.get((lang, w), 0) + k
+            often = sorted(w for w, k in total.items() if k >= least)
+            first = int(df["fragment"].iloc[0])
+            gid = {w: first + fragments * k for k, w in enumerate(often)}
+            out = [(None, lang, w.decode("utf-8", "surrogatepass"), total[lang, w], gid[lang, w], None) for lang, w in often]
+            for block, lang, local, _, words in sent:
+                got = np.array([gid.get((lang, w), -1) for w in words], np.int64)
+                if (got >= 0).any():
+                    out.append((block, None, None, None, None, _pack(local[got >= 0], got[got >= 0])))
+            return give_back(pd.DataFrame(out, columns=["block", "lang", "word", "f", "gid", "found"]).astype({"block": "Int64", "f": "Int64", "gid": "Int64"}))
+
+        sent = blocks.filter("fragment is not null").select("fragment", "block", "lang", "numbers", "words")
+        answers = self.scratch.table(sent.groupBy("fragment").applyInPandas(count, "block long, lang string, word string, f long, gid long, found binary"), "words")
+        #: lang, word, f, gid of the frequent words
+        self.words = answers.filter("block is null").select("lang", "word", "f", "gid")
+        found = answers.filter("block is not null").select(F.col("block").alias("of"), "found")
+        postings = blocks.filter("n is not null").select("block", "positions").groupBy("block").cogroup(found.groupBy("of")).applyInPandas(_start, _STATE)
+        self.state = self.scratch.table(postings, "lists")
 
     def level(self, length: int) -> DataFrame:
         """prefix, word, gid, a: the frequent phrases of that many words; one call for each length from 2 on."""
@@ -205,12 +253,11 @@ class Lists:
         def send(batches):
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    _, prefix, word = _extended(_unpack(row.lists), _unpack(row.words), step)
+                    words = _unpack_lists(row.words)
+                    _, prefix, word = _extended(words if row.lists is None else _unpack_lists(row.lists), words, step)
                     prefix, word, n = _counted(prefix, word)
-                    f = _fragment(prefix, word, fragments)
-                    order = np.argsort(f, kind="stable")
-                    cuts = np.flatnonzero(np.diff(f[order], prepend=-1))
-                    yield pd.DataFrame([(int(f[o[0]]), row.block, _pack(np.diff(prefix[o], prepend=0), word[o], n[o])) for o in np.split(order, cuts[1:]) if len(o)], columns=["fragment", "block", "phrases"])
+                    each = _by_fragment(_fragment(prefix, word, fragments))
+                    yield give_back(pd.DataFrame([(f, row.block, _pack(np.diff(prefix[o], prepend=0), word[o], n[o])) for f, o in each], columns=["fragment", "block", "phrases"]))
 
         def count(df: pd.DataFrame) -> pd.DataFrame:
             sent = [_unpack(p) for p in df["phrases"]]
@@ -218,20 +265,20 @@ class Lists:
             all_prefix, all_word, a = _counted(prefix, word, n)
             kept = a >= least
             all_prefix, all_word, a = all_prefix[kept], all_word[kept], a[kept]
-            gid = (int(df["fragment"].iloc[0]) << 32) + np.arange(len(a))
+            gid = int(df["fragment"].iloc[0]) + fragments * np.arange(len(a))
             out = [(None, _pack(all_prefix, all_word, gid, a))] if len(a) else []
             for block, (p, w, _) in zip(df["block"], sent, strict=True):
                 p = np.cumsum(p)
                 got = _gids(p, w, (all_prefix, all_word, gid))
                 if (got >= 0).any():
                     out.append((block, _pack(p[got >= 0], w[got >= 0], got[got >= 0])))
-            return pd.DataFrame(out, columns=["block", "phrases"]).astype({"block": "Int64"})
+            return give_back(pd.DataFrame(out, columns=["block", "phrases"]).astype({"block": "Int64"}))
 
         sent = self.state.mapInPandas(send, "fragment long, block long, phrases binary")
         answers = self.scratch.table(sent.groupBy("fragment").applyInPandas(count, "block long, phrases binary"), "answers")
         if length < LONGEST:
             here = self.state.groupBy("block").cogroup(answers.filter("block is not null").select(F.col("block").alias("of"), "phrases").groupBy("of"))
-            self.state = self.scratch.table(here.applyInPandas(lambda own, got: _grown(own, got, step), "block long, lists binary, words binary"), "lists")
+            self.state = self.scratch.table(here.applyInPandas(lambda own, got: _grown(own, got, step), _STATE), "lists")
 
         def rows(batches):
             for batch in batches:
@@ -241,30 +288,34 @@ class Lists:
         return self.scratch.table(answers.filter("block is null").select("phrases").mapInPandas(rows, "prefix long, word long, gid long, a long"), "phrases")
 
 
+_STATE = "block long, lists binary, words binary"
+_NOTHING = pd.DataFrame({"block": [], "lists": [], "words": []})
+
+
 def _start(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """The postings of the frequent words of a block, which are its phrases of one word too."""
+    """The postings of the frequent words of a block. They are its phrases of one word too: no lists of their own."""
     if not len(found):
-        return pd.DataFrame({"block": [], "lists": [], "words": []})
-    gap, local = _unpack(own["positions"].iloc[0])
+        return _NOTHING
+    at, local = _unpack_lists(own["positions"].iloc[0])
     gid = np.full(int(local.max()) + 1, -1)
-    gid[found["local"].to_numpy()] = found["gid"].to_numpy()
-    at, word = np.cumsum(gap), gid[local]
-    kept = word >= 0
-    both = _pack(at[kept], word[kept])
-    return pd.DataFrame({"block": [own["block"].iloc[0]], "lists": [both], "words": [both]})
+    for data in found["found"]:
+        number, got = _unpack(data)
+        gid[number] = got
+    word = gid[local]
+    return give_back(pd.DataFrame({"block": [own["block"].iloc[0]], "lists": [None], "words": [_pack_lists(at[word >= 0], word[word >= 0])]}))
 
 
 def _grown(own: pd.DataFrame, got: pd.DataFrame, step: int) -> pd.DataFrame:
     """The lists of the frequent phrases one word longer, and the postings of words that may follow these."""
     if not len(got) or not len(own):
-        return pd.DataFrame({"block": [], "lists": [], "words": []})
-    words = _unpack(own["words"].iloc[0])
-    at, prefix, word = _extended(_unpack(own["lists"].iloc[0]), words, step)
+        return _NOTHING
+    word_at, words = _unpack_lists(own["words"].iloc[0])
+    lists = own["lists"].iloc[0]
+    at, prefix, word = _extended((word_at, words) if lists is None else _unpack_lists(lists), (word_at, words), step)
     phrase = _gids(prefix, word, tuple(np.concatenate(c) for c in zip(*map(_unpack, got["phrases"]), strict=True)))
     at, phrase = at[phrase >= 0], phrase[phrase >= 0]
-    word_at, word = words
     follow, _ = _adjacent(word_at, at + step + 1, 0)
-    return pd.DataFrame({"block": [own["block"].iloc[0]], "lists": [_pack(at, phrase)], "words": [_pack(word_at[follow], word[follow])]})
+    return give_back(pd.DataFrame({"block": [own["block"].iloc[0]], "lists": [_pack_lists(at, phrase)], "words": [_pack_lists(word_at[follow], words[follow])]}))
 
 
 # --- phrases ------------------------------------------------------------------------------------------------------------

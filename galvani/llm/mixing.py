@@ -164,7 +164,8 @@ class Mix:
 
     def mixed(self) -> DataFrame:
         """shard, position, rank, block, first, doc_id, start, length: slots and pieces joined by source and index."""
-        return self.slots().join(self.pieces(), ["rank", "block"]).select("shard", "position", "rank", "block", "first", "doc_id", "start", "length")
+        # how many rows a drawn shard has isn't known beforehand: without the hint they could be taken for few, and broadcast
+        return self.slots().hint("merge").join(self.pieces(), ["rank", "block"]).select("shard", "position", "rank", "block", "first", "doc_id", "start", "length")
 
     def texts(self) -> DataFrame:
         """shard, position, source, words, text: the mix itself, words joined by blanks."""
@@ -187,7 +188,7 @@ class Mix:
         parts = known.mapInPandas(run, "rank int, block long, first long, source string, words int, part string")
         text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "part"))), lambda p: p["part"]), " ")
         blocks = parts.groupBy("rank", "block").agg(F.first("source").alias("source"), F.sum("words").alias("words"), text.alias("text"))
-        return self.slots().join(blocks, ["rank", "block"]).select("shard", "position", "source", "words", "text")
+        return self.slots().hint("merge").join(blocks, ["rank", "block"]).select("shard", "position", "source", "words", "text")
 
 
 _AS_BLANK = {ord(c): " " for c in _BLANKS}
@@ -198,5 +199,5 @@ def mix_digest(docs: DataFrame) -> DataFrame:
     made = Mix(docs)
     taken = made.mixed().groupBy("rank", "first").agg(F.sum("length").alias("taken"))
     rows = made.rows.withColumn("held", F.when(F.col("size") > 0, F.col("first")))
-    found = rows.join(taken.toDF("r", "f", "taken"), (F.col("rank") == F.col("r")) & (F.col("held") == F.col("f")), "left")
+    found = rows.join(taken.toDF("r", "f", "taken").hint("merge"), (F.col("rank") == F.col("r")) & (F.col("held") == F.col("f")), "left")
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "source")
