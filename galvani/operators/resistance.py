@@ -99,8 +99,8 @@ class Estimates:
     Their relative error is about sqrt(2 / k). Noise is a hash of seed, projection and ids; columns past k are zero.
     """
 
-    def __init__(self, edges: DataFrame, factor: float = 20, seed: int = 1, ground: tuple[int, ...] = (), scratch: Scratch | None = None):
-        self.seed, self.system = seed, System(edges, scratch or Scratch(edges.sparkSession), ground)
+    def __init__(self, edges: DataFrame, factor: float = 20, seed: int = 1, ground: tuple[int, ...] = (), scratch: Scratch | None = None, plan: str = "auto"):
+        self.seed, self.system = seed, System(edges, scratch or Scratch(edges.sparkSession), ground, plan)
         self.n, self.k = self.system.n, projections(factor, self.system.n)
 
     def _signs(self, seed: int, *keys: str) -> list[Column]:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names for checkpoints. Where none is named, a temporary one for a session in one
-    machine (tests), and for others a folder in the warehouse, which all executors share."""
+    machine (tests), and for others a folder in the warehouse, which all executors share; the session then keeps it as
+    its spark.checkpoint.dir."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         local = spark.sparkContext.master.startswith("local")
@@ -24,9 +25,26 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/galvani-{uuid.uuid4().hex}"
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
 
-    def table(self, df: DataFrame, name: str = "table") -> DataFrame:
-        """The frame, written as Parquet and read back."""
+    def table(self, df: DataFrame, name: str = "table", instead_of: DataFrame | None = None) -> DataFrame:
+        """The frame, written as Parquet and read back. The table that `instead_of` was read from, of which nothing more
+        than this frame may be derived, is deleted when the new one is whole, so a loop keeps one state on disk."""
         path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        if instead_of is not None:
+            self._paths[id(made)] = (made, path)
+            _, old = self._paths.pop(id(instead_of), (None, None))
+            if old:
+                gone = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+        return made
+
+    def state(self, df: DataFrame, name: str = "state") -> DataFrame:
+        """A table that a later one may be written instead of."""
+        path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        made = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(made)] = (made, path)
+        return made

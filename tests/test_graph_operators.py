@@ -124,20 +124,61 @@ def dense(pairs):
 
 
 @pytest.mark.parametrize("ground", [(), (2,), (2, 13)])
-def test_solutions_against_dense_ones(spark, scratch, ground):
+@pytest.mark.parametrize("plan,reduce", [("tables", True), ("tables", False), ("columns", True), ("columns", False)])
+def test_solutions_against_dense_ones(spark, scratch, ground, plan, reduce):
     ids, lap = dense(TEST18)
     keep = [k for k, n in enumerate(ids) if n not in ground]
     random = np.random.default_rng(1)
     b = random.normal(size=(len(keep), 3))
     right = spark.createDataFrame([(int(ids[k]), *map(float, row)) for k, row in zip(keep, b, strict=True)], "node long, p double, q double, r double")
-    x, residual = V.solve_by_shuffle(edge_table(spark, TEST18), right, ["p", "q", "r"], scratch, tol=1e-10, ground=ground)
+    x, residual = V.solve_by_shuffle(edge_table(spark, TEST18), right, ["p", "q", "r"], scratch, tol=1e-10, ground=ground, plan=plan, reduce=reduce)
     want = np.linalg.solve(lap[np.ix_(keep, keep)], b) if ground else np.linalg.pinv(lap) @ b
     found = {r["node"]: (r["p"], r["q"], r["r"]) for r in x.collect()}
     assert residual <= 1e-10 and sorted(found) == sorted(ids[k] for k in keep)
     for k, row in zip(keep, want, strict=True):
         assert found[ids[k]] == pytest.approx(tuple(row), abs=1e-6)
     with pytest.raises(ArithmeticError):
-        V.solve_by_shuffle(edge_table(spark, TEST18), right, ["p"], scratch, tol=1e-10, rounds=2, ground=ground)
+        V.solve_by_shuffle(edge_table(spark, TEST18), right, ["p"], scratch, tol=1e-10, rounds=1, ground=ground, plan=plan, reduce=False)
+
+
+def test_leaves_and_chains_are_eliminated(spark, scratch):
+    """A weighted graph of a dense core with long chains, stars and rings on it, grounded and not, and a tree."""
+    rng = np.random.default_rng(4)
+    core = [(i, j, float(rng.uniform(0.5, 2))) for i in range(8) for j in range(i)]
+    chains = [(8 + k, 9 + k, 1.5) for k in range(80)] + [(0, 8, 1.0), (88, 3, 2.0)]
+    stars = [(5, 200 + k, float(1 + k % 3)) for k in range(60)] + [(260, 261, 1.0), (261, 262, 1.0), (260, 262, 3.0), (262, 2, 1.0)]
+    pairs = core + chains + stars
+    ids = sorted({n for e in pairs for n in e[:2]})
+    lap = np.zeros((len(ids), len(ids)))
+    for u, v, w in pairs:
+        i, j = ids.index(u), ids.index(v)
+        lap[[i, j, i, j], [i, j, j, i]] += [w, w, -w, -w]
+    edges = spark.createDataFrame([(min(u, v), max(u, v), w) for u, v, w in pairs], "src long, dst long, w double")
+    b = rng.normal(size=len(ids))
+    right = spark.createDataFrame([(int(k), 0, float(x)) for k, x in zip(ids, b, strict=True)], "node long, block int, b0 double")
+    for ground in ((), (40, 205)):
+        keep = [k for k, i in enumerate(ids) if i not in ground]
+        want = np.linalg.solve(lap[np.ix_(keep, keep)], b[keep]) if ground else np.linalg.pinv(lap) @ b
+        system = V.System(edges, scratch, ground, "tables")
+        assert system.core.left <= 12 and len(system.core.rounds) <= 20
+        found = {r["node"]: r["x0"] for r in system.solve(right.filter(~F.col("node").isin(list(ground))), 1e-12)[0].collect()}
+        assert [found[ids[k]] for k in keep] == pytest.approx(want.tolist(), abs=1e-9)
+    tree = V.System(edge_table(spark, [(i, i // 3) for i in range(1, 60)]), scratch, plan="tables")
+    assert tree.core.left == 1
+    x = {r["node"]: r["x0"] for r in tree.solve(right.filter("node = 8"))[0].collect()}
+    ids, lap = dense([(i, i // 3) for i in range(1, 60)])
+    assert [x[i] for i in ids] == pytest.approx((np.linalg.pinv(lap)[:, ids.index(8)] * b[8]).tolist(), abs=1e-9)
+    with pytest.raises(ValueError):
+        V.System(edges, scratch, plan="rows")
+
+
+def test_a_loop_keeps_one_state(spark, scratch):
+    import pathlib
+
+    right = spark.createDataFrame([(1, 0, 1.0), (18, 0, -1.0)], "node long, block int, b0 double")
+    V.System(edge_table(spark, TEST18), scratch, plan="tables", reduce=False).solve(right, 1e-10)
+    names = [p.name.split("-")[0] for p in pathlib.Path(scratch.top.removeprefix("file:")).iterdir()]
+    assert names.count("cg") == 1 and names.count("steps") == 1
 
 
 #: A triangle with a leaf and, over a bridge, a cycle.
