@@ -2,64 +2,113 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
-from .components import component_of_nodes, connected_components
-from .edges import degrees, leaf_counts, nodes, symmetric
-
-
-def spanning_forest(edges: DataFrame, scratch: Scratch, max_levels: int = 10_000) -> DataFrame:
-    """node, parent, level by breadth-first search from the least node of each component (parent null there).
-    A level is one join of the frontier; of several possible parents the least is taken."""
-    both = scratch.table(symmetric(edges), "both")
-    roots = connected_components(edges, scratch.table).select(F.col("component").alias("node")).distinct()
-    seen = scratch.table(roots.select("node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")), "level")
-    frontier, levels = seen, [seen]
-    for level in range(1, max_levels + 1):
-        reached = both.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
-        # a neighbour of the frontier was seen in the last two levels or is new
-        for old in levels[-2:]:
-            reached = reached.join(old.select("node"), "node", "left_anti")
-        frontier = scratch.table(reached.withColumn("level", F.lit(level)), "level")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    else:
-        raise RuntimeError(f"the graph has more than {max_levels} levels")
-    out = levels[0]
-    for found in levels[1:]:
-        out = out.union(found)
+from .components import component_of_nodes
+from .edges import degrees, leaf_counts, nodes
+from .ranges import placed
+
+
+def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """src, dst of a spanning forest, and a root (node) of each component that has an edge, in logarithmic rounds.
+
+    In a round each part of the graph takes the least of its outgoing edges in the order of a hash, so no cycle arises
+    (Boruvka); parts that are joined so get the name of one of them, by doubling of pointers; of the edges between two
+    parts the least stays. Parts are at most half as many after a round.
+    """
+    edge = F.struct(F.xxhash64("src", "dst").alias("hash"), "src", "dst")
+    between = scratch.state(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), edge.alias("e")), "between")
+    taken, renamed = [], []
+    while not between.isEmpty():
+        ends = between.select(F.col("a").alias("part"), F.struct("e", F.col("b").alias("to")).alias("x")).union(between.select("b", F.struct("e", F.col("a").alias("to"))))
+        picks = scratch.table(ends.groupBy("part").agg(F.min("x").alias("x")).select("part", "x.to", "x.e.src", "x.e.dst"), "picks")
+        taken.append(picks.select("src", "dst"))
+        # of two parts that took the same edge the lesser keeps its name
+        back = picks.select(F.col("part").alias("to"), F.col("to").alias("beyond"))
+        names = picks.join(back, "to").select("part", F.when((F.col("beyond") == F.col("part")) & (F.col("part") < F.col("to")), F.col("part")).otherwise(F.col("to")).alias("name"))
+        names, moved = scratch.state(names, "names"), 1
+        while moved:
+            seen = Observation()
+            far = _followed(names, 3)
+            names = scratch.table(far.select("part", F.col("name3").alias("name"), F.col("name").alias("old")).observe(seen, F.count_if(F.col("name") != F.col("old")).alias("moved")).select("part", "name"), "names", names)
+            moved = seen.get["moved"] or 0
+        renamed.append(names.filter("part <> name").select(F.col("part").alias("node")))
+        merged = between.join(names.toDF("a", "na"), "a").join(names.toDF("b", "nb"), "b").filter("na <> nb")
+        merged = merged.groupBy(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).agg(F.min("e").alias("e"))
+        between = scratch.table(merged, "between", between)
+    forest = reduce(DataFrame.union, taken, edges.select("src", "dst").limit(0)).distinct()
+    roots = nodes(edges).join(reduce(DataFrame.union, renamed, nodes(edges).limit(0)), "node", "left_anti")
+    return forest, roots
+
+
+def _followed(names: DataFrame, steps: int) -> DataFrame:
+    """part, name and name1 .. : where the pointers lead in so many steps more."""
+    out = names
+    for k in range(1, steps + 1):
+        before = "name" if k == 1 else f"name{k - 1}"
+        out = out.join(names.toDF(before, f"name{k}"), before)
     return out
 
 
+def euler_tours(forest: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """id, tail, head, next, leads: each edge of a forest as two arcs, with the id of the arc that follows on its tree's
+    tour (null where the tour comes back to the root for the last time), and whether it is its tail's first arc.
+
+    Arcs are numbered by tail and head. After the arc from u to v comes v's arc behind the one to u, or v's first: so a
+    join of the arcs with their opposites, and v's first and last number, give the tour; a hub needs no list.
+    """
+    arcs = forest.select(F.col("src").alias("tail"), F.col("dst").alias("head")).union(forest.select("dst", "src")).withColumn("one", F.lit(1).cast("long"))
+    arcs = scratch.table(placed(arcs, ["tail", "head"], "one", scratch).select(F.col("before").alias("id"), "tail", "head"), "arcs")
+    ends = arcs.groupBy(F.col("tail").alias("node")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    there = ends.join(roots.select("node", F.lit(True).alias("root")), "node", "left").toDF("head", "first", "last", "root")
+    opposite = arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("id").alias("opposite"))
+    found = arcs.join(opposite, ["tail", "head"]).join(there, "head").join(ends.select(F.col("node").alias("tail"), F.col("first").alias("own_first")), "tail")
+    after = F.when(F.col("opposite") < F.col("last"), F.col("opposite") + 1).when(F.col("root"), None).otherwise(F.col("first"))
+    return found.select("id", "tail", "head", after.alias("next"), (F.col("id") == F.col("own_first")).alias("leads"))
+
+
+def suffixes(lists: DataFrame, combine: dict[str, Callable[[Column, Column], Column]], scratch: Scratch) -> DataFrame:
+    """The rows (id, next, values) of linked lists with each value combined with all that follow in its list, by pointers
+    that reach four times as far each round."""
+    values = list(combine)
+    here, open_ = scratch.state(lists.select("id", "next", *values), "lists"), 1
+    while open_:
+        far = here.select("id", F.col("next").alias("n0"), *[F.col(v).alias(f"{v}0") for v in values])
+        for k in range(3):
+            ahead = here.select(F.col("id").alias(f"n{k}"), F.col("next").alias(f"n{k + 1}"), *[F.col(v).alias(f"{v}_") for v in values])
+            far = far.join(ahead, f"n{k}", "left")
+            more = [F.when(F.col(f"{v}_").isNull(), F.col(f"{v}{k}")).otherwise(f(F.col(f"{v}{k}"), F.col(f"{v}_"))).alias(f"{v}{k + 1}") for v, f in combine.items()]
+            far = far.select("id", f"n{k + 1}", *more)
+        seen = Observation()
+        far = far.select("id", F.col("n3").alias("next"), *[F.col(f"{v}3").alias(v) for v in values])
+        here = scratch.table(far.observe(seen, F.count("next").alias("open")), "lists", here)
+        open_ = seen.get["open"] or 0
+    return here
+
+
 def find_bridges(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """src, dst of every bridge, by cycle-space sampling (Pritchard & Thurimella, 2011).
+    """src, dst of every bridge, by cycle-space sampling (Pritchard & Thurimella, 2011), in logarithmic rounds.
 
-    Each edge outside a spanning forest gets a random label of 128 bits, and a tree edge the exclusive or of those
-    that cross it: of all labels at the nodes below it. It is a bridge exactly if nothing crosses it; a label of
-    zero by chance has a probability of 2^-128. Levels are folded from the deepest up, each with one aggregation.
+    Each edge outside a spanning forest gives a random label of 128 bits to its ends. A forest edge is a bridge exactly
+    if the labels of the nodes on either side of it cancel out: no edge crosses (by chance with a probability of 2^-128).
+    The first arc of a node on the Euler tour carries its labels; the nodes on one side of an edge are those whose arcs
+    lie between the edge's two arcs, so their sum is the difference of two sums to the tour's end.
     """
-    forest = scratch.table(spanning_forest(edges, scratch), "forest")
-    tree = forest.filter("parent is not null").select(F.least("node", "parent").alias("src"), F.greatest("node", "parent").alias("dst"))
-    labels = edges.join(tree, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("node"), F.xxhash64(F.lit(1), "src", "dst").alias("x"), F.xxhash64(F.lit(2), "src", "dst").alias("y"))
-    at = forest.join(labels.groupBy("node").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")), "node", "left").fillna(0, ["x", "y"])
-    at = scratch.table(at, "labels")
-    deepest = at.agg(F.max("level")).first()[0] or 0
-    below = None
-    done = []
-    for level in range(deepest, 0, -1):
-        here = at.filter(F.col("level") == level).select("node", "parent", "x", "y")
-        if below is not None:
-            up = below.groupBy(F.col("parent").alias("node")).agg(F.bit_xor("x").alias("x2"), F.bit_xor("y").alias("y2"))
-            here = here.join(up, "node", "left").select("node", "parent", F.col("x").bitwiseXOR(F.coalesce("x2", F.lit(0))).alias("x"), F.col("y").bitwiseXOR(F.coalesce("y2", F.lit(0))).alias("y"))
-        below = scratch.table(here, "folded")
-        done.append(below.filter("x = 0 and y = 0"))
-    found = edges.select("src", "dst").limit(0)
-    for part in done:
-        found = found.union(part.select(F.least("node", "parent"), F.greatest("node", "parent")))
-    return found
+    forest, roots = spanning_forest(edges, scratch)
+    forest = scratch.table(forest, "forest")
+    labels = edges.join(forest, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("tail"), F.xxhash64(F.lit(1), "src", "dst").alias("x"), F.xxhash64(F.lit(2), "src", "dst").alias("y"))
+    labels = labels.groupBy("tail").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).withColumn("leads", F.lit(True))
+    tours = scratch.table(euler_tours(forest, roots, scratch).join(labels, ["tail", "leads"], "left").fillna(0, ["x", "y"]), "tours")
+    xor = lambda a, b: a.bitwiseXOR(b)
+    sums = suffixes(tours, {"x": xor, "y": xor}, scratch).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    # without an arc's own label: its node lies on one side for both arcs
+    after = tours.join(sums, "id").select(F.least("tail", "head").alias("src"), F.greatest("tail", "head").alias("dst"), xor(F.col("sx"), F.col("x")).alias("x"), xor(F.col("sy"), F.col("y")).alias("y"))
+    return after.groupBy("src", "dst").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("x = 0 AND y = 0").select("src", "dst")
 
 
 def classify_bridges(edges: DataFrame, bridges: DataFrame) -> DataFrame:

@@ -196,9 +196,57 @@ def test_large_graphs_and_blocks_are_solved_for(spark, scratch):
     assert far == pytest.approx({u: len(ids) * want[i, i] + np.trace(want) for i, u in enumerate(ids)}, abs=1e-6)
 
 
-def test_too_many_levels_are_refused(spark, scratch):
-    with pytest.raises(RuntimeError):
-        B.spanning_forest(edge_table(spark, [(i, i + 1) for i in range(9)]), scratch, max_levels=5)
+def _bridges_by_search(pairs):
+    """Bridges by removing each edge in turn."""
+    found = set()
+    for gone in set(pairs):
+        near = {}
+        for u, v in pairs:
+            if (u, v) != gone:
+                near.setdefault(u, []).append(v)
+                near.setdefault(v, []).append(u)
+        seen, todo = {gone[0]}, [gone[0]]
+        while todo:
+            for v in near.get(todo.pop(), []):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        if gone[1] not in seen:
+            found.add(gone)
+    return sorted(found)
+
+
+def test_bridges_of_random_graphs(spark, scratch):
+    """Sparse parts, trees, stars, rings, and edges alone, in one graph of many components."""
+    rng = random.Random(8)
+    pairs = set()
+    for part in range(12):
+        n = rng.choice([2, 3, 10, 25])
+        ids = rng.sample(range(part * 100, part * 100 + 100), n)
+        pairs |= {tuple(sorted((ids[k], ids[rng.randrange(k)]))) for k in range(1, n)}
+        pairs |= {tuple(sorted(rng.sample(ids, 2))) for _ in range(rng.choice([0, 1, n // 4]))}
+    pairs |= {(5000, 5001 + k) for k in range(60)} | {(6000 + k, 6001 + k) for k in range(30)} | {(6000, 6030)}
+    pairs = sorted(pairs)
+    assert rows(B.find_bridges(edge_table(spark, pairs), scratch)) == _bridges_by_search(pairs)
+    assert rows(B.find_bridges(edge_table(spark, pairs[:1]).limit(0), scratch)) == []
+
+
+def test_bridges_of_deep_graphs_take_few_rounds(spark, scratch, monkeypatch):
+    """A path of 3000 nodes with a ring at its end: tables grow in number with the logarithm of its length."""
+    made = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, *a, **k: made.append(1) or table(self, df, *a, **k))
+    path = [(k, k + 1) for k in range(3000)] + [(2990, 3000)]
+    found = rows(B.find_bridges(edge_table(spark, path), scratch))
+    assert found == [(k, k + 1) for k in range(2990)] and len(made) < 60
+
+
+def test_a_forest_spans(spark, scratch):
+    pairs = [(u, v) for u, v in TEST18] + [(100, 101), (101, 102), (100, 102)]
+    forest, roots = B.spanning_forest(edge_table(spark, pairs), scratch)
+    kept = rows(forest)
+    assert set(kept) <= {tuple(sorted(p)) for p in pairs} and len(kept) == 17 + 2 and roots.count() == 2
+    assert K.connected_components(forest, scratch.table).select("component").distinct().count() == 2
 
 
 def test_a_value_is_stretched(spark, scratch):
