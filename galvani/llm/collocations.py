@@ -22,7 +22,7 @@ ABSORBED = 80
 #: Bytes of text of a block of positions: the lists of a block are extended by one task.
 BLOCK_BYTES = 4_000_000
 #: Bytes of text for which phrases to be counted get a fragment of their own.
-FRAGMENT_BYTES = 4_000_000
+FRAGMENT_BYTES = 16_000_000
 
 _CUTS, _BLANKS = np.zeros(256, bool), np.zeros(256, bool)
 _CUTS[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -59,6 +59,16 @@ def _unpack_lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(gaps), ids
 
 
+def _pack_gids(first: int, step: int, gids: np.ndarray, increasing: np.ndarray, *others: np.ndarray) -> bytes:
+    """The numbers that a fragment (its first number, and the step from one to the next) gave, and what they stand for."""
+    return _pack(np.array([first, step]), np.diff((gids - first) // step, prepend=0), np.diff(increasing, prepend=0), *others)
+
+
+def _unpack_gids(data: bytes) -> list[np.ndarray]:
+    (first, step), gids, increasing, *others = _unpack(data)
+    return [first + step * np.cumsum(gids), np.cumsum(increasing), *others]
+
+
 def _word_list(data: bytes) -> list[bytes]:
     return _UNZIP.decompress(data).split(b"\n")
 
@@ -235,7 +245,7 @@ class Lists:
             for block, lang, local, _, words in sent:
                 got = np.array([gid.get((lang, w), -1) for w in words], np.int64)
                 if (got >= 0).any():
-                    out.append((block, None, None, None, None, _pack(local[got >= 0], got[got >= 0])))
+                    out.append((block, None, None, None, None, _pack_gids(first, fragments, got[got >= 0], local[got >= 0])))
             return give_back(pd.DataFrame(out, columns=["block", "lang", "word", "f", "gid", "found"]).astype({"block": "Int64", "f": "Int64", "gid": "Int64"}))
 
         sent = blocks.filter("fragment is not null").select("fragment", "block", "lang", "numbers", "words")
@@ -265,13 +275,14 @@ class Lists:
             all_prefix, all_word, a = _counted(prefix, word, n)
             kept = a >= least
             all_prefix, all_word, a = all_prefix[kept], all_word[kept], a[kept]
-            gid = int(df["fragment"].iloc[0]) + fragments * np.arange(len(a))
+            first = int(df["fragment"].iloc[0])
+            gid = first + fragments * np.arange(len(a))
             out = [(None, _pack(all_prefix, all_word, gid, a))] if len(a) else []
             for block, (p, w, _) in zip(df["block"], sent, strict=True):
                 p = np.cumsum(p)
                 got = _gids(p, w, (all_prefix, all_word, gid))
                 if (got >= 0).any():
-                    out.append((block, _pack(p[got >= 0], w[got >= 0], got[got >= 0])))
+                    out.append((block, _pack_gids(first, fragments, got[got >= 0], p[got >= 0], w[got >= 0])))
             return give_back(pd.DataFrame(out, columns=["block", "phrases"]).astype({"block": "Int64"}))
 
         sent = self.state.mapInPandas(send, "fragment long, block long, phrases binary")
@@ -299,7 +310,7 @@ def _start(own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
     at, local = _unpack_lists(own["positions"].iloc[0])
     gid = np.full(int(local.max()) + 1, -1)
     for data in found["found"]:
-        number, got = _unpack(data)
+        got, number = _unpack_gids(data)
         gid[number] = got
     word = gid[local]
     return give_back(pd.DataFrame({"block": [own["block"].iloc[0]], "lists": [None], "words": [_pack_lists(at[word >= 0], word[word >= 0])]}))
@@ -312,7 +323,8 @@ def _grown(own: pd.DataFrame, got: pd.DataFrame, step: int) -> pd.DataFrame:
     word_at, words = _unpack_lists(own["words"].iloc[0])
     lists = own["lists"].iloc[0]
     at, prefix, word = _extended((word_at, words) if lists is None else _unpack_lists(lists), (word_at, words), step)
-    phrase = _gids(prefix, word, tuple(np.concatenate(c) for c in zip(*map(_unpack, got["phrases"]), strict=True)))
+    known, prefixes, nexts = (np.concatenate(c) for c in zip(*map(_unpack_gids, got["phrases"]), strict=True))
+    phrase = _gids(prefix, word, (prefixes, nexts, known))
     at, phrase = at[phrase >= 0], phrase[phrase >= 0]
     follow, _ = _adjacent(word_at, at + step + 1, 0)
     return give_back(pd.DataFrame({"block": [own["block"].iloc[0]], "lists": [_pack_lists(at, phrase)], "words": [_pack_lists(word_at[follow], words[follow])]}))
