@@ -31,11 +31,12 @@ def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, Data
         # of two parts that took the same edge the lesser keeps its name
         back = picks.select(F.col("part").alias("to"), F.col("to").alias("beyond"))
         names = picks.join(back, "to").select("part", F.when((F.col("beyond") == F.col("part")) & (F.col("part") < F.col("to")), F.col("part")).otherwise(F.col("to")).alias("name"))
-        names, moved = scratch.state(names, "names"), 1
-        while moved:
+        moved, last = 1, None
+        while moved:  # until the last of the steps led nowhere further
             seen = Observation()
-            far = _followed(names, 3)
-            names = scratch.table(far.select("part", F.col("name3").alias("name"), F.col("name").alias("old")).observe(seen, F.count_if(F.col("name") != F.col("old")).alias("moved")).select("part", "name"), "names", names)
+            far = _followed(names, 4).select("part", F.col("name4").alias("name"), F.col("name3").alias("old"))
+            far = far.observe(seen, F.count_if(F.col("name") != F.col("old")).alias("moved")).select("part", "name")
+            names = last = scratch.table(far, "names", last) if last is not None else scratch.state(far, "names")
             moved = seen.get["moved"] or 0
         renamed.append(names.filter("part <> name").select(F.col("part").alias("node")))
         merged = between.join(names.toDF("a", "na"), "a").join(names.toDF("b", "nb"), "b").filter("na <> nb")
