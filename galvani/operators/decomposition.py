@@ -12,6 +12,7 @@ from .components import component_of_nodes, connected_components
 from .edges import nodes, symmetric
 from .resistance import MAX_EXACT, Estimates, _inverse, diagonal, pseudo_inverse
 from .solve import System
+from .trees import RootedForest
 
 
 def bridge_free_blocks(edges: DataFrame, bridges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -68,68 +69,83 @@ def link_rows(block_nodes: DataFrame, block_edges: DataFrame, links: DataFrame,
     return block_edges.groupBy("block").cogroup(marked.groupBy("block")).applyInPandas(rows, "block long, link long, node long, r double")
 
 
-def block_tree(block_nodes: DataFrame, bridges: DataFrame, scratch: Scratch) -> DataFrame:
-    """block, level, link (its end of the bridge to the parent), parent, at (the parent's end): each component's tree of
-    blocks from its largest block (of equal ones that of the least name) down, a level at a time."""
-    at = block_nodes.select("node", "block")
-    ends = bridges.select("src", "dst").union(bridges.select("dst", "src")).toDF("at", "link")
-    ends = scratch.table(ends.join(at.toDF("at", "parent"), "at").join(at.toDF("link", "block"), "link"), "ends")
-    sizes = block_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    tree_of = component_of_nodes(ends.select(F.col("parent").alias("src"), F.col("block").alias("dst")), sizes.select(F.col("block").alias("node")), scratch.table)
-    roots = sizes.join(tree_of.withColumnRenamed("node", "block"), "block").groupBy("component").agg(F.max_by("block", F.struct("n", -F.col("block"))).alias("block"))
-    none = F.lit(None).cast("long")
-    found = scratch.table(roots.select("block", F.lit(0).alias("level"), none.alias("link"), none.alias("parent"), none.alias("at")), "tree")
-    frontier, level = found, 0
-    while True:
-        level += 1
-        reached = ends.join(frontier.select(F.col("block").alias("parent"), F.col("at").alias("from"), F.col("link").alias("to")), "parent")
-        # not back over the bridge that led here
-        reached = reached.filter(~F.coalesce((F.col("at") == F.col("to")) & (F.col("link") == F.col("from")), F.lit(False)))
-        frontier = scratch.table(reached.select("block", F.lit(level).alias("level"), "link", "parent", "at"), "tree")
-        if frontier.isEmpty():
-            return found
-        found = found.union(frontier)
+class BlockTree:
+    """The trees of blocks, rooted at the largest block of each component (of equal ones that of the least name).
+
+    `rows`: block, link (its end of the bridge to its parent), parent, at (the parent's end) of all blocks but the roots;
+    `total`: block, total, the nodes of its component; `forest`: the tree itself.
+    """
+
+    def __init__(self, block_nodes: DataFrame, bridges: DataFrame, scratch: Scratch):
+        at = block_nodes.select("node", "block")
+        ends = bridges.select("src", "dst").join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst")
+        ends = scratch.table(ends.select("src", "dst", "a", "b"), "ends")
+        sizes = block_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+        trees = component_of_nodes(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")), sizes.select(F.col("block").alias("node")), scratch.table)
+        placed = scratch.table(sizes.join(trees.withColumnRenamed("node", "block"), "block"), "trees")
+        by_tree = placed.groupBy("component").agg(F.max_by("block", F.struct("n", -F.col("block"))).alias("node"), F.sum("n").cast("double").alias("total"))
+        self.sizes = placed.select(F.col("block").alias("node"), F.col("n").cast("double").alias("w"))
+        self.total = placed.join(by_tree, "component").select("block", "total")
+        self.forest = RootedForest(ends.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")), by_tree.select("node"), scratch)
+        ways = ends.selectExpr("a AS node", "src AS link", "b AS parent", "dst AS at").union(ends.selectExpr("b", "dst", "a", "src"))
+        self.rows = scratch.table(self.forest.parents.join(ways, ["node", "parent"]).select(F.col("node").alias("block"), "link", "parent", "at"), "rooted")
+
+
+def block_tree(block_nodes: DataFrame, bridges: DataFrame, scratch: Scratch) -> BlockTree:
+    return BlockTree(block_nodes, bridges, scratch)
 
 
-def node_weights(block_nodes: DataFrame, tree: DataFrame, rows: DataFrame, scratch: Scratch, giants: Giants | None = None) -> DataFrame:
+def node_weights(block_nodes: DataFrame, tree: BlockTree, rows: DataFrame, scratch: Scratch, giants: Giants | None = None) -> DataFrame:
     """block, node, w, d: how many nodes hang off a node outside its block (itself included), and their distances to it.
 
-    Up the tree each block tells its parent's end its weight and distances; down again each parent tells the rest.
-    A level is one aggregation over the blocks of that level; a giant block is one solve where it is looked at.
+    Resistances along a path add up, so what hangs off a bridge is a sum over the subtree below it: the nodes, their
+    distances within their blocks, and for each bridge further down its way times the nodes behind it. What lies above a
+    bridge exceeds what lies above its parent's by a term that one aggregation gives, so it is a sum along the path from
+    the root. Both are taken in logarithmic rounds (RootedForest); a giant block is solved for three times at most.
     """
-    tree = scratch.table(tree, "tree")
-    state = scratch.table(block_nodes.select("block", "node", F.lit(1.0).alias("w"), F.lit(0.0).alias("d")), "weights")
-    deepest = tree.agg(F.max("level")).first()[0] or 0
-
-    def gathered(ends: DataFrame, block: str, link: str, keys: list[str]) -> DataFrame:
-        """Of each row's block the sum of w and of w * r + d as seen from its link node."""
-        seen = ends.join(rows.select(F.col("block").alias(block), F.col("link").alias(link), "node", "r"), [block, link])
-        seen = seen.join(state.select(F.col("block").alias(block), "node", "w", "d"), [block, "node"])
-        out = seen.groupBy(*keys).agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("r") + F.col("d")).alias("far"))
+    base = scratch.table(block_nodes.select("block", "node", F.lit(1.0).alias("w"), F.lit(0.0).alias("d")), "weights")
+    named = lambda df: df.withColumnRenamed("node", "block")
+
+    def gathered(ends: DataFrame, block: str, link: str, state: DataFrame) -> DataFrame:
+        """block, far: the sum of w * r + d over another block, or its own, as seen from its link node there."""
+        here = ends.select("block", F.col(block).alias("in"), F.col(link).alias("from"))
+        seen = here.join(rows.select(F.col("block").alias("in"), F.col("link").alias("from"), "node", "r"), ["in", "from"])
+        seen = seen.join(state.select(F.col("block").alias("in"), "node", "w", "d"), ["in", "node"])
+        out = seen.groupBy("block").agg(F.sum(F.col("w") * F.col("r") + F.col("d")).alias("far"))
         for name, (edges, d) in (giants or {}).items():
-            here = ends.filter(F.col(block) == name)
-            if not here.isEmpty():
+            of = here.filter(F.col("in") == name)
+            if not of.isEmpty():
                 far = far_in_giant(edges, d, state.filter(F.col("block") == name), scratch)
-                out = out.unionByName(here.join(far.withColumnRenamed("node", link), link).select(*keys, "weight", "far"))
+                out = out.unionByName(of.join(far.select(F.col("node").alias("from"), "far"), "from").select("block", "far"))
         return out
 
-    def told(news: DataFrame) -> DataFrame:
-        add = news.groupBy("node").agg(F.sum("weight").alias("dw"), F.sum("far").alias("dd"))
-        return scratch.table(state.join(add, "node", "left").select("block", "node", (F.col("w") + F.coalesce("dw", F.lit(0.0))).alias("w"), (F.col("d") + F.coalesce("dd", F.lit(0.0))).alias("d")), "weights")
-
-    ups = []
-    for level in range(deepest, 0, -1):
-        here = tree.filter(F.col("level") == level)
-        up = scratch.table(gathered(here, "block", "link", ["block", "link", "parent", "at"]), "up")
-        ups.append(up)
-        state = told(up.select(F.col("at").alias("node"), "weight", (F.col("far") + F.col("weight")).alias("far")))
-    for level, up in zip(range(1, deepest + 1), reversed(ups), strict=True):
-        here = tree.filter(F.col("level") == level).select("block", "link", "parent", "at")
-        all_ = gathered(here, "parent", "at", ["block", "link", "parent", "at"])
-        sent = up.select("block", F.col("weight").alias("w0"), (F.col("far") + F.col("weight")).alias("d0"))
-        down = all_.join(sent, "block").select(F.col("link").alias("node"), (F.col("weight") - F.col("w0")).alias("weight"), (F.col("far") - F.col("d0") + F.col("weight") - F.col("w0")).alias("far"))
-        state = told(scratch.table(down, "down"))
-    return state
+    def told(state: DataFrame, news: DataFrame) -> DataFrame:
+        """news: node, dw, dd."""
+        add = news.groupBy("node").agg(F.sum("dw").alias("dw"), F.sum("dd").alias("dd"))
+        return scratch.table(state.join(add, "node", "left").selectExpr("block", "node", "w + coalesce(dw, 0D) AS w", "d + coalesce(dd, 0D) AS d"), "weights")
+
+    behind = named(tree.forest.below(tree.sizes))
+    within = gathered(tree.rows, "block", "link", base)
+    # the way from a block's link to where its child hangs, and over the bridge; from a root it counts nowhere
+    entry = tree.rows.select(F.col("block").alias("parent"), F.col("link").alias("entry"))
+    inner = tree.rows.select("block", "parent", "at").join(entry, "parent")
+    ways = inner.join(rows.select(F.col("block").alias("parent"), F.col("link").alias("entry"), F.col("node").alias("at"), "r"), ["parent", "entry", "at"]).select("block", (F.col("r") + 1).alias("way"))
+    for name, (edges, d) in (giants or {}).items():
+        here = inner.filter(F.col("parent") == name)
+        if not here.isEmpty():
+            one = base.filter(F.col("block") == name).join(entry.filter(F.col("parent") == name).select("entry"), F.col("node") == F.col("entry"), "left")
+            far = far_in_giant(edges, d, one.select("node", F.when(F.col("entry").isNotNull(), 1.0).otherwise(0.0).alias("w"), "d"), scratch)
+            ways = ways.unionByName(here.join(far.select(F.col("node").alias("at"), "far"), "at").select("block", (F.col("far") + 1).alias("way")))
+    below = tree.rows.join(behind, "block").join(within, "block").join(ways, "block", "left").fillna(0.0, ["way"])
+    below = scratch.table(below.select("block", "link", "parent", "at", "w", "way", "far"), "below")
+    sums = named(tree.forest.below(below.select(F.col("block").alias("node"), (F.col("far") + F.col("way") * F.col("w")).alias("far"))))
+    below = below.drop("far").join(sums, "block").join(tree.total, "block")
+    below = scratch.table(below.selectExpr("block", "link", "parent", "at", "w", "far - way * w + w AS far", "total - w AS rest"), "below")
+    state = told(base, below.selectExpr("at AS node", "w AS dw", "far AS dd").union(below.selectExpr("link", "rest", "0D")))
+    around = gathered(below, "parent", "at", state)
+    more = below.join(around.withColumnRenamed("far", "all"), "block").selectExpr("block AS node", "rest + all - far AS value")
+    paths = named(tree.forest.above(more))
+    return told(state, below.join(paths, "block").selectExpr("link AS node", "0D AS dw", "value AS dd"))
 
 
 def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, most: int = MAX_EXACT, factor: float | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from galvani.operators import decomposition as D
 from galvani.operators import edges as E
 from galvani.operators import resistance as R
 from galvani.operators import solve as V
+from galvani.operators import trees as T
 from galvani.sources import edge_lists as S
 from galvani.sources.scratch import Scratch
 from graphs import KNOWN, PATH7, TEST18, TEST18_FARNESS, TRIANGLE, edge_table
@@ -241,6 +242,48 @@ def test_bridges_of_deep_graphs_take_few_rounds(spark, scratch, monkeypatch):
     assert found == [(k, k + 1) for k in range(2990)] and len(made) < 60
 
 
+def test_sums_over_rooted_forests(spark, scratch):
+    """A deep tree, a star, a path, two nodes and a root alone; sums against those over each node's own ancestors."""
+    rng = random.Random(2)
+    parent = {k: max(0, k - rng.choice([1, 1, 1, 2, 9])) for k in range(1, 120)} | {300 + k: 300 for k in range(1, 20)} | {401: 400}
+    edges = edge_table(spark, list(parent.items()))
+    roots = spark.createDataFrame([(0,), (300,), (400,), (500,)], "node long")
+    forest = T.RootedForest(edges, roots, scratch)
+    assert dict(rows(forest.parents)) == parent
+    value = {k: float(rng.randrange(100)) for k in [*parent, 0, 300, 400, 500]}
+    table = spark.createDataFrame(list(value.items()), "node long, value double")
+    below, above = dict.fromkeys(value, 0.0), dict.fromkeys(value, 0.0)
+    for k, v in value.items():
+        at = k
+        while True:
+            below[at] += v
+            if at not in parent:
+                break
+            above[k] += value[at]
+            at = parent[at]
+    assert dict(rows(forest.below(table))) == pytest.approx(below)
+    assert dict(rows(forest.above(table))) == pytest.approx(above)
+
+
+def test_farness_of_a_deep_graph_takes_few_rounds(spark, scratch, monkeypatch):
+    """Rings on a long chain of bridges: tables grow in number with the logarithm of its length."""
+    pairs = []
+    for k in range(60):
+        a = 10 * k
+        pairs += [(a, a + 1), (a + 1, a + 2), (a, a + 2), (a + 2, a + 5), (a + 5, a + 10)]
+    pairs += [(600, 601), (601, 602)]
+    edges = scratch.table(edge_table(spark, pairs))
+    bridges = scratch.table(B.find_bridges(edges, scratch))
+    made = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, *a, **k: made.append(1) or table(self, df, *a, **k))
+    found = dict(rows(D.decomposed_farness(edges, bridges, scratch)))
+    ids, lap = dense(pairs)
+    want = np.linalg.pinv(lap)
+    assert found == pytest.approx({u: len(ids) * want[i, i] + np.trace(want) for i, u in enumerate(ids)}, rel=1e-8)
+    assert len(made) < 90
+
+
 def test_a_forest_spans(spark, scratch):
     pairs = [(u, v) for u, v in TEST18] + [(100, 101), (101, 102), (100, 102)]
     forest, roots = B.spanning_forest(edge_table(spark, pairs), scratch)
