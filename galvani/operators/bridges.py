@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .components import component_of_nodes
 from .edges import degrees, leaf_counts, nodes
-from .ranges import placed
+from .ranges import numbered
 
 
 def spanning_forest(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -63,8 +63,8 @@ def euler_tours(forest: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFr
     Arcs are numbered by tail and head. After the arc from u to v comes v's arc behind the one to u, or v's first: so a
     join of the arcs with their opposites, and v's first and last number, give the tour; a hub needs no list.
     """
-    arcs = forest.select(F.col("src").alias("tail"), F.col("dst").alias("head")).union(forest.select("dst", "src")).withColumn("one", F.lit(1).cast("long"))
-    arcs = scratch.table(placed(arcs, ["tail", "head"], "one", scratch).select(F.col("before").alias("id"), "tail", "head"), "arcs")
+    arcs = forest.select(F.col("src").alias("tail"), F.col("dst").alias("head")).union(forest.select("dst", "src"))
+    arcs = scratch.table(numbered(arcs, ["tail", "head"], scratch), "arcs")
     ends = arcs.groupBy(F.col("tail").alias("node")).agg(F.min("id").alias("first"), F.max("id").alias("last"))
     there = ends.join(roots.select("node", F.lit(True).alias("root")), "node", "left").toDF("head", "first", "last", "root")
     opposite = arcs.select(F.col("head").alias("tail"), F.col("tail").alias("head"), F.col("id").alias("opposite"))
@@ -98,8 +98,13 @@ def find_bridges(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Each edge outside a spanning forest gives a random label of 128 bits to its ends. A forest edge is a bridge exactly
     if the labels of the nodes on either side of it cancel out: no edge crosses (by chance with a probability of 2^-128).
     The first arc of a node on the Euler tour carries its labels; the nodes on one side of an edge are those whose arcs
-    lie between the edge's two arcs, so their sum is the difference of two sums to the tour's end.
+    lie between the edge's two arcs, so their sum is the difference of two sums to the tour's end. Edges to leaves are
+    bridges and are put aside first.
     """
+    leaf = degrees(edges).filter("degree = 1").select("node", F.lit(True).alias("leaf"))
+    ends = edges.join(leaf.toDF("src", "l"), "src", "left").join(leaf.toDF("dst", "m"), "dst", "left")
+    edges = scratch.table(ends.select("src", "dst", F.coalesce("l", "m", F.lit(False)).alias("hangs")), "edges")
+    hanging, edges = edges.filter("hangs").select("src", "dst"), edges.filter("NOT hangs").select("src", "dst")
     forest, roots = spanning_forest(edges, scratch)
     forest = scratch.table(forest, "forest")
     labels = edges.join(forest, ["src", "dst"], "left_anti").select(F.explode(F.array("src", "dst")).alias("tail"), F.xxhash64(F.lit(1), "src", "dst").alias("x"), F.xxhash64(F.lit(2), "src", "dst").alias("y"))
@@ -109,7 +114,8 @@ def find_bridges(edges: DataFrame, scratch: Scratch) -> DataFrame:
     sums = suffixes(tours, {"x": xor, "y": xor}, scratch).select("id", F.col("x").alias("sx"), F.col("y").alias("sy"))
     # without an arc's own label: its node lies on one side for both arcs
     after = tours.join(sums, "id").select(F.least("tail", "head").alias("src"), F.greatest("tail", "head").alias("dst"), xor(F.col("sx"), F.col("x")).alias("x"), xor(F.col("sy"), F.col("y")).alias("y"))
-    return after.groupBy("src", "dst").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("x = 0 AND y = 0").select("src", "dst")
+    found = after.groupBy("src", "dst").agg(F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).filter("x = 0 AND y = 0").select("src", "dst")
+    return hanging.union(found)
 
 
 def classify_bridges(edges: DataFrame, bridges: DataFrame) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Sums over all rows in an order, without one task that sees them all."""
+"""Numbers in an order, without one task that sees all rows."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,23 +9,11 @@ from pyspark.sql.window import Window
 from ..sources.scratch import Scratch
 
 
-def placed(rows: DataFrame, order: list[str | Column], value: str, scratch: Scratch) -> DataFrame:
-    """The rows with `before`, the sum of the whole numbers of column `value` over all rows before them in that order.
-
-    They are dealt out by ranges of the order and summed in each; a range then starts from the sum of those before it,
-    of which there is a row for each partition.
-    """
-    names = rows.columns
-
-    def run(batches):
-        total = 0
-        for batch in batches:
-            now = batch.column(value).to_numpy(zero_copy_only=False)
-            yield batch.append_column("before", pa.array(total + np.cumsum(now) - now, pa.int64()))
-            total += int(now.sum())
-
-    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    kept = scratch.table(own.mapInArrow(run, own.withColumn("before", F.lit(0).cast("long")).schema), "placed")
-    sums = kept.groupBy("part").agg(F.sum(value).alias("in_part"))
-    starts = sums.select("part", (F.sum("in_part").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("in_part")).alias("start"))
-    return kept.join(F.broadcast(starts), "part").select(*names, (F.col("before") + F.col("start")).alias("before"))
+def numbered(rows: DataFrame, order: list[str | Column], scratch: Scratch) -> DataFrame:
+    """The rows with `id`: 0, 1, ... in that order. They are dealt out by ranges of the order and numbered in each; a
+    range then starts from the rows of those before it, of which there is a count for each partition."""
+    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    kept = scratch.table(own.withColumn("part", F.shiftright("place", 33).cast("int")), "numbered")
+    counts = kept.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("start"))
+    return kept.join(F.broadcast(starts), "part").select(*rows.columns, (F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("id"))
