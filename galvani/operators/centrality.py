@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import centrality, stretched, tidy
 from ..sources.scratch import Scratch
 from .edges import nodes
-from .resistance import Estimates, column_squares, diagonal, farness_of_diagonal, pseudo_inverse
+from .resistance import MAX_EXACT, Estimates, column_squares, diagonal, farness_of_diagonal, pseudo_inverse
+from .solve import WIDTH, System
 
 
 def with_centrality(farness: DataFrame) -> DataFrame:
@@ -79,47 +82,107 @@ def _ranked(scores: DataFrame, step: int, ascending: bool) -> DataFrame:
     return scores.select(F.lit(step).alias("step"), "node", "score").withColumn("rank", F.row_number().over(order)).select("step", "rank", "node", "score")
 
 
-def exact_greedy(edges: DataFrame, k: int, scratch: Scratch, given: list[int] | None = None, stretch: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def _grounded_profile(profile: DataFrame, system: System, node: int, scratch: Scratch) -> DataFrame:
+    """node, own, square of the inverse that is grounded at one node more, from those before, the node's column m and
+    what the inverse makes of it; no matrix is held.
+
+    From the pseudo-inverse: M_vw = L_vw - m_v - m_w + m_u. From an inverse M: M_vw - m_v m_w / m_u (Schur).
+    """
+    m = system.column(node)
+    both = profile.join(m.join(system.applied(m), "node"), "node")
+    row = m.agg(F.sum(F.when(F.col("node") == node, F.col("m"))).alias("u"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+    both = both.crossJoin(F.broadcast(row)).filter(F.col("node") != node).withColumn("n", F.lit(float(system.n)))  # one row
+    if system.grounded:
+        found = both.selectExpr("node", "own - m * m / u AS own", "square - 2 * m / u * y + m * m / u * mm / u AS square")
+    else:
+        found = both.selectExpr("node", "own - 2 * m + u AS own", "square + n * m * m + mm + n * u * u - 2 * y - 2 * n * m * u AS square")
+    return scratch.table(found, "profile")
+
+
+def exact_greedy(edges: DataFrame, k: int, scratch: Scratch, given: list[int] | None = None, stretch: float = 0.0, most: int = MAX_EXACT) -> tuple[DataFrame, DataFrame]:
     """(step, rank, node, score) of every node at every step, and one row (k, centrality) of the group.
 
     Step 1 ranks by the diagonal of the pseudo-inverse, ascending; later ones by gain. The first of each step joins
-    the group, or the nodes that are `given`, one a step. For graphs of bounded size: matrices are tables of n^2 rows.
+    the group, or the nodes that are `given`, one a step. Of graphs of up to `most` nodes the inverse is a table, whose
+    rows go to all tasks; of larger ones the diagonals of the inverse and of its square are kept, and brought forward by
+    two solves a step.
     """
     if given is not None and len(given) != k:
         raise ValueError("a node for each step is needed")
     n = nodes(edges).count()
-    matrix = scratch.table(pseudo_inverse(edges), "matrix")
-    steps = []
+    small = n <= most
+    if small:
+        matrix = scratch.table(pseudo_inverse(edges), "matrix")
+    else:
+        profile = scratch.table(System(edges, scratch).profile(), "profile")
+    steps, group = [], []
     for step in range(1, min(k, n - 1) + 1):
-        scores = diagonal(matrix).withColumnRenamed("value", "score") if step == 1 else gains(matrix)
+        if small:
+            scores = diagonal(matrix).withColumnRenamed("value", "score") if step == 1 else gains(matrix)
+        else:
+            scores = profile.select("node", (F.col("own") if step == 1 else F.col("square") / F.col("own")).alias("score"))
         ranked = scratch.table(_ranked(scores, step, step == 1), "ranked")
         steps.append(ranked)
         node = given[step - 1] if given else ranked.filter("rank = 1").first()["node"]
-        matrix = scratch.table(grounded_inverse(matrix, node) if step == 1 else downdated(matrix, node), "matrix")
-    out = steps[0]
-    for ranked in steps[1:]:
-        out = out.union(ranked)
-    value = matrix.filter("i = j").agg((F.lit(n) / F.sum("val")).alias("centrality")).select(F.lit(k).alias("k"), stretched(F.col("centrality"), stretch).alias("centrality"))
-    return out, value
+        if small:
+            matrix = scratch.table(grounded_inverse(matrix, node) if step == 1 else downdated(matrix, node), "matrix")
+        else:
+            profile = _grounded_profile(profile, System(edges, scratch, tuple(group)), node, scratch)
+        group.append(node)
+    total = matrix.filter("i = j").agg(F.sum("val").alias("own")) if small else profile.agg(F.sum("own").alias("own"))
+    value = total.select(F.lit(k).alias("k"), stretched(F.lit(n) / F.col("own"), stretch).alias("centrality"))
+    return reduce(DataFrame.union, steps), value
+
+
+class Sketches:
+    """Random projections of an inverse, kept while nodes are grounded one by one.
+
+    `state`: block, node, x0 .. x7; in the blocks below `each` signs of the edges, whose mean squares are the inverse's
+    diagonal, in those above signs of the nodes, whose mean squares are the diagonal of its square. When node u is
+    grounded a projection x becomes x - m x_u / m_u, m the column of u (of the pseudo-inverse x - x_u + s (m_u - m), s the
+    sum of its signs): exactly what the same signs would give if solved for anew.
+    """
+
+    def __init__(self, edges: DataFrame, factor: float, seed: int, scratch: Scratch):
+        self.edges, self.scratch, self.group = edges, scratch, ()
+        e = Estimates(edges, factor, seed, scratch=scratch)
+        self.k, self.each, self.system = e.k, -(-e.k // WIDTH), e.system
+        signs = e.node_signs(seed).withColumn("block", F.col("block") + self.each)
+        self.right = scratch.table(e.edge_signs(seed).unionByName(signs), "right")
+        self.state = scratch.table(self.system.solve(self.right, 1e-8)[0], "sketches")
+
+    def ground(self, node: int) -> None:
+        m = self.system.column(node)
+        here = self.state.filter(F.col("node") == node).select("block", *[F.col(f"x{j}").alias(f"u{j}") for j in range(WIDTH)])
+        own = m.filter(F.col("node") == node).select(F.col("m").alias("own"))
+        both = self.state.filter(F.col("node") != node).join(here, "block").join(m, "node").crossJoin(F.broadcast(own))  # one row
+        if self.group:
+            new = [F.expr(f"x{j} - m * u{j} / own AS x{j}") for j in range(WIDTH)]
+        else:
+            sums = self.right.filter(F.col("block") >= self.each).groupBy("block").agg(*[F.sum(f"b{j}").alias(f"s{j}") for j in range(WIDTH)])
+            both = both.join(sums, "block", "left")
+            new = [F.expr(f"x{j} - u{j} + coalesce(s{j}, 0D) * (own - m) AS x{j}") for j in range(WIDTH)]
+        self.state = self.scratch.table(both.select("block", "node", *new), "sketches")
+        self.group += (node,)
+        self.system = System(self.edges, self.scratch, self.group)
+
+    def scores(self) -> DataFrame:
+        """node, score: the estimated diagonal before any node is grounded, then the gains."""
+        square = F.expr(" + ".join(f"x{j} * x{j}" for j in range(WIDTH)))
+        above, below = (F.sum(F.when(F.col("block") < self.each if edge else F.col("block") >= self.each, square)) for edge in (False, True))
+        return self.state.groupBy("node").agg((above / below if self.group else below / self.k).alias("score"))
 
 
 def estimated_greedy(edges: DataFrame, k: int, scratch: Scratch, factor: float = 20, trace_factor: float = 200, seed: int = 1, given: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """As exact_greedy, from estimates: the diagonal first, then (M M)_uu over M_uu, each a mean square of solutions."""
-    steps, group, n = [], [], nodes(edges).count()
+    """As exact_greedy, from estimates: the diagonal first, then (M M)_uu over M_uu, each a mean square of projections,
+    which are solved for once and brought forward by one column a step (Sketches)."""
+    sketches, steps, n = Sketches(edges, factor, seed, scratch), [], nodes(edges).count()
     for step in range(1, k + 1):
-        e = Estimates(edges, factor, seed, tuple(group))
-        if step == 1:
-            scores = e.diagonal().withColumnRenamed("value", "score")
-        else:
-            scores = e.gains()
-        ranked = scratch.table(_ranked(scores, step, step == 1), "ranked")
+        ranked = scratch.table(_ranked(sketches.scores(), step, step == 1), "ranked")
         steps.append(ranked)
-        group.append(given[step - 1] if given else ranked.filter("rank = 1").first()["node"])
-    out = steps[0]
-    for ranked in steps[1:]:
-        out = out.union(ranked)
-    value = Estimates(edges, trace_factor, seed, tuple(group)).trace().select(F.lit(k).alias("k"), (F.lit(n) / F.col("trace")).alias("centrality"))
-    return out, value
+        sketches.ground(given[step - 1] if given else ranked.filter("rank = 1").first()["node"])
+    value = Estimates(edges, trace_factor, seed, sketches.group, scratch).trace().select(F.lit(k).alias("k"), (F.lit(n) / F.col("trace")).alias("centrality"))
+    return reduce(DataFrame.union, steps), value
 
 
 def compared(left: DataFrame, right: DataFrame, by: str, tolerance: float) -> DataFrame:

@@ -123,6 +123,12 @@ class Estimates:
         each = self.system.nodes.select("node", "into", blocks_of(self.k).alias("block"))
         return each.select("block", "node", *[(weight * s).alias(f"b{j}") for j, s in enumerate(self._signs(seed, "node"))])
 
+    def edge_signs(self, seed: int) -> DataFrame:
+        return self._edge_noise(seed)
+
+    def node_signs(self, seed: int) -> DataFrame:
+        return self._node_noise(seed, F.lit(1.0))
+
     def _mean_square(self, solved: DataFrame) -> DataFrame:
         return solved.groupBy("node").agg((F.sum(_total([F.col(c) * F.col(c) for c in columns("x")])) / self.k).alias("value"))
 

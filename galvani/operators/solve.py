@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.scratch import Scratch
+from .ranges import numbered
 
 #: Right-hand sides of a row, and blocks of them that a task of the column plan takes.
 WIDTH, BLOCKS = 8, 8
@@ -149,6 +150,40 @@ class System:
         x = self.core.up(x, kept, width)
         return x if self.grounded else _centred(x, "x", width), worst
 
+    def column(self, node: int, tol: float = 1e-12) -> DataFrame:
+        """node, m: the column of a node in the inverse (the pseudo-inverse unless grounded)."""
+        unit = self.scratch.spark.createDataFrame([(0, node, 1.0)], "block int, node long, b0 double")
+        return self.scratch.table(self.solve(unit, tol)[0].select("node", F.col("x0").alias("m")), "column")
+
+    def applied(self, values: DataFrame, tol: float = 1e-12) -> DataFrame:
+        """node, y: the inverse times the column m of `values`."""
+        return self.scratch.table(self.solve(values.select(F.lit(0).alias("block"), "node", F.col("m").alias("b0")), tol)[0].select("node", F.col("x0").alias("y")), "applied")
+
+    def profile(self, tol: float = 1e-12, rounds: int = 5000) -> DataFrame:
+        """node, own, square: the diagonal of the inverse and that of its square, exactly: a column for each node.
+
+        Where the graph goes by columns, groups of them are solved in a task each, which gives back sums by node only;
+        else the columns stand in a table of n^2 numbers.
+        """
+        ids = numbered(self.nodes.select("node"), ["node"], self.scratch)
+        if not self.whole:
+            at = self.scratch.table(ids.select("node", F.floor(F.col("id") / WIDTH).cast("int").alias("block"), F.pmod("id", F.lit(WIDTH)).cast("int").alias("j")), "wanted")
+            right = at.groupBy("block", "node").agg(*[F.max(F.when(F.col("j") == j, 1.0).otherwise(0.0)).alias(f"b{j}") for j in range(WIDTH)])
+            x, _ = self.solve(right, tol, rounds)
+            each = x.join(at.select("block", "node", "j"), ["block", "node"], "left")
+            own = F.sum(F.when(F.col("j").isNotNull(), F.element_at(F.array(*columns("x")), F.col("j") + 1)))
+            return each.groupBy("node").agg(own.alias("own"), F.sum(F.expr(" + ".join(_each("x{j} * x{j}", WIDTH)))).alias("square"))
+        group = self.scratch.table(ids.select(F.col("node").alias("of"), F.floor(F.col("id") / (WIDTH * BLOCKS)).cast("int").alias("grp")), "groups")
+        groups = group.select("grp").distinct()  # a row for each 64 columns
+        nodes = self.nodes.select("node", F.col("into").alias("g")).crossJoin(groups).join(group.withColumnRenamed("of", "node").withColumn("wanted", F.lit(True)), ["node", "grp"], "left").fillna(False, ["wanted"])
+        grounded = self.grounded
+        found = nodes.groupBy("grp").cogroup(self.edges.crossJoin(groups.toDF("to")).groupBy("to")).applyInPandas(lambda n, e: _profiles(n, e, grounded, tol, rounds), "node long, own double, square double, residual double")
+        found = self.scratch.table(found.groupBy("node").agg(F.sum("own").alias("own"), F.sum("square").alias("square"), F.max("residual").alias("residual")), "profile")
+        worst = found.agg(F.max("residual")).first()[0] or 0.0
+        if worst > tol:
+            raise ArithmeticError(f"residual {worst} after {rounds} rounds")
+        return found.select("node", "own", "square")
+
     def _by_columns(self, right: DataFrame, norms: DataFrame, width: int, tol: float, rounds: int) -> tuple[DataFrame, float]:
         """Groups of BLOCKS blocks, each with the edges, a task each."""
         group = F.floor(F.col("block") / BLOCKS).cast("int")
@@ -222,48 +257,73 @@ def _times(both: DataFrame, state: DataFrame, width: int) -> DataFrame:
     return state.join(sums, ["block", "node"], "left").selectExpr(*kept, *_each("degree * u{j} - coalesce(y{j}, 0D) AS w{j}", width))
 
 
-def _column_solutions(rows: pd.DataFrame, edges: pd.DataFrame, width: int, tol: float, rounds: int) -> pd.DataFrame:
-    """Jacobi-preconditioned conjugate gradients over a whole graph, for the right-hand sides block by block."""
-    ids = np.unique(rows["node"].to_numpy())
-    n = len(ids)
-    a, b = (np.searchsorted(ids, edges[c].to_numpy()) for c in ("src", "dst"))
-    near, far, w = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(edges["w"].to_numpy(), 2)
-    order = np.argsort(near, kind="stable")
-    near, far, w = near[order], far[order], w[order]
-    start = np.flatnonzero(np.diff(near, prepend=-1))
-    g = np.zeros(n)
-    g[np.searchsorted(ids, rows["node"].to_numpy())] = rows["g"].to_numpy()
-    diagonal = g + np.bincount(near, w, n)
-    inverse = np.divide(1.0, diagonal, out=np.zeros(n), where=diagonal > 0)[:, None]
-
-    def times(x):
-        y = diagonal[:, None] * x
-        if len(start):
-            y[near[start]] -= np.add.reduceat(w[:, None] * x[far], start)
+class _Graph:
+    """A whole graph inside a task: its nodes with their weights to the ground, and its edges."""
+
+    def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
+        self.ids, first = np.unique(nodes["node"].to_numpy(), return_index=True)
+        n = len(self.ids)
+        a, b = (np.searchsorted(self.ids, edges[c].to_numpy()) for c in ("src", "dst"))
+        near, far, w = np.concatenate([a, b]), np.concatenate([b, a]), np.tile(edges["w"].to_numpy(), 2)
+        order = np.argsort(near, kind="stable")
+        self.near, self.far, self.w = near[order], far[order], w[order, None]
+        self.start = np.flatnonzero(np.diff(self.near, prepend=-1))
+        self.diagonal = (nodes["g"].to_numpy()[first] + np.bincount(near, w, n))[:, None]
+        self.inverse = np.divide(1.0, self.diagonal, out=np.zeros((n, 1)), where=self.diagonal > 0)
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        y = self.diagonal * x
+        if len(self.start):
+            y[self.near[self.start]] -= np.add.reduceat(self.w * x[self.far], self.start)
         return y
 
-    out = []
-    for block, own in rows.groupby("block"):
-        own = own.sort_values("node")
-        r = own[[f"b{j}" for j in range(width)]].to_numpy(float).copy()
-        limit = tol * tol * own[[f"first{j}" for j in range(width)]].iloc[0].to_numpy(float)
+    def solve(self, b: np.ndarray, limit: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Solutions and squared residuals, by Jacobi-preconditioned conjugate gradients until these are within the limit."""
+        r, width = b.copy(), b.shape[1]
         x, p, gamma = np.zeros_like(r), np.zeros_like(r), np.zeros(width)
         for _ in range(rounds):
             going = (r * r).sum(0) > limit
             if not going.any():
                 break
-            u = inverse * r
+            u = self.inverse * r
             new = (r * u).sum(0)
             p = u + np.divide(new, gamma, out=np.zeros(width), where=(gamma > 0) & going) * p
-            q = times(p)
+            q = self.times(p)
             below = (p * q).sum(0)
             alpha = np.divide(new, below, out=np.zeros(width), where=(below > 0) & going)
             x, r, gamma = x + alpha * p, r - alpha * q, new
-        residual = np.sqrt(np.divide((r * r).sum(0), limit, out=np.zeros(width), where=limit > 0).max()) * tol
+        return x, (r * r).sum(0)
+
+
+def _column_solutions(rows: pd.DataFrame, edges: pd.DataFrame, width: int, tol: float, rounds: int) -> pd.DataFrame:
+    """The right-hand sides of a group, block by block."""
+    graph, out = _Graph(rows, edges), []
+    for block, own in rows.groupby("block"):
+        own = own.sort_values("node")
+        limit = tol * tol * own[[f"first{j}" for j in range(width)]].iloc[0].to_numpy(float)
+        x, left = graph.solve(own[[f"b{j}" for j in range(width)]].to_numpy(float), limit, rounds)
+        residual = np.sqrt(np.divide(left, limit, out=np.zeros(width), where=limit > 0).max()) * tol
         out.append(pd.DataFrame({"block": block, "node": own["node"].to_numpy(), "residual": residual} | {f"x{j}": x[:, j] for j in range(width)}))
     return pd.concat(out)
 
 
+def _profiles(nodes: pd.DataFrame, edges: pd.DataFrame, grounded: bool, tol: float, rounds: int) -> pd.DataFrame:
+    """node, own, square: of the inverse's columns of the nodes that are `wanted` the squares by row, and their own entries."""
+    graph = _Graph(nodes, edges)
+    n = len(graph.ids)
+    wanted = np.searchsorted(graph.ids, nodes["node"].to_numpy()[nodes["wanted"].to_numpy()])
+    own, square, worst = np.zeros(n), np.zeros(n), 0.0
+    for at in np.split(wanted, range(WIDTH, len(wanted), WIDTH)):
+        b = np.zeros((n, len(at)))
+        b[at, np.arange(len(at))] = 1.0
+        b = b if grounded else b - 1.0 / n
+        x, left = graph.solve(b, np.full(len(at), tol * tol), rounds)
+        x = x if grounded else x - x.mean(0)
+        own[at], worst = x[at, np.arange(len(at))], max(worst, float(left.max()) ** 0.5)
+        square += (x * x).sum(1)
+    return pd.DataFrame({"node": graph.ids, "own": own, "square": square, "residual": worst})
+
+
 def _each(text: str, width: int) -> list[str]:
     return [text.format(j=j) for j in range(width)]
 

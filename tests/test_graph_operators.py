@@ -115,6 +115,40 @@ def test_greedy_group(spark, scratch):
         C.exact_greedy(edge_table(spark, TEST18), 2, scratch, given=[2])
 
 
+@pytest.mark.parametrize("plan", ["columns", "tables"])
+def test_profiles_of_inverses(spark, scratch, plan):
+    ids, lap = dense(TEST18)
+    for ground in ((), (2, 13)):
+        keep = [k for k, n in enumerate(ids) if n not in ground]
+        inverse = np.linalg.inv(lap[np.ix_(keep, keep)]) if ground else np.linalg.pinv(lap)
+        found = {r["node"]: (r["own"], r["square"]) for r in V.System(edge_table(spark, TEST18), scratch, ground, plan).profile().collect()}
+        assert found == pytest.approx({ids[k]: pytest.approx((inverse[i, i], (inverse @ inverse)[i, i]), abs=1e-8) for i, k in enumerate(keep)})
+
+
+def test_greedy_by_updates(spark, scratch):
+    """Without the table of the inverse the same scores, ranks and value come out."""
+    edges = scratch.table(edge_table(spark, TEST18))
+    (a, va), (b, vb) = (C.exact_greedy(edges, 4, scratch, most=most) for most in (4096, 0))
+    score = {(r["step"], r["node"]): r["score"] for r in a.collect()}
+    assert {(r["step"], r["node"]): r["score"] for r in b.collect()} == pytest.approx(score, abs=1e-8)
+    assert rows(a.filter("rank = 1").select("step", "node")) == rows(b.filter("rank = 1").select("step", "node"))
+    assert vb.first()["centrality"] == pytest.approx(va.first()["centrality"], abs=1e-8)
+
+
+def test_sketches_are_brought_forward(spark, scratch):
+    """Projections after two nodes were grounded are those that the same signs give if solved for anew."""
+    edges = scratch.table(edge_table(spark, TEST18))
+    sketches = C.Sketches(edges, 5, 3, scratch)
+    for node in (2, 17):
+        sketches.ground(node)
+    right = sketches.right.filter("node not in (2, 17)")
+    want = {(r["block"], r["node"]): [r[f"x{j}"] for j in range(8)] for r in V.System(edges, scratch, (2, 17)).solve(right, 1e-12)[0].collect()}
+    found = {(r["block"], r["node"]): [r[f"x{j}"] for j in range(8)] for r in sketches.state.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    picks = [r["node"] for r in C.estimated_greedy(edges, 3, scratch, 100)[0].filter("rank = 1").orderBy("step").collect()]
+    assert picks[0] == 2 and len(set(picks)) == 3
+
+
 def dense(pairs):
     ids = sorted({n for e in pairs for n in e})
     lap = np.zeros((len(ids), len(ids)))
