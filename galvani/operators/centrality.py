@@ -62,6 +62,14 @@ def grounded_inverse(matrix: DataFrame, node: int) -> DataFrame:
     return found.select("i", "j", (F.col("val") - F.col("a") - F.col("b") + F.col("c")).alias("val"))
 
 
+def grounded_traces(matrix: DataFrame) -> DataFrame:
+    """node, farness: the trace of the inverse grounded at each node, summed from the grounded entries themselves
+    (n^2 rows, as the pseudo-inverse has)."""
+    own = diagonal(matrix)
+    entries = matrix.join(own.toDF("i", "di"), "i").join(own.toDF("j", "dj"), "j")
+    return entries.groupBy(F.col("i").alias("node")).agg(F.sum(F.col("dj") - 2 * F.col("val") + F.col("di")).alias("farness"))
+
+
 def downdated(matrix: DataFrame, node: int) -> DataFrame:
     """The inverse grounded at one node more: M - M_u M_u' / M_uu (Schur)."""
     row = matrix.filter(F.col("i") == node)

@@ -19,10 +19,11 @@ def nodes_of(pairs: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 
 def parse_lines(lines: DataFrame, *keys: str) -> DataFrame:
-    """u, v and rejected of each line of a column `value`: its first two whole numbers. Comments (# or %) and empty lines go."""
+    """u, v, rejected and value of each line of a column `value`: its first two whole numbers, and whether it has none.
+    Comments (# or %) and empty lines go."""
     token = F.split(F.trim("value"), r"\s+")
     kept = lines.filter(~F.coalesce(F.trim("value"), F.lit("")).rlike(r"^(?:[#%]|$)"))
-    read = kept.select(*keys, F.get(token, F.lit(0)).try_cast("long").alias("u"), F.get(token, F.lit(1)).try_cast("long").alias("v"))
+    read = kept.select(*keys, F.get(token, F.lit(0)).try_cast("long").alias("u"), F.get(token, F.lit(1)).try_cast("long").alias("v"), "value")
     return read.withColumn("rejected", F.col("u").isNull() | F.col("v").isNull())
 
 
@@ -32,11 +33,21 @@ def read_edge_list(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return canonical(pairs, "u", "v"), nodes_of(pairs, "u", "v")
 
 
-def read_edge_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """As read_edge_list, each file of the folder a graph of its own, by its name as `graph_id`; hidden files are not read."""
-    lines = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
-    name = F.element_at(F.split("file", "/"), -1)
-    pairs = parse_lines(lines.select("value", name.alias("graph_id")).filter(~F.col("graph_id").startswith(".")), "graph_id").filter("not rejected")
+def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, n: the lines of a text file or folder that read_edge_list leaves out, as they stand there, and how often."""
+    return parse_lines(spark.read.text(path)).filter("rejected").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_edge_lists(spark: SparkSession, folder: str, by: str = "file") -> tuple[DataFrame, DataFrame]:
+    """As read_edge_list, each file of the folder, or of those below it, a graph of its own, by its path from there as
+    `graph_id`; or, by "folder", all files of a folder one graph. Hidden files are not read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    top = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri().getPath().rstrip("/")
+    lines = spark.read.option("recursiveFileLookup", True).text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    whole = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    inside = F.substr(whole, F.instr(whole, top + "/") + F.lit(len(top) + 1))
+    name = inside if by == "file" else F.regexp_replace(inside, "/?[^/]*$", "")
+    pairs = parse_lines(lines.select("value", name.alias("graph_id"), F.element_at(F.split("file", "/"), -1).alias("name")).filter(~F.col("name").startswith(".")), "graph_id").filter("not rejected")
     return canonical(pairs, "u", "v", "graph_id"), nodes_of(pairs, "u", "v", "graph_id")
 
 

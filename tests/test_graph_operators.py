@@ -34,6 +34,13 @@ def test_edge_lists_are_read_as_written(spark, tmp_path):
     assert rows(edges) == [(1, 2), (2, 3)] and rows(nodes) == [(1,), (2,), (3,)]
     edges, nodes = S.read_edge_lists(spark, str(tmp_path))
     assert rows(edges) == [("a.txt", 1, 2), ("a.txt", 2, 3), ("b.txt", 5, 6)]
+    assert rows(S.rejected_lines(spark, str(tmp_path / "a.txt"))) == [("x y", 1)]
+    for k, part in enumerate(("a+b c", "a=1")):
+        (tmp_path / "deep" / part).mkdir(parents=True)
+        (tmp_path / "deep" / part / "same.txt").write_text(f"{k} 9\n")
+        (tmp_path / "deep" / part / ".hidden").write_text("7 8\n")
+    assert rows(S.read_edge_lists(spark, str(tmp_path / "deep"))[0]) == [("a+b c/same.txt", 0, 9), ("a=1/same.txt", 1, 9)]
+    assert rows(S.read_edge_lists(spark, str(tmp_path / "deep"), by="folder")[0]) == [("a+b c", 0, 9), ("a=1", 1, 9)]
     assert rows(S.path_graph(spark, 4)) == [(1, 2), (2, 3), (3, 4)] and rows(S.path_graph(spark, 1)) == []
     lone = spark.createDataFrame([(1, 1), (None, 2)], "u long, v long")
     assert rows(S.canonical(lone, "u", "v")) == [] and rows(S.nodes_of(lone, "u", "v")) == [(1,), (2,)]
