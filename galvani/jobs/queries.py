@@ -11,6 +11,7 @@ from ..operators import centrality as C
 from ..operators import components as K
 from ..operators import decomposition as D
 from ..operators import edges as E
+from ..operators import paths as P
 from ..operators import resistance as R
 from ..operators import solve as V
 from ..sources import edge_lists as S
@@ -505,7 +506,7 @@ def g9_g10_block_distances(spark, d):
     graph = D.contracted_graph(bridges, placed, rows)
     starts = graph.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(F.col("node").alias("source"), "node")
     core = B.blocks(edges, bridges, scratch)
-    return C.tidy_scores(D.block_distances(D.shortest_paths(graph, starts, scratch), core), "dist")
+    return C.tidy_scores(D.block_distances(P.shortest_paths(graph, starts, scratch), core), "dist")
 
 
 WEIGHTS = """,

@@ -186,22 +186,6 @@ def contracted_graph(bridges: DataFrame, block_nodes: DataFrame, rows: DataFrame
     return inner.union(within.filter("link < node").select("link", "node", "r"))
 
 
-def shortest_paths(weighted: DataFrame, starts: DataFrame, scratch: Scratch, max_rounds: int = 1000) -> DataFrame:
-    """source, node, dist over edges (a, b, w) from starts (source, node): rounds that go on from what got nearer
-    (Bellman and Ford). Of equal distances nothing changes, so it ends."""
-    both = scratch.table(weighted.select("a", "b", "w").union(weighted.select("b", "a", "w")), "both")
-    best = scratch.table(starts.select("source", "node", F.lit(0.0).alias("dist")).distinct(), "dist")
-    frontier = best
-    for _ in range(max_rounds):
-        reached = frontier.join(both.withColumnRenamed("a", "node"), "node").groupBy("source", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new"))
-        nearer = reached.join(best, ["source", "node"], "left").filter(F.col("dist").isNull() | (F.col("new") < F.col("dist") - 1e-12))
-        frontier = scratch.table(nearer.select("source", "node", F.col("new").alias("dist")), "frontier")
-        if frontier.isEmpty():
-            return best
-        best = scratch.table(best.union(frontier).groupBy("source", "node").agg(F.min("dist").alias("dist")), "dist")
-    raise RuntimeError(f"paths have not settled in {max_rounds} rounds")
-
-
 def block_distances(paths: DataFrame, block_nodes: DataFrame) -> DataFrame:
     """source, block, dist, entry: the nearest node of each block (the least of equal ones) and how far it is."""
     at = paths.join(block_nodes.select("node", "block"), "node")

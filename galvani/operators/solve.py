@@ -31,11 +31,25 @@ def blocks_of(k: int) -> Column:
     return F.explode(F.sequence(F.lit(0), F.lit(-(-k // WIDTH) - 1)))
 
 
+def independent_ends(edges: DataFrame, turn: int) -> DataFrame:
+    """node, a, p, b, q: nodes of degree 1 or 2, no two of them neighbours, with their neighbours and the weights of the
+    edges (src, dst, w) to these (b and q are null for a leaf). Of those that could, each is taken that comes before its
+    neighbours in the order of a hash, which changes with the turn."""
+    both = edges.selectExpr("src AS node", "dst AS far", "w").union(edges.selectExpr("dst", "src", "w"))
+    end = F.struct("far", "w")
+    near = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("lo"), F.max(end).alias("hi")).filter("n <= 2")
+    near = near.withColumn("h", F.struct(F.xxhash64(F.lit(turn), "node").alias("hash"), "node"))
+    sides = near.select("node", "h", F.explode(F.array("lo.far", "hi.far")).alias("far"))
+    later = sides.join(near.select(F.col("node").alias("far"), F.col("h").alias("other")), "far").filter("other < h").select("node").distinct()
+    two = F.col("n") == 2
+    out = near.join(later, "node", "left_anti")
+    return out.select("node", F.col("lo.far").alias("a"), F.col("lo.w").alias("p"), F.when(two, F.col("hi.far")).alias("b"), F.when(two, F.col("hi.w")).alias("q"))
+
+
 class Elimination:
     """A graph (src, dst, w) with weights `g` of its nodes to the ground, and what is left of it without leaves and chains.
 
-    Round by round a set of nodes of degree 1 or 2, no two of them neighbours, leaves the graph: of those that could,
-    each goes that comes before its neighbours in the order of a hash. A node v between a and b with weights p, q and g,
+    Round by round a set of nodes of degree 1 or 2, no two of them neighbours, leaves the graph. A node v between a and b with weights p, q and g,
     s = p + q + g, leaves an edge a - b of p q / s, grounds a by p g / s and b by q g / s, and is found again by
     x_v = (b_v + p x_a + q x_b) / s. All this is exact; chains shrink by a share a round, so rounds are logarithmic in
     their length, and a hub's leaves go at once.
@@ -57,16 +71,8 @@ class Elimination:
             self._without(out)
 
     def _independent(self, turn: int) -> DataFrame:
-        both = self.edges.selectExpr("src AS node", "dst AS far", "w").union(self.edges.selectExpr("dst", "src", "w"))
-        end = F.struct("far", "w")
-        near = both.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(end).alias("lo"), F.max(end).alias("hi")).filter("n <= 2")
-        near = near.withColumn("h", F.struct(F.xxhash64(F.lit(turn), "node").alias("hash"), "node"))
-        sides = near.select("node", "h", F.explode(F.array("lo.far", "hi.far")).alias("far"))
-        later = sides.join(near.select(F.col("node").alias("far"), F.col("h").alias("other")), "far").filter("other < h").select("node").distinct()
-        two = F.col("n") == 2
-        out = near.join(later, "node", "left_anti").join(self.nodes, "node")
-        out = out.select("node", F.col("lo.far").alias("a"), F.col("lo.w").alias("p"), F.when(two, F.col("hi.far")).alias("b"), F.when(two, F.col("hi.w")).otherwise(0.0).alias("q"), "g")
-        return out.withColumn("s", F.expr("p + q + g"))
+        out = independent_ends(self.edges, turn).join(self.nodes, "node")
+        return out.select("node", "a", "p", "b", F.coalesce("q", F.lit(0.0)).alias("q"), "g").withColumn("s", F.expr("p + q + g"))
 
     def _without(self, out: DataFrame) -> None:
         gone = out.select("node")

@@ -1,3 +1,4 @@
+import heapq
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from galvani.operators import centrality as C
 from galvani.operators import components as K
 from galvani.operators import decomposition as D
 from galvani.operators import edges as E
+from galvani.operators import paths as P
 from galvani.operators import resistance as R
 from galvani.operators import solve as V
 from galvani.operators import trees as T
@@ -325,6 +327,62 @@ def test_farness_of_a_deep_graph_takes_few_rounds(spark, scratch, monkeypatch):
     assert len(made) < 90
 
 
+def shortest(triples, starts):
+    far = {}
+    for a, b, w in triples:
+        if a != b:
+            far.setdefault(a, []).append((b, w))
+            far.setdefault(b, []).append((a, w))
+    out = {}
+    for source in {s for s, _ in starts}:
+        heap, best = [(0.0, u) for s, u in starts if s == source], {}
+        while heap:
+            d, u = heapq.heappop(heap)
+            if u not in best:
+                best[u] = d
+                for v, w in far.get(u, []):
+                    heapq.heappush(heap, (d + w, v))
+        out.update({(source, u): d for u, d in best.items()})
+    return out
+
+
+def found_paths(spark, scratch, triples, starts):
+    graph = spark.createDataFrame(triples, "a long, b long, w double")
+    found = rows(P.shortest_paths(graph, spark.createDataFrame(starts, "source long, node long"), scratch))
+    out = {(s, u): d for s, u, d in found}
+    assert len(out) == len(found)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shortest_paths_of_random_graphs(spark, scratch, seed):
+    """Trees, chains, rings, dense parts, several components, edges that repeat, loops, starts inside and outside."""
+    rng = random.Random(seed)
+    n = 40
+    triples = [(u, rng.randrange(max(0, u - 3), u), rng.choice([0.5, 1.0, 2.25])) for u in range(1, n) if rng.random() < 0.9]
+    triples += [(rng.randrange(n), rng.randrange(n), rng.random() + 0.01) for _ in range((0, 5, 25, 90)[seed])]
+    triples += [(u, v, w + 1) for u, v, w in triples[:3]] + [(7, 7, 1.0)]
+    starts = [(s, rng.randrange(n)) for s in range(4) for _ in range(1 + s % 2)] + [(9, 1000)]
+    assert found_paths(spark, scratch, triples, starts) == pytest.approx(shortest(triples, starts))
+
+
+def test_shortest_paths_of_nothing(spark, scratch):
+    assert found_paths(spark, scratch, [], [(1, 2)]) == {(1, 2): 0.0}
+    assert found_paths(spark, scratch, [(1, 2, 1.0)], []) == {}
+    assert found_paths(spark, scratch, [(1, 2, 1.0), (None, 2, 1.0), (2, 3, None)], [(0, 2), (0, None)]) == {(0, 1): 1.0, (0, 2): 0.0}
+
+
+def test_shortest_paths_along_a_chain_take_few_rounds(spark, scratch, monkeypatch):
+    """5,000 bridges in a row between two squares."""
+    triples = [(u, u + 1, 1.0) for u in range(5000)] + [(-1, 0, 0.75), (-2, 0, 0.75), (-1, -3, 0.75), (-2, -3, 0.75), (5000, 6000, 0.5)]
+    made = []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, *a, **k: made.append(1) or table(self, df, *a, **k))
+    starts = [(0, -3), (1, 2500)]
+    assert found_paths(spark, scratch, triples, starts) == pytest.approx(shortest(triples, starts))
+    assert len(made) < 150
+
+
 def test_a_forest_spans(spark, scratch):
     pairs = [(u, v) for u, v in TEST18] + [(100, 101), (101, 102), (100, 102)]
     forest, roots = B.spanning_forest(edge_table(spark, pairs), scratch)
