@@ -24,14 +24,18 @@ KINDS = ("assign", "access", "hex", "entropy")
 CANDIDATE = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
 WINDOW = 20
 LEAST_BITS = {"hex": 3.0, "mixed": 3.6, "letters": 4.25}
-# Allow-list: strings that look random but are known not to be secrets.
-ALLOWED = re.compile(
-    rb"[0-9+/_=-]+"  # numbers, dates, rules
-    rb"|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"  # UUIDs
-    rb"|sha(?:1|256|384|512)-[A-Za-z0-9+/=]+"  # integrity hashes of web pages
-    rb"|(?:[A-Za-z]+|[0-9]+)(?:[-_/](?:[A-Za-z]+|[0-9]+))+"  # file paths, slugs, names with underscores
-    rb"|[A-Za-z0-9+/_=-]*(?:EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ)[A-Za-z0-9+/_=-]*"
-)
+# Allow-list: parts of a string that look random but are known not to be secrets. Those shorter than a window hide none.
+ALLOWED = [
+    re.compile(rb"[0-9+/_=-]{20,}"),  # numbers, dates, rules
+    re.compile(rb"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}(?![A-Za-z0-9])"),  # UUIDs
+    re.compile(rb"sha(?:1|256|384|512)-[A-Za-z0-9+/=]{16,}"),  # integrity hashes of web pages
+    # file paths, slugs, names with underscores: all of their words of letters only or of digits only
+    re.compile(rb"(?<![A-Za-z0-9])(?:[A-Za-z]+|[0-9]+)(?:[-_/](?:[A-Za-z]+|[0-9]+))+(?![A-Za-z0-9])"),
+    re.compile(rb"wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),  # the key of public manuals
+]
+# A word of letters and digits that holds one of these is allowed, however short.
+PLACEHOLDER = re.compile(rb"EXAMPLE|example|0123456789|abcdefghij|ABCDEFGHIJ")
+WORD = re.compile(rb"[A-Za-z0-9]+")
 
 SCHEMA = "doc_id long, spans array<struct<kind:string,start:long,end:long>>"
 
@@ -45,13 +49,29 @@ def _class(s: bytes) -> str | None:
     return "letters" if s != s.lower() and s != s.upper() else None
 
 
+def unlisted(s: bytes) -> list[tuple[int, int]]:
+    """The parts of a string that the allow-list leaves, of a window or more."""
+    allowed = [m.span() for known in ALLOWED for m in known.finditer(s) if m.end() - m.start() >= WINDOW]
+    if PLACEHOLDER.search(s):
+        allowed += [m.span() for m in WORD.finditer(s) if PLACEHOLDER.search(m[0])]
+    parts, at = [], 0
+    for a, b in sorted(allowed):
+        if a - at >= WINDOW:
+            parts.append((at, a))
+        at = max(at, b)
+    return parts + [(at, len(s))] * (len(s) - at >= WINDOW)
+
+
 def entropy_spans(s: bytes) -> list[tuple[int, int]]:
-    """Unions of the windows whose Shannon entropy reaches the bits of the string's class.
+    """Unions of the windows whose Shannon entropy reaches the bits of their part's class; the parts are what the
+    allow-list leaves of the string."""
+    return [(at + a, at + b) for at, end in unlisted(s) for a, b in _entropy_spans(s[at:end])]
 
-    The entropy of a window is log2(W) - sum(n log2 n) / W over its counts n; a step changes two counts only.
-    """
+
+def _entropy_spans(s: bytes) -> list[tuple[int, int]]:
+    """The entropy of a window is log2(W) - sum(n log2 n) / W over its counts n; a step changes two counts only."""
     kind = _class(s)
-    if kind is None or ALLOWED.fullmatch(s):
+    if kind is None:
         return []
     term = [0.0] + [n * log2(n) for n in range(1, WINDOW + 1)]
     counts, total, spans = [0] * 256, 0.0, []
