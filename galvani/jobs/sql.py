@@ -23,9 +23,11 @@ edges AS (SELECT DISTINCT least(u, v)::BIGINT AS src, greatest(u, v)::BIGINT AS
 )
 
 SPARSE = """
-edges AS (
-  SELECT DISTINCT least(o_custkey, l_suppkey + 1000000)::BIGINT AS src, greatest(o_custkey, l_suppkey + 1000000)::BIGINT AS dst
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity >= 50 AND l_discount >= 0.09)"""
+sold AS (SELECT o_custkey AS c, l_suppkey + 1000000 AS s, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+main AS (
+  SELECT c, s FROM (SELECT c, s, row_number() OVER (PARTITION BY c ORDER BY quantity DESC, s) AS k FROM sold) WHERE k = 1
+  UNION ALL SELECT c, s FROM (SELECT c, s, row_number() OVER (PARTITION BY s ORDER BY quantity DESC, c) AS k FROM sold) WHERE k = 1),
+edges AS (SELECT DISTINCT least(c, s)::BIGINT AS src, greatest(c, s)::BIGINT AS dst FROM main)"""
 
 ORDER_PART = """
 edges AS (SELECT DISTINCT l_orderkey::BIGINT AS src, (l_partkey + 1000000000)::BIGINT AS dst FROM lineitem)"""

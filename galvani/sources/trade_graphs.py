@@ -45,10 +45,14 @@ def geo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sparse_trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers and suppliers (1,000,000 + key) of lines of large quantity and discount: many components."""
-    lines = read(spark, sf_dir, "lineitem").filter("l_quantity >= 50 and l_discount >= 0.09").select("l_orderkey", "l_suppkey")
+    """Each customer with the supplier that sold it most, and each supplier (1,000,000 + key) with the customer that
+    bought most of it (of equal ones the least key): many components, from all lines and orders."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity")
     joined = lines.join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return canonical(joined.select("o_custkey", (F.col("l_suppkey") + 1_000_000).alias("s")), "o_custkey", "s")
+    sold = joined.groupBy("o_custkey", (F.col("l_suppkey") + 1_000_000).alias("s")).agg(F.sum("l_quantity").alias("quantity"))
+    by_customer = sold.groupBy("o_custkey").agg(F.max_by("s", F.struct("quantity", -F.col("s"))).alias("s"))
+    by_supplier = sold.groupBy("s").agg(F.max_by("o_custkey", F.struct("quantity", -F.col("o_custkey"))).alias("o_custkey"))
+    return canonical(by_customer.unionByName(by_supplier), "o_custkey", "s")
 
 
 def order_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
