@@ -11,6 +11,7 @@ from ..operators import centrality as C
 from ..operators import components as K
 from ..operators import decomposition as D
 from ..operators import edges as E
+from ..operators import parts as Q
 from ..operators import paths as P
 from ..operators import resistance as R
 from ..operators import solve as V
@@ -368,7 +369,7 @@ def r3_pseudo_inverse(spark, d):
 @register(exact("SELECT src, dst, round(r, 6) + 0.0 AS r FROM edges JOIN pairs ON u = src AND v = dst"))
 def r4_j1_edge_resistance(spark, d):
     edges, scratch = geo(spark, d)
-    return C.tidy_scores(R.pair_resistance(scratch.table(R.pseudo_inverse(edges)), edges), "r")
+    return C.tidy_scores(R.pair_resistance(scratch.table(R.pseudo_inverse(edges, scratch)), edges), "r")
 
 
 @register(exact("SELECT u, v, round(r, 6) + 0.0 AS r FROM pairs WHERE u < v"))
@@ -579,10 +580,53 @@ def r2_grounded_solution(spark, d):
 def c1_r3_solved_centrality(spark, d):
     """Exact centralities from solved columns, as of a graph that no task may invert."""
     edges, scratch = geo(spark, d)
-    inverse = R.pseudo_inverse(edges, most=10, scratch=scratch)
+    inverse = R.pseudo_inverse(edges, scratch, "tables")
     return C.tidy_scores(C.with_centrality(R.farness_of_diagonal(R.diagonal(inverse))), "farness", "centrality")
 
 
+@register(exact(CENTRAL))
+def c1_r3_selected_centrality(spark, d):
+    """Exact centralities after leaves and chains are eliminated, the diagonal brought back round by round."""
+    edges, scratch = geo(spark, d)
+    return C.tidy_scores(C.exact_centrality(edges, scratch, reduce=True), "farness", "centrality")
+
+
+@register(exact("SELECT src, dst, round(r, 6) + 0.0 AS r FROM edges JOIN pairs ON u = src AND v = dst"))
+def r4_r7_selected_resistance(spark, d):
+    """Exact resistances of all edges from the inverse's entries at the edges alone."""
+    edges, scratch = geo(spark, d)
+    return C.tidy_scores(Q.Parts(edges, scratch, reduce=True).resistances(), "r")
+
+
+HOMES = """,
+homes AS (
+  SELECT r_regionkey + 100 AS node, r_regionkey AS region FROM region UNION ALL SELECT n_nationkey, n_regionkey FROM nation
+  UNION ALL SELECT s_suppkey + 1000, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@register(
+    query(
+        GEO + BOTH + INVERSE + HOMES,
+        "SELECT 'region=' || x.region AS graph_id, u AS node, round(sum(r), 6) AS farness, round(count(*) / sum(r), 6) AS centrality FROM pairs JOIN homes x ON x.node = u JOIN homes y ON y.node = v AND x.region = y.region GROUP BY 1, 2",
+        recursive=True,
+    )
+)
+def s3_c1_centralities_of_graphs(spark, d):
+    """A graph for each region, written as text, read as a folder of graphs, and all of them solved for at once. A region
+    hangs on the world by one bridge, so its resistances are those of the whole graph."""
+    edges, scratch = geo(spark, d)
+    home = read(spark, d, "region").select((F.col("r_regionkey") + 100).alias("node"), F.col("r_regionkey").alias("region"))
+    nation = read(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region"))
+    home = home.union(nation).union(read(spark, d, "supplier").join(nation, F.col("s_nationkey") == F.col("nation")).select(F.col("s_suppkey") + 1000, "region"))
+    path = f"{scratch.top}/graphs"
+    lines = edges.filter("src <> 99 AND dst <> 99").join(home.withColumnRenamed("node", "src"), "src")
+    lines.select("region", F.concat_ws(" ", "src", "dst").alias("value")).write.partitionBy("region").text(path)
+    found, ends = S.read_edge_lists(spark, path, by="folder")
+    graphs = Q.ManyGraphs(found, scratch, ends)
+    parts = Q.Parts(graphs.edges, scratch, graphs.names.select("node", F.col("graph_id").alias("part")))
+    return C.tidy_scores(graphs.named(parts.centralities().drop("part")), "farness", "centrality")
+
+
 @register("SELECT true AS solved")
 def r1_solve_by_shuffle(spark, d):
     """L x = b on the large graph, b of mean zero from the keys: applied again, x gives b."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import functools
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.scores import centrality, stretched, tidy
 from ..sources.scratch import Scratch
 from .edges import nodes
-from .resistance import MAX_EXACT, Estimates, column_squares, diagonal, farness_of_diagonal, pseudo_inverse
+from .parts import Parts
+from .resistance import MAX_EXACT, Estimates, column_squares, diagonal, pseudo_inverse
 from .solve import WIDTH, System
 
 
@@ -20,8 +21,9 @@ def with_centrality(farness: DataFrame) -> DataFrame:
     return farness.crossJoin(F.broadcast(n)).select("node", "farness", centrality(F.col("n"), F.col("farness")).alias("centrality"))  # one row
 
 
-def exact_centrality(edges: DataFrame) -> DataFrame:
-    return with_centrality(farness_of_diagonal(diagonal(pseudo_inverse(edges))))
+def exact_centrality(edges: DataFrame, scratch: Scratch | None = None, reduce: bool | None = None) -> DataFrame:
+    """node, farness, centrality of a connected graph, from the exact diagonal; no inverse and no n^2 rows are made."""
+    return Parts(edges, scratch or Scratch(edges.sparkSession), reduce=reduce).centralities().drop("part")
 
 
 def estimated_centrality(edges: DataFrame, factor: float = 200, seed: int = 1) -> DataFrame:
@@ -46,7 +48,7 @@ def estimated_most_central(edges: DataFrame, factor: float = 20, trace_factor: f
     node = top_nodes(e.diagonal(), "value", 1, ascending=True).first()["node"]
     n = e.n
     if n <= exact_below:
-        farness = farness_of_diagonal(diagonal(pseudo_inverse(edges))).filter(F.col("node") == node)
+        farness = exact_centrality(edges).filter(F.col("node") == node)
         return farness.select("node", (F.lit(n) / F.col("farness")).alias("centrality"))
     trace = Estimates(edges, trace_factor, seed, (node,)).trace()
     return trace.select(F.lit(node).alias("node"), (F.lit(n) / F.col("trace")).alias("centrality"))
@@ -139,7 +141,7 @@ def exact_greedy(edges: DataFrame, k: int, scratch: Scratch, given: list[int] |
         group.append(node)
     total = matrix.filter("i = j").agg(F.sum("val").alias("own")) if small else profile.agg(F.sum("own").alias("own"))
     value = total.select(F.lit(k).alias("k"), stretched(F.lit(n) / F.col("own"), stretch).alias("centrality"))
-    return reduce(DataFrame.union, steps), value
+    return functools.reduce(DataFrame.union, steps), value
 
 
 class Sketches:
@@ -190,7 +192,7 @@ def estimated_greedy(edges: DataFrame, k: int, scratch: Scratch, factor: float =
         steps.append(ranked)
         sketches.ground(given[step - 1] if given else ranked.filter("rank = 1").first()["node"])
     value = Estimates(edges, trace_factor, seed, sketches.group, scratch).trace().select(F.lit(k).alias("k"), (F.lit(n) / F.col("trace")).alias("centrality"))
-    return reduce(DataFrame.union, steps), value
+    return functools.reduce(DataFrame.union, steps), value
 
 
 def compared(left: DataFrame, right: DataFrame, by: str, tolerance: float) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..sources.scratch import Scratch
 from .components import component_of_nodes, connected_components
 from .edges import nodes, symmetric
-from .resistance import MAX_EXACT, Estimates, _inverse, diagonal, pseudo_inverse
-from .solve import System
+from .parts import Parts
+from .resistance import MAX_EXACT, _inverse
 from .trees import RootedForest
 
 
@@ -22,36 +22,43 @@ def bridge_free_blocks(edges: DataFrame, bridges: DataFrame, scratch: Scratch) -
     return placed, kept.join(placed.withColumnRenamed("node", "src"), "src").select("block", "src", "dst")
 
 
-#: Blocks that are too large for one task: name, edges, and the diagonal (node, value) of the pseudo-inverse.
-Giants = dict[int, tuple[DataFrame, DataFrame]]
+class Giants:
+    """The blocks of more than `most` nodes, all in one system (Parts): `blocks` (block), and `diagonal` (block, node,
+    value) of their pseudo-inverses, exact or, with a factor, estimated."""
 
+    def __init__(self, blocks: DataFrame, block_nodes: DataFrame, block_edges: DataFrame, scratch: Scratch, factor: float | None):
+        self.blocks, self.scratch = blocks, scratch
+        edges = scratch.table(block_edges.join(blocks, "block", "left_semi").select("src", "dst"), "giants")
+        self.parts = Parts(edges, scratch, self.of(block_nodes).select("node", F.col("block").alias("part")))
+        d = self.parts.estimated_diagonal(factor) if factor else self.parts.diagonal()
+        self.diagonal = scratch.table(d.withColumnRenamed("part", "block"), "diagonal")
 
-def giant_blocks(block_nodes: DataFrame, block_edges: DataFrame, scratch: Scratch, most: int = MAX_EXACT, factor: float | None = None) -> Giants:
-    """The blocks of more than `most` nodes; their diagonal is exact, or estimated where there is a factor."""
-    found = {}
-    large = block_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
-    for block in sorted(r["block"] for r in large.collect()):  # one in `most` nodes at most
-        edges = scratch.table(block_edges.filter(F.col("block") == block).select("src", "dst"), "giant")
-        d = Estimates(edges, factor, scratch=scratch).diagonal() if factor else diagonal(pseudo_inverse(edges, most, scratch))
-        found[block] = edges, scratch.table(d, "diagonal")
-    return found
+    def of(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.blocks, "block", "left_semi")
 
+    def far(self, own: DataFrame) -> DataFrame:
+        """block, node, far: of each node of a giant block the sum of w * r + d over all of it (own: block, node, w, d),
+        for all of them from one solve of L x = w: sum of w_v R(u, v) = W d_u + sum of w_v d_v - 2 x_u."""
+        own = self.of(own)
+        x = self.parts.solve(own.select(F.lit(0).alias("block"), "node", F.col("w").alias("b0"))).select("node", F.col("x0").alias("x"))
+        both = self.scratch.table(own.join(self.diagonal, ["block", "node"]).join(x, "node"), "far")
+        sums = both.groupBy("block").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("value") + F.col("d")).alias("rest"))
+        return both.join(sums, "block").select("block", "node", (F.col("weight") * F.col("value") + F.col("rest") - 2 * F.col("x")).alias("far"))
 
-def far_in_giant(edges: DataFrame, d: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, weight, far: of each node of the block the sum of w * r + d over all of it (own: node, w, d), from one solve
-    of L x = w: sum of w_v R(u, v) = W d_u + sum of w_v d_v - 2 x_u."""
-    right = own.select(F.lit(0).alias("block"), "node", F.col("w").alias("b0"))
-    x = System(edges, scratch).solve(right, 1e-12)[0].select("node", F.col("x0").alias("x"))
-    both = scratch.table(own.join(d, "node").join(x, "node"), "far")
-    sums = both.agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("value") + F.col("d")).alias("rest"))
-    return both.crossJoin(F.broadcast(sums)).select("node", "weight", (F.col("weight") * F.col("value") + F.col("rest") - 2 * F.col("x")).alias("far"))  # one row
+
+def giant_blocks(block_nodes: DataFrame, block_edges: DataFrame, scratch: Scratch, most: int = MAX_EXACT, factor: float | None = None) -> Giants | None:
+    large = scratch.table(block_nodes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("block"), "large")
+    return None if large.isEmpty() else Giants(large, block_nodes, block_edges, scratch, factor)
+
+
+def not_giant(rows: DataFrame, giants: Giants | None) -> DataFrame:
+    return rows.join(giants.blocks, "block", "left_anti") if giants else rows
 
 
 def link_rows(block_nodes: DataFrame, block_edges: DataFrame, links: DataFrame, giants: Giants | None = None) -> DataFrame:
     """block, link, node, r: the resistance from each marked node to every node of its block, but for giant ones. A block
     is inverted in one task."""
-    small = ~F.col("block").isin(list(giants or {}))
-    block_nodes, block_edges = block_nodes.filter(small), block_edges.filter(small)
+    block_nodes, block_edges = not_giant(block_nodes, giants), not_giant(block_edges, giants)
     marked = links.select("node").distinct().join(block_nodes, "node").select("block", "node")
 
     def rows(edges: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +108,8 @@ def node_weights(block_nodes: DataFrame, tree: BlockTree, rows: DataFrame, scrat
     Resistances along a path add up, so what hangs off a bridge is a sum over the subtree below it: the nodes, their
     distances within their blocks, and for each bridge further down its way times the nodes behind it. What lies above a
     bridge exceeds what lies above its parent's by a term that one aggregation gives, so it is a sum along the path from
-    the root. Both are taken in logarithmic rounds (RootedForest); a giant block is solved for three times at most.
+    the root. Both are taken in logarithmic rounds (RootedForest); all giant blocks
+    are solved for together, three times.
     """
     base = scratch.table(block_nodes.select("block", "node", F.lit(1.0).alias("w"), F.lit(0.0).alias("d")), "weights")
     named = lambda df: df.withColumnRenamed("node", "block")
@@ -112,11 +120,9 @@ def node_weights(block_nodes: DataFrame, tree: BlockTree, rows: DataFrame, scrat
         seen = here.join(rows.select(F.col("block").alias("in"), F.col("link").alias("from"), "node", "r"), ["in", "from"])
         seen = seen.join(state.select(F.col("block").alias("in"), "node", "w", "d"), ["in", "node"])
         out = seen.groupBy("block").agg(F.sum(F.col("w") * F.col("r") + F.col("d")).alias("far"))
-        for name, (edges, d) in (giants or {}).items():
-            of = here.filter(F.col("in") == name)
-            if not of.isEmpty():
-                far = far_in_giant(edges, d, state.filter(F.col("block") == name), scratch)
-                out = out.unionByName(of.join(far.select(F.col("node").alias("from"), "far"), "from").select("block", "far"))
+        if giants:
+            far = giants.far(state).select(F.col("block").alias("in"), F.col("node").alias("from"), "far")
+            out = out.unionByName(here.join(far, ["in", "from"]).select("block", "far"))
         return out
 
     def told(state: DataFrame, news: DataFrame) -> DataFrame:
@@ -130,12 +136,11 @@ def node_weights(block_nodes: DataFrame, tree: BlockTree, rows: DataFrame, scrat
     entry = tree.rows.select(F.col("block").alias("parent"), F.col("link").alias("entry"))
     inner = tree.rows.select("block", "parent", "at").join(entry, "parent")
     ways = inner.join(rows.select(F.col("block").alias("parent"), F.col("link").alias("entry"), F.col("node").alias("at"), "r"), ["parent", "entry", "at"]).select("block", (F.col("r") + 1).alias("way"))
-    for name, (edges, d) in (giants or {}).items():
-        here = inner.filter(F.col("parent") == name)
-        if not here.isEmpty():
-            one = base.filter(F.col("block") == name).join(entry.filter(F.col("parent") == name).select("entry"), F.col("node") == F.col("entry"), "left")
-            far = far_in_giant(edges, d, one.select("node", F.when(F.col("entry").isNotNull(), 1.0).otherwise(0.0).alias("w"), "d"), scratch)
-            ways = ways.unionByName(here.join(far.select(F.col("node").alias("at"), "far"), "at").select("block", (F.col("far") + 1).alias("way")))
+    if giants:
+        marked = entry.select(F.col("parent").alias("block"), F.col("entry").alias("node"), F.lit(1.0).alias("one"))
+        one = base.join(marked, ["block", "node"], "left").select("block", "node", F.coalesce("one", F.lit(0.0)).alias("w"), "d")
+        far = giants.far(one).select(F.col("block").alias("parent"), F.col("node").alias("at"), "far")
+        ways = ways.unionByName(inner.join(far, ["parent", "at"]).select("block", (F.col("far") + 1).alias("way")))
     below = tree.rows.join(behind, "block").join(within, "block").join(ways, "block", "left").fillna(0.0, ["way"])
     below = scratch.table(below.select("block", "link", "parent", "at", "w", "way", "far"), "below")
     sums = named(tree.forest.below(below.select(F.col("block").alias("node"), (F.col("far") + F.col("way") * F.col("w")).alias("far"))))
@@ -151,7 +156,7 @@ def node_weights(block_nodes: DataFrame, tree: BlockTree, rows: DataFrame, scrat
 def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, most: int = MAX_EXACT, factor: float | None = None) -> DataFrame:
     """node, farness of all nodes, leaves too: in each block the weighted sum of resistances, and the distances beyond.
 
-    Blocks of up to `most` nodes are inverted, each in a task; giant ones are solved for by tables, exactly or, with a
+    Blocks of up to `most` nodes are inverted, each in a task; giant ones are solved for together, exactly or, with a
     factor, with a diagonal estimated from so many projections.
     """
     block_nodes, block_edges = bridge_free_blocks(edges, bridges, scratch)
@@ -170,12 +175,8 @@ def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, m
         diag = np.diag(inverse)
         return pd.DataFrame({"node": own["node"].to_numpy(), "farness": w.sum() * diag + w @ diag - 2 * inverse @ w + d})
 
-    small = ~F.col("block").isin(list(giants))
-    out = block_edges.filter(small).groupBy("block").cogroup(weights.filter(small).groupBy("block")).applyInPandas(inside, "node long, farness double")
-    for name, (own_edges, d) in giants.items():
-        far = far_in_giant(own_edges, d, weights.filter(F.col("block") == name), scratch)
-        out = out.unionByName(far.select("node", F.col("far").alias("farness")))
-    return out
+    out = not_giant(block_edges, giants).groupBy("block").cogroup(not_giant(weights, giants).groupBy("block")).applyInPandas(inside, "node long, farness double")
+    return out.unionByName(giants.far(weights).select("node", F.col("far").alias("farness"))) if giants else out
 
 
 def contracted_graph(bridges: DataFrame, block_nodes: DataFrame, rows: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources.scratch import Scratch
 from .edges import dense_ids, nodes
 from .solve import WIDTH, System, blocks_of, columns
 
-#: Nodes of a graph, or of a block, that is inverted as a whole in one task; beyond that its columns are solved for.
+#: Nodes of a block of the decomposition that is inverted in one task, and of a graph whose inverse is a table for greedy groups.
 MAX_EXACT = 4096
 
 
@@ -26,27 +26,20 @@ def _inverse(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.linalg.inv(lap + 1.0 / n) - 1.0 / n
 
 
-def solved_columns(edges: DataFrame, wanted: DataFrame, scratch: Scratch, tol: float = 1e-12) -> DataFrame:
+def solved_columns(edges: DataFrame, wanted: DataFrame, scratch: Scratch, tol: float = 1e-12, plan: str = "auto") -> DataFrame:
     """i, j, val: the pseudo-inverse's columns j of the `wanted` nodes, each the solution of L x = e_j less its mean."""
     at = dense_ids(wanted.select("node").distinct(), "node").withColumn("t", F.col("id") - 1)
     at = scratch.table(at.select("node", F.floor(F.col("t") / WIDTH).cast("int").alias("block"), F.pmod("t", F.lit(WIDTH)).cast("int").alias("j")), "wanted")
     right = at.groupBy("block", "node").agg(*[F.max(F.when(F.col("j") == j, 1.0).otherwise(0.0)).alias(f"b{j}") for j in range(WIDTH)])
-    x, _ = System(edges, scratch).solve(right, tol)
+    x, _ = System(edges, scratch, plan=plan).solve(right, tol)
     long = x.select("block", F.col("node").alias("i"), F.posexplode(F.array(*columns("x"))).alias("j", "val"))
     return long.join(at.withColumnRenamed("node", "of"), ["block", "j"]).select("i", F.col("of").alias("j"), "val")
 
 
-def pseudo_inverse(edges: DataFrame, most: int = MAX_EXACT, scratch: Scratch | None = None) -> DataFrame:
-    """i, j, val of the Laplacian's pseudo-inverse, for a connected graph (n^2 rows). A graph of up to `most` nodes is
-    inverted in one task; the columns of a larger one are solved for, as many at once as there are."""
-    if nodes(edges).limit(most + 1).count() > most:
-        return solved_columns(edges, nodes(edges), scratch or Scratch(edges.sparkSession))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, inverse = _inverse(rows)
-        return pd.DataFrame({"i": np.repeat(ids, len(ids)), "j": np.tile(ids, len(ids)), "val": inverse.ravel()})
-
-    return edges.select("src", "dst").groupBy(F.lit("all").alias("graph")).applyInPandas(run, "i long, j long, val double")
+def pseudo_inverse(edges: DataFrame, scratch: Scratch | None = None, plan: str = "auto") -> DataFrame:
+    """i, j, val of the Laplacian's pseudo-inverse, for a connected graph (n^2 rows): its columns, solved for by the plan
+    of System. Where only the diagonal or the entries at edges are wanted, Parts has them without n^2 rows."""
+    return solved_columns(edges, nodes(edges), scratch or Scratch(edges.sparkSession), plan=plan)
 
 
 def diagonal(matrix: DataFrame) -> DataFrame:

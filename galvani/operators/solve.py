@@ -104,8 +104,9 @@ class Elimination:
 
 
 class System:
-    """L x = b of a connected graph, or of what is left of it without the nodes of `ground`, with their edges still
-    counted on the diagonal. An edge weighs 1, or `w` if there is such a column.
+    """L x = b of a connected graph, or of what is left of it without the nodes of `ground` (keys, or a table with a
+    column node), with their edges still counted on the diagonal. An edge weighs 1, or `w` if there is such a column. A
+    grounded graph may have many components, each with a ground of its own.
 
     plan "columns": groups of right-hand sides, each solved in a task by conjugate gradients over the whole graph, which
     is dealt out to the groups; for graphs whose bytes are measured to be below COLUMN_BYTES. plan "tables": conjugate
@@ -119,17 +120,19 @@ class System:
     the whole graph goes by columns).
     """
 
-    def __init__(self, edges: DataFrame, scratch: Scratch, ground: tuple[int, ...] = (), plan: str = "auto", reduce: bool | None = None):
+    def __init__(self, edges: DataFrame, scratch: Scratch, ground: tuple[int, ...] | DataFrame = (), plan: str = "auto", reduce: bool | None = None):
         if plan not in ("auto", "columns", "tables"):
             raise ValueError(f"no such plan: {plan}")
-        gone = F.lit(False) if not ground else F.col("node").isin(list(ground))
-        ends = lambda c: F.lit(True) if not ground else ~F.col(c).isin(list(ground))
-        self.scratch, self.grounded = scratch, bool(ground)
         weighted = edges.select("src", "dst", (F.col("w").cast("double") if "w" in edges.columns else F.lit(1.0)).alias("w"))
-        self.inside = weighted.filter(ends("src") & ends("dst"))
-        into = F.when(F.col("far").isin(list(ground)), F.col("w")) if ground else F.lit(None).cast("double")
-        both = weighted.selectExpr("src AS node", "dst AS far", "w").union(weighted.selectExpr("dst", "src", "w"))
-        nodes = both.groupBy("node").agg(F.coalesce(F.sum(into), F.lit(0.0)).alias("into")).filter(~gone)
+        self.scratch, self.grounded = scratch, isinstance(ground, DataFrame) or bool(ground)
+        for end, mark in (("src", "a"), ("dst", "b")):
+            if isinstance(ground, DataFrame):
+                weighted = weighted.join(ground.select(F.col("node").alias(end), F.lit(True).alias(mark)).distinct(), end, "left").fillna(False, [mark])
+            else:
+                weighted = weighted.withColumn(mark, F.col(end).isin(list(ground)) if ground else F.lit(False))
+        self.inside = weighted.filter("NOT a AND NOT b").select("src", "dst", "w")
+        both = weighted.selectExpr("src AS node", "w", "a AS gone", "b AS far").union(weighted.selectExpr("dst", "w", "b", "a"))
+        nodes = both.filter("NOT gone").groupBy("node").agg(F.sum(F.expr("if(far, w, 0D)")).alias("into"))
         #: node, into: the weight of its edges into the ground
         self.nodes = scratch.table(nodes, "nodes")
         self.n = self.nodes.count()
@@ -149,12 +152,16 @@ class System:
         # a row for each WIDTH columns and node: as many blocks as there are right-hand sides by eight
         full = self.nodes.select("node").crossJoin(right.select("block").distinct()).join(right, ["block", "node"], "left")
         full = full.selectExpr("block", "node", *_each("coalesce(b{j}, 0D) AS b{j}", width))
-        full = table(full if self.grounded else _centred(full, "b", width), "right")
+        full = table(full if self.grounded else centred(full, "b", width), "right")
         norms = table(full.groupBy("block").agg(*[F.expr(e) for e in _each("sum(b{j} * b{j}) AS first{j}", width)]), "norms")
         right, kept = self.core.down(full)
         x, worst = (self._by_columns if self.by_columns else self._by_tables)(right, norms, width, tol, rounds)
         x = self.core.up(x, kept, width)
-        return x if self.grounded else _centred(x, "x", width), worst
+        return x if self.grounded else centred(x, "x", width), worst
+
+    def solve_core(self, right: DataFrame, norms: DataFrame, width: int, tol: float, rounds: int) -> DataFrame:
+        """The solutions on what elimination left, by tables; the caller may drop them from the scratch folder."""
+        return self._by_tables(right, norms, width, tol, rounds)[0]
 
     def column(self, node: int, tol: float = 1e-12) -> DataFrame:
         """node, m: the column of a node in the inverse (the pseudo-inverse unless grounded)."""
@@ -234,7 +241,7 @@ class System:
                 here = here.selectExpr("block", "node", "degree", *[e for c in ("p{j}", "s{j}", "x{j} + alpha{j} * p{j} AS x{j}", "r{j} - alpha{j} * s{j} AS r{j}") for e in _each(c, width)])
                 # the new vectors and their product with the graph are one job, whose table takes the place of this one
                 pending = here.selectExpr("*", *_each("if(degree > 0, r{j} / degree, 0D) AS u{j}", width))
-            return self.scratch.table(state.selectExpr("block", "node", *_each("x{j}", width)), "x"), worst
+            return self.scratch.table(state.selectExpr("block", "node", *_each("x{j}", width)), "x", state), worst
         finally:
             both.unpersist()
 
@@ -263,7 +270,7 @@ def _times(both: DataFrame, state: DataFrame, width: int) -> DataFrame:
     return state.join(sums, ["block", "node"], "left").selectExpr(*kept, *_each("degree * u{j} - coalesce(y{j}, 0D) AS w{j}", width))
 
 
-class _Graph:
+class TaskGraph:
     """A whole graph inside a task: its nodes with their weights to the ground, and its edges."""
 
     def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
@@ -303,7 +310,7 @@ class _Graph:
 
 def _column_solutions(rows: pd.DataFrame, edges: pd.DataFrame, width: int, tol: float, rounds: int) -> pd.DataFrame:
     """The right-hand sides of a group, block by block."""
-    graph, out = _Graph(rows, edges), []
+    graph, out = TaskGraph(rows, edges), []
     for block, own in rows.groupby("block"):
         own = own.sort_values("node")
         limit = tol * tol * own[[f"first{j}" for j in range(width)]].iloc[0].to_numpy(float)
@@ -315,7 +322,7 @@ def _column_solutions(rows: pd.DataFrame, edges: pd.DataFrame, width: int, tol:
 
 def _profiles(nodes: pd.DataFrame, edges: pd.DataFrame, grounded: bool, tol: float, rounds: int) -> pd.DataFrame:
     """node, own, square: of the inverse's columns of the nodes that are `wanted` the squares by row, and their own entries."""
-    graph = _Graph(nodes, edges)
+    graph = TaskGraph(nodes, edges)
     n = len(graph.ids)
     wanted = np.searchsorted(graph.ids, nodes["node"].to_numpy()[nodes["wanted"].to_numpy()])
     own, square, worst = np.zeros(n), np.zeros(n), 0.0
@@ -334,11 +341,12 @@ def _each(text: str, width: int) -> list[str]:
     return [text.format(j=j) for j in range(width)]
 
 
-def _centred(state: DataFrame, name: str, width: int) -> DataFrame:
-    """The columns less their means over the nodes."""
-    mean = state.groupBy("block").agg(*map(F.expr, _each(f"avg({name}{{j}}) AS m{{j}}", width)))
+def centred(state: DataFrame, name: str, width: int, *keys: str) -> DataFrame:
+    """The columns less their means over the nodes of each block, or of each of `keys`."""
+    keys = keys or ("block",)
+    mean = state.groupBy(*keys).agg(*map(F.expr, _each(f"avg({name}{{j}}) AS m{{j}}", width)))
     others = [c for c in state.columns if c not in _each(f"{name}{{j}}", width)]
-    return state.join(mean, "block").selectExpr(*others, *_each(f"{name}{{j}} - m{{j}} AS {name}{{j}}", width))
+    return state.join(mean, list(keys)).selectExpr(*others, *_each(f"{name}{{j}} - m{{j}} AS {name}{{j}}", width))
 
 
 def solve_by_shuffle(edges: DataFrame, right: DataFrame, names: list[str], scratch: Scratch, tol: float = 1e-5, rounds: int = 2000, ground: tuple[int, ...] = (), plan: str = "tables", reduce: bool | None = None) -> tuple[DataFrame, float]:

@@ -35,12 +35,16 @@ class Scratch:
         made = self.spark.read.schema(df.schema).parquet(path)
         if instead_of is not None:
             self._paths[id(made)] = (made, path)
-            _, old = self._paths.pop(id(instead_of), (None, None))
-            if old:
-                gone = self.spark._jvm.org.apache.hadoop.fs.Path(old)
-                gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+            self.drop(instead_of)
         return made
 
+    def drop(self, state: DataFrame) -> None:
+        """Deletes a table of `state`, or one written instead of it, of which nothing is read any more."""
+        _, old = self._paths.pop(id(state), (None, None))
+        if old:
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
     def state(self, df: DataFrame, name: str = "state") -> DataFrame:
         """A table that a later one may be written instead of."""
         path = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}"

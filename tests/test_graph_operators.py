@@ -229,10 +229,11 @@ def test_a_loop_keeps_one_state(spark, scratch):
 PAW_AND_TAIL = [(1, 2), (2, 3), (1, 3), (3, 4), (2, 5), (5, 6), (6, 7), (5, 7)]
 
 
-def test_large_graphs_and_blocks_are_solved_for(spark, scratch):
+@pytest.mark.parametrize("plan", ["columns", "tables"])
+def test_large_graphs_and_blocks_are_solved_for(spark, scratch, plan):
     ids, lap = dense(PAW_AND_TAIL)
     edges = scratch.table(edge_table(spark, PAW_AND_TAIL))
-    inverse = {(r["i"], r["j"]): r["val"] for r in R.pseudo_inverse(edges, most=3, scratch=scratch).collect()}
+    inverse = {(r["i"], r["j"]): r["val"] for r in R.pseudo_inverse(edges, scratch, plan).collect()}
     want = np.linalg.pinv(lap)
     assert inverse == pytest.approx({(u, v): want[i, j] for i, u in enumerate(ids) for j, v in enumerate(ids)}, abs=1e-8)
     bridges = scratch.table(B.find_bridges(edges, scratch))
