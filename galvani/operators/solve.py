@@ -161,7 +161,8 @@ class System:
 
     def solve_core(self, right: DataFrame, norms: DataFrame, width: int, tol: float, rounds: int) -> DataFrame:
         """The solutions on what elimination left, by tables; the caller may drop them from the scratch folder."""
-        return self._by_tables(right, norms, width, tol, rounds)[0]
+        state, _ = self._iterated(right, norms, width, tol, rounds)
+        return self.scratch.table(state.selectExpr("block", "node", *_each("x{j}", width)), "x", state)
 
     def column(self, node: int, tol: float = 1e-12) -> DataFrame:
         """node, m: the column of a node in the inverse (the pseudo-inverse unless grounded)."""
@@ -216,6 +217,10 @@ class System:
         return found.drop("residual"), worst
 
     def _by_tables(self, right: DataFrame, norms: DataFrame, width: int, tol: float, rounds: int) -> tuple[DataFrame, float]:
+        state, worst = self._iterated(right, norms, width, tol, rounds)
+        return self.scratch.table(state.selectExpr("block", "node", *_each("x{j}", width)), "x"), worst
+
+    def _iterated(self, right: DataFrame, norms: DataFrame, width: int, tol: float, rounds: int) -> tuple[DataFrame, float]:
         """The steps of all columns come from one sum over the vectors a round (the form of the method by Chronopoulos and
         Gear). They stand in a table, a row for each block; how many columns are unfinished is all that is gathered."""
         parts = int(self.scratch.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -241,7 +246,7 @@ class System:
                 here = here.selectExpr("block", "node", "degree", *[e for c in ("p{j}", "s{j}", "x{j} + alpha{j} * p{j} AS x{j}", "r{j} - alpha{j} * s{j} AS r{j}") for e in _each(c, width)])
                 # the new vectors and their product with the graph are one job, whose table takes the place of this one
                 pending = here.selectExpr("*", *_each("if(degree > 0, r{j} / degree, 0D) AS u{j}", width))
-            return self.scratch.table(state.selectExpr("block", "node", *_each("x{j}", width)), "x", state), worst
+            return state, worst
         finally:
             both.unpersist()
 

@@ -11,8 +11,10 @@ from galvani.operators import centrality as C
 from galvani.operators import components as K
 from galvani.operators import decomposition as D
 from galvani.operators import edges as E
+from galvani.operators import parts as Q
 from galvani.operators import paths as P
 from galvani.operators import resistance as R
+from galvani.operators import selected as Z
 from galvani.operators import solve as V
 from galvani.operators import trees as T
 from galvani.sources import edge_lists as S
@@ -402,3 +404,105 @@ def test_estimates_do_not_depend_on_partitions(spark):
     a, b = (dict(rows(R.Estimates(e, 3).diagonal())) for e in (edges, edges.repartition(3)))
     assert a == pytest.approx(b)
     assert projections(20, 1) == 1 and projections(20, 18) == 58
+
+
+def _random_graph(rng, n, more):
+    tree = {tuple(sorted((k, rng.randrange(max(0, k - 4), k)))) for k in range(1, n)}
+    return sorted(tree | {tuple(sorted(rng.sample(range(n), 2))) for _ in range(more)})
+
+
+#: A path that elimination takes whole, a star, two nodes, a sparse graph, and one without leaves or chains.
+SHAPES = {
+    "path": [(k, k + 1) for k in range(70)],
+    "star": [(0, k) for k in range(1, 40)],
+    "two": [(4, 9)],
+    "sparse": _random_graph(random.Random(5), 90, 25),
+    "complete": [(a, b) for a in range(9) for b in range(a + 1, 9)],
+}
+
+
+@pytest.mark.parametrize("shape,plan,reduce", [("path", "auto", True), ("star", "auto", True), ("two", "auto", None), ("sparse", "auto", None), ("sparse", "auto", True), ("complete", "tables", True)])
+def test_selected_entries_are_those_of_the_inverse(spark, scratch, monkeypatch, shape, plan, reduce):
+    monkeypatch.setattr(Z, "AT_ONCE", 4)
+    ids, lap = dense(SHAPES[shape])
+    at, want = {u: i for i, u in enumerate(ids)}, np.linalg.pinv(lap)
+    parts = Q.Parts(scratch.table(edge_table(spark, SHAPES[shape])), scratch, plan=plan, reduce=reduce)
+    assert {r["node"]: r["value"] for r in parts.diagonal().collect()} == pytest.approx({u: want[i, i] for u, i in at.items()}, abs=1e-9)
+    far = lambda u, v: want[at[u], at[u]] + want[at[v], at[v]] - 2 * want[at[u], at[v]]
+    assert {(r["src"], r["dst"]): r["r"] for r in parts.resistances().collect()} == pytest.approx({e: far(*e) for e in SHAPES[shape]}, abs=1e-9)
+    if shape == "path":
+        assert parts.system.core.left < 10
+    if shape == "two":
+        with pytest.raises(ValueError):
+            Z.selected_inverse(V.System(edge_table(spark, SHAPES[shape]), scratch))
+
+
+def test_columns_in_batches_leave_one_batch_on_disk(spark, scratch, monkeypatch):
+    import pathlib
+
+    monkeypatch.setattr(Z, "AT_ONCE", 4)
+    Z.selected_inverse(Q.Parts(scratch.table(edge_table(spark, SHAPES["complete"])), scratch, plan="tables").system)
+    names = [p.name.split("-")[0] for p in pathlib.Path(scratch.top.removeprefix("file:")).iterdir()]
+    assert names.count("selected") == 2 and names.count("cg") == 0 and names.count("own") == 1
+
+
+def test_graphs_that_share_names_are_solved_for_at_once(spark, scratch):
+    """Three graphs, one with a node seen in a loop alone, repeated and reversed edges, and rows with nulls."""
+    graphs = {"a": TRIANGLE, "b": PATH7, "c": TEST18}
+    given = [(g, *e) for g, edges in graphs.items() for e in edges] + [("b", 2, 1), ("c", 14, 1), ("d", 3, 3), (None, 1, 2), ("a", None, 2)]
+    edges = spark.createDataFrame(given, "graph_id string, src long, dst long")
+    many = Q.ManyGraphs(edges, scratch)
+    parts = Q.Parts(many.edges, scratch, many.names.select("node", F.col("graph_id").alias("part")))
+    found = {(r["graph_id"], r["node"]): (r["farness"], r["centrality"]) for r in many.named(parts.centralities().drop("part")).collect()}
+    want = {("d", 3): (0.0, None)}
+    for g, pairs in graphs.items():
+        ids, lap = dense(pairs)
+        m = np.linalg.pinv(lap)
+        want |= {(g, u): (len(ids) * m[i, i] + np.trace(m), len(ids) / (len(ids) * m[i, i] + np.trace(m))) for i, u in enumerate(ids)}
+    assert found.keys() == want.keys()
+    assert all(a == pytest.approx(want[k][0], abs=1e-8) and (b == want[k][1] or b == pytest.approx(want[k][1], abs=1e-8)) for k, (a, b) in found.items())
+    bridges = rows(many.named(B.find_bridges(many.edges, scratch).select("src", "dst"), "src", "dst"))
+    assert bridges == sorted((g, *e) for g, pairs in graphs.items() for e in _bridges_by_search(sorted({tuple(sorted(x)) for x in pairs})))
+    empty = Q.ManyGraphs(edges.limit(0), scratch)
+    assert rows(Q.Parts(empty.edges, scratch).centralities()) == []
+
+
+def test_parts_are_solved_and_estimated_apart(spark, scratch):
+    """L+ b in each part, b not of mean zero; estimates within their error."""
+    rng = random.Random(1)
+    one, two = _random_graph(rng, 30, 30), [(u + 100, v + 100) for u, v in _random_graph(rng, 50, 60)]
+    edges = scratch.table(edge_table(spark, one + two))
+    named = E.nodes(edges).withColumn("part", (F.col("node") >= 100).cast("int"))
+    parts = Q.Parts(edges, scratch, named)
+    right = named.select(F.lit(0).alias("block"), "node", (F.col("node") % 7).cast("double").alias("b0"))
+    x = {r["node"]: r["x0"] for r in parts.solve(right).collect()}
+    d = {r["node"]: r["value"] for r in parts.diagonal().collect()}
+    guess = {r["node"]: r["value"] for r in parts.estimated_diagonal(200).collect()}
+    for pairs in (one, two):
+        ids, lap = dense(pairs)
+        m = np.linalg.pinv(lap)
+        assert [x[u] for u in ids] == pytest.approx(list(m @ np.array([u % 7 for u in ids], float)), abs=1e-8)
+        assert [d[u] for u in ids] == pytest.approx(list(np.diag(m)), abs=1e-9)
+        assert [guess[u] for u in ids] == pytest.approx(list(np.diag(m)), rel=0.3)
+
+
+def test_all_giant_blocks_are_one_system(spark, scratch, monkeypatch):
+    """Three rings with chords on a line of bridges, a leaf on each: as many systems for three giants as for one."""
+    made = []
+    system = V.System.__init__
+    monkeypatch.setattr(V.System, "__init__", lambda self, *a, **k: made.append(1) or system(self, *a, **k))
+    pairs = []
+    for k in range(3):
+        ring = [100 * k + i for i in range(8)]
+        pairs += [(ring[i], ring[(i + 1) % 8]) for i in range(8)] + [(ring[0], ring[4]), (ring[7], 100 * k + 50)]
+        pairs += [(100 * k - 95, ring[1])] if k else []
+    pairs = sorted(tuple(sorted(e)) for e in pairs)
+    ids, lap = dense(pairs)
+    m = np.linalg.pinv(lap)
+    edges = scratch.table(edge_table(spark, pairs))
+    bridges = scratch.table(B.find_bridges(edges, scratch))
+    far = dict(rows(D.decomposed_farness(edges, bridges, scratch, most=5)))
+    assert far == pytest.approx({u: len(ids) * m[i, i] + np.trace(m) for i, u in enumerate(ids)}, abs=1e-6)
+    assert len(made) == 1
+    rough = dict(rows(D.decomposed_farness(edges, bridges, scratch, most=5, factor=300)))
+    assert [rough[u] for u in ids] == pytest.approx([far[u] for u in ids], rel=0.2)
