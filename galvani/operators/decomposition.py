@@ -57,7 +57,7 @@ def not_giant(rows: DataFrame, giants: Giants | None) -> DataFrame:
 
 def link_rows(block_nodes: DataFrame, block_edges: DataFrame, links: DataFrame, giants: Giants | None = None) -> DataFrame:
     """block, link, node, r: the resistance from each marked node to every node of its block, but for giant ones. A block
-    is inverted in one task."""
+    is inverted in one task; one without edges, as a leaf is, needs none."""
     block_nodes, block_edges = not_giant(block_nodes, giants), not_giant(block_edges, giants)
     marked = links.select("node").distinct().join(block_nodes, "node").select("block", "node")
 
@@ -65,15 +65,21 @@ def link_rows(block_nodes: DataFrame, block_edges: DataFrame, links: DataFrame,
         if not len(ends):
             return pd.DataFrame({"block": [], "link": [], "node": [], "r": []})
         block = ends["block"].iloc[0]
-        if not len(edges):  # a node alone
-            return pd.DataFrame({"block": block, "link": ends["node"], "node": ends["node"], "r": 0.0})
         ids, inverse = _inverse(edges)
         d = np.diag(inverse)
         at = np.searchsorted(ids, ends["node"].to_numpy())
         r = d[at][:, None] + d[None, :] - 2 * inverse[at]
         return pd.DataFrame({"block": block, "link": np.repeat(ids[at], len(ids)), "node": np.tile(ids, len(at)), "r": r.ravel()})
 
-    return block_edges.groupBy("block").cogroup(marked.groupBy("block")).applyInPandas(rows, "block long, link long, node long, r double")
+    alone, marked = _by_edges(marked, block_edges)
+    found = block_edges.groupBy("block").cogroup(marked.groupBy("block")).applyInPandas(rows, "block long, link long, node long, r double")
+    return found.union(alone.select("block", F.col("node").alias("link"), "node", F.lit(0.0)))
+
+
+def _by_edges(rows: DataFrame, block_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of blocks without edges, and those of the others."""
+    linked = block_edges.select("block").distinct()
+    return rows.join(linked, "block", "left_anti"), rows.join(linked, "block", "left_semi")
 
 
 class BlockTree:
@@ -169,13 +175,14 @@ def decomposed_farness(edges: DataFrame, bridges: DataFrame, scratch: Scratch, m
     def inside(edges: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("node")
         w, d = own["w"].to_numpy(), own["d"].sum()
-        if not len(edges):
-            return pd.DataFrame({"node": own["node"], "farness": d})
         _, inverse = _inverse(edges)
         diag = np.diag(inverse)
         return pd.DataFrame({"node": own["node"].to_numpy(), "farness": w.sum() * diag + w @ diag - 2 * inverse @ w + d})
 
-    out = not_giant(block_edges, giants).groupBy("block").cogroup(not_giant(weights, giants).groupBy("block")).applyInPandas(inside, "node long, farness double")
+    inner = not_giant(block_edges, giants)
+    alone, linked = _by_edges(not_giant(weights, giants), inner)
+    out = inner.groupBy("block").cogroup(linked.groupBy("block")).applyInPandas(inside, "node long, farness double")
+    out = out.unionByName(alone.select("node", F.col("d").alias("farness")))
     return out.unionByName(giants.far(weights).select("node", F.col("far").alias("farness"))) if giants else out
 
 
