@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from galvani.functions.noise import projections
 from galvani.operators import bridges as B
 from galvani.operators import centrality as C
+from galvani.operators import classes as L
 from galvani.operators import components as K
 from galvani.operators import decomposition as D
 from galvani.operators import edges as E
@@ -506,3 +507,63 @@ def test_all_giant_blocks_are_one_system(spark, scratch, monkeypatch):
     assert len(made) == 1
     rough = dict(rows(D.decomposed_farness(edges, bridges, scratch, most=5, factor=300)))
     assert [rough[u] for u in ids] == pytest.approx([far[u] for u in ids], rel=0.2)
+
+
+HAIRY = [(1, 2), (2, 3), (3, 4), (1, 4), (1, 3), (4, 5)] + [(1, 10 + i) for i in range(4)] + [(3, 20 + i) for i in range(2)] + [(5, 30), (2, 40)]
+
+
+@pytest.mark.parametrize("edges", [HAIRY, PATH7, TRIANGLE, [(1, 2)], [(1, i) for i in range(2, 7)]])
+def test_classes_hold_the_inverse(spark, scratch, monkeypatch, edges):
+    monkeypatch.setattr(L, "GROUP", 3)
+    found = L.Classes(scratch.table(edge_table(spark, edges)), scratch)
+    ids, lap = dense(edges)
+    n, m = len(ids), np.linalg.pinv(lap)
+    d = np.diag(m)
+    r = d[:, None] + d[None, :] - 2 * m
+    near = lambda x: pytest.approx(x, abs=1e-8)
+    assert {(x["i"], x["j"]): x["val"] for x in found.entries().collect()} == near({(ids[i], ids[j]): m[i, j] for i in range(n) for j in range(n)})
+    pairs = found.all_pairs_resistance().collect()
+    assert len(pairs) == n * (n - 1) // 2
+    assert {(x["u"], x["v"]): x["r"] for x in pairs} == near({(ids[i], ids[j]): r[i, j] for i in range(n) for j in range(i + 1, n)})
+    assert dict(rows(found.farness_of_pairs())) == near(dict(zip(ids, r.sum(1), strict=True)))
+    assert dict(rows(found.grounded_traces())) == near(dict(zip(ids, r.sum(1), strict=True)))
+    assert dict(rows(found.column_squares())) == near(dict(zip(ids, (m * m).sum(0), strict=True)))
+    assert found.trace().first()[0] == near(np.trace(m))
+    on_edges = found.pair_resistance(edge_table(spark, edges))
+    assert sum(x["r"] for x in on_edges.collect()) == near(n - 1) and on_edges.count() == len(edges)
+
+
+def test_classes_are_grounded(spark, scratch):
+    found, (ids, lap) = L.Classes(scratch.table(edge_table(spark, HAIRY)), scratch), dense(HAIRY)
+    gone = []
+    for node in (20, 21, 11, 4, 10):  # a class of two goes, one of four loses two
+        found = found.ground(node)
+        gone.append(node)
+        keep = [k for k, x in enumerate(ids) if x not in gone]
+        m = np.linalg.inv(lap[np.ix_(keep, keep)])
+        assert dict(rows(found.diagonal())) == pytest.approx({ids[k]: m[i, i] for i, k in enumerate(keep)}, abs=1e-8)
+        assert dict(rows(found.column_squares())) == pytest.approx({ids[k]: (m * m).sum(0)[i] for i, k in enumerate(keep)}, abs=1e-8)
+
+
+def test_leaves_of_a_hub_need_one_column(spark, scratch, monkeypatch):
+    """300 leaves are two classes; greedy groups take the classes, not a solve a node."""
+    edges = scratch.table(edge_table(spark, [(1, 2)] + [(1 + i % 2, 10 + i) for i in range(300)]))
+    found = L.Classes(edges, scratch)
+    assert found.count() == 4 and found.cells.count() == 4 * 3 + 2
+    monkeypatch.setattr(V.System, "profile", None)
+    best = C.exact_greedy(edges, 2, scratch, most=10)[0].filter("rank = 1").orderBy("step")
+    assert [r["node"] for r in best.collect()] == [1, 2]
+
+
+def test_graphs_by_columns_lose_their_leaves_first(spark, scratch, monkeypatch):
+    edges = scratch.table(edge_table(spark, TRIANGLE + [(1 + i % 3, 10 + i) for i in range(60)]))
+    assert not V.System(edges, scratch, (1,)).core.rounds
+    monkeypatch.setattr(V, "SMALL", 32)
+    system = V.System(edges, scratch, (1,))
+    assert system.whole and system.by_columns and system.core.left < 8
+
+
+def test_blocks_without_edges_need_no_task(spark):
+    blocks = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (4, 4), (5, 5)], "block long, node long")
+    alone, linked = D._by_edges(blocks, spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3)], "block long, src long, dst long"))
+    assert rows(alone) == [(4, 4), (5, 5)] and rows(linked) == [(1, 1), (1, 2), (1, 3)]
