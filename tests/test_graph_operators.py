@@ -19,6 +19,7 @@ from galvani.operators import selected as Z
 from galvani.operators import solve as V
 from galvani.operators import trees as T
 from galvani.sources import edge_lists as S
+from galvani.sources import scratch as scratch_module
 from galvani.sources.scratch import Scratch
 from graphs import KNOWN, PATH7, TEST18, TEST18_FARNESS, TRIANGLE, edge_table
 
@@ -567,3 +568,32 @@ def test_blocks_without_edges_need_no_task(spark):
     blocks = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (4, 4), (5, 5)], "block long, node long")
     alone, linked = D._by_edges(blocks, spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 1, 3)], "block long, src long, dst long"))
     assert rows(alone) == [(4, 4), (5, 5)] and rows(linked) == [(1, 1), (1, 2), (1, 3)]
+
+
+def test_a_hub_is_not_gathered_in_one_task(spark, scratch, monkeypatch):
+    monkeypatch.setattr(K, "HUB", 300)
+    star = spark.range(1, 4001).repartition(4).selectExpr("id AS u", "0L AS v").union(spark.range(1, 4001).selectExpr("0L", "id"))
+    kept = scratch.table(star)
+    least, joined = K._least(kept, kept.filter("v > u"), scratch.table)
+    assert joined.count() == 4000 and least.filter("u = 0").first()["m"] == 1
+    assert joined.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 4000
+
+
+def test_rounds_of_components_have_tasks_for_their_edges(spark, scratch, monkeypatch):
+    monkeypatch.setattr(K, "HUB", 30)
+    monkeypatch.setattr(scratch_module, "TASK_ROWS", 100)
+    rng, tasks = random.Random(5), []
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(500)] + [(5000, i) for i in range(200)] + [(2000, i) for i in range(2001, 2300)] + [(7, 7), (8000, 8000)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.maxPartitionBytes")}
+
+    def kept(df):
+        tasks.append(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return scratch.table(df)
+
+    found = dict(rows(K.connected_components(spark.createDataFrame(pairs, "a long, b long"), kept)))
+    label = {x: x for p in pairs for x in p}
+    while any(label[a] != label[b] for a, b in pairs):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    assert found == label
+    assert max(tasks) >= 2 * 999 // 100 and {k: spark.conf.get(k) for k in before} == before
