@@ -229,6 +229,45 @@ def test_a_loop_keeps_one_state(spark, scratch):
     assert names.count("cg") == 1 and names.count("steps") == 1
 
 
+def test_large_graphs_are_solved_in_pieces(spark, scratch, monkeypatch):
+    """A graph that mixes fast needs no elimination by tables; isolated pairs and a weighted graph among them come out right."""
+    rng = np.random.default_rng(7)
+    sides = {(int(u), 1000 + int(v)) for u, v in zip(rng.integers(0, 120, 500), rng.integers(0, 40, 500), strict=True)}
+    mixed = {(min(u, v), max(u, v)) for u, v in rng.integers(0, 60, (300, 2)).tolist() if u != v}
+    monkeypatch.setattr(V, "LARGE", 0)
+    monkeypatch.setattr(V, "System", None)
+    for pairs, weigh in ((sides | {(2000, 2001)}, False), (mixed, True)):
+        pairs = [(u, v, float(rng.uniform(0.5, 2)) if weigh else 1.0) for u, v in sorted(pairs)]
+        ids = sorted({n for e in pairs for n in e[:2]})
+        lap, b = np.zeros((len(ids), len(ids))), np.zeros((len(ids), 2))
+        for u, v, w in pairs:
+            i, j, c = ids.index(u), ids.index(v), rng.normal(size=2)
+            lap[[i, j, i, j], [i, j, j, i]] += [w, w, -w, -w]
+            b[i], b[j] = b[i] + c, b[j] - c
+        edges = spark.createDataFrame(pairs, "src long, dst long, w double")
+        right = spark.createDataFrame([(i, *map(float, row)) for i, row in zip(ids, b, strict=True)], "node long, p double, q double")
+        x, residual = V.solve_by_shuffle(edges if weigh else edges.drop("w"), right, ["p", "q"], scratch, 1e-10)
+        found = {r["node"]: (r["p"], r["q"]) for r in x.collect()}
+        assert residual <= 1e-10 and sorted(found) == ids
+        solution = np.array([found[i] for i in ids])
+        assert lap @ solution == pytest.approx(b, abs=1e-7) and solution.sum(0) == pytest.approx(0, abs=1e-8)
+
+
+def test_what_pieces_do_not_solve_goes_by_tables(spark, scratch, monkeypatch):
+    """A long path takes too many rounds, a hub too many rows of one piece."""
+    from galvani.operators import pieces
+
+    monkeypatch.setattr(V, "LARGE", 0)
+    monkeypatch.setattr(V, "TRIAL", 3)
+    path = edge_table(spark, [(i, i + 1) for i in range(80)])
+    right = spark.createDataFrame([(0, 1.0), (80, -1.0)], "node long, b double")
+    assert pieces.solve(path, right, ["b"], scratch, 1e-10, 3) is None
+    found = {r["node"]: r["b"] for r in V.solve_by_shuffle(path, right, ["b"], scratch, 1e-10)[0].collect()}
+    assert [found[i] for i in range(81)] == pytest.approx([40.0 - i for i in range(81)], abs=1e-6)
+    monkeypatch.setattr(pieces, "MOST", 20)
+    assert pieces.solve(edge_table(spark, [(0, i) for i in range(1, 40)]), right, ["b"], scratch, 1e-10, 50) is None
+
+
 #: A triangle with a leaf and, over a bridge, a cycle.
 PAW_AND_TAIL = [(1, 2), (2, 3), (1, 3), (3, 4), (2, 5), (5, 6), (6, 7), (5, 7)]
 
