@@ -573,6 +573,23 @@ def test_classes_hold_the_inverse(spark, scratch, monkeypatch, edges):
     assert sum(x["r"] for x in on_edges.collect()) == near(n - 1) and on_edges.count() == len(edges)
 
 
+def test_all_pairs_are_dealt_by_pieces_of_classes(spark, scratch, monkeypatch):
+    """A class of 300 leaves is no key of its own, and what is rounded is a class's value, not that of each pair."""
+    monkeypatch.setattr(L, "GROUP", 10)
+    monkeypatch.setattr(L, "PAIRS", 2000)
+    found = L.Classes(scratch.table(edge_table(spark, [(1, i) for i in range(2, 302)])), scratch)
+    ids, lap = dense([(1, i) for i in range(2, 302)])
+    m = np.linalg.pinv(lap)
+    r = np.diag(m)[:, None] + np.diag(m)[None, :] - 2 * m
+    for wide, names, exact in ((found.entries(digits=3), ("i", "j", "val"), m), (found.all_pairs_resistance(digits=3), ("u", "v", "r"), r)):
+        tasks = wide.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+        assert tasks[0] < 2 * L.PAIRS and tasks[1] == (301**2 if names[2] == "val" else 301 * 150)
+        off = [abs(x[names[2]] - exact[x[names[0]] - 1, x[names[1]] - 1]) for x in wide.collect()]
+        assert max(off) < 0.00051 and wide.select(names[2]).distinct().count() < 5
+        steps = wide._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert max(k for k, x in enumerate(steps) if "Generate explode" in x) < min(k for k, x in enumerate(steps) if "round(" in x and "Union" not in x)
+
+
 def test_classes_are_grounded(spark, scratch):
     found, (ids, lap) = L.Classes(scratch.table(edge_table(spark, HAIRY)), scratch), dense(HAIRY)
     gone = []
