@@ -590,6 +590,22 @@ def test_all_pairs_are_dealt_by_pieces_of_classes(spark, scratch, monkeypatch):
         assert max(k for k, x in enumerate(steps) if "Generate explode" in x) < min(k for k, x in enumerate(steps) if "round(" in x and "Union" not in x)
 
 
+def test_only_the_graph_without_leaves_is_solved_for(spark, scratch, monkeypatch):
+    """60 leaves on a triangle: three nodes are solved for, and all entries are exact."""
+    asked, solved = [], L.solved_columns
+
+    def watched(edges, wanted, *args, **named):
+        asked.append((edges.count(), wanted.count()))
+        return solved(edges, wanted, *args, **named)
+
+    monkeypatch.setattr(L, "solved_columns", watched)
+    pairs = TRIANGLE + [(1 + i % 2, 10 + i) for i in range(60)]
+    found, (ids, lap) = L.Classes(scratch.table(edge_table(spark, pairs)), scratch), dense(pairs)
+    m = np.linalg.pinv(lap)
+    assert {(x["i"], x["j"]): x["val"] for x in found.entries().collect()} == pytest.approx({(ids[i], ids[j]): m[i, j] for i in range(len(ids)) for j in range(len(ids))}, abs=1e-10)
+    assert asked == [(3, 3)]
+
+
 def test_classes_are_grounded(spark, scratch):
     found, (ids, lap) = L.Classes(scratch.table(edge_table(spark, HAIRY)), scratch), dense(HAIRY)
     gone = []
